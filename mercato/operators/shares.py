@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from mercato.functions.exact import percent
 
-WHOLE = W.partitionBy()
+
+def whole():
+    """The window over all rows of the (aggregated) result."""
+    return W.partitionBy()
 
 
 def with_share(df: DataFrame, value_col: str, out: str, digits: int) -> DataFrame:
     """Add ``out = ROUND(value * 100.0 / SUM(value) OVER (), digits)``."""
-    total = F.sum(F.col(value_col)).over(WHOLE)
+    total = F.sum(F.col(value_col)).over(whole())
     return df.withColumn(out, percent(F.col(value_col), total, digits))

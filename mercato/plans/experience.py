@@ -16,15 +16,17 @@ from mercato.functions.exact import (count_where, elapsed_micros, money, percent
 from mercato.functions.labels import delay_score_bucket, rfm_segment
 from mercato.operators.joins import bounded_broadcast
 from mercato.operators.ranking import global_ntile, rank_over, top_k
-from mercato.operators.shares import WHOLE, with_share
+from mercato.operators.shares import whole, with_share
 from mercato.plans.facts import (Tables, category_dim, delivered_orders, item_rows,
                                  payments_per_order, seller_dim)
 
-SCORE = F.col("review_score")
+
+def _score() -> Column:
+    return F.col("review_score")
 
 
 def _scored_reviews(t: Tables) -> DataFrame:
-    return t["order_reviews"].filter(SCORE.isNotNull()).select("review_id", "order_id", "review_score")
+    return t["order_reviews"].filter(_score().isNotNull()).select("review_id", "order_id", "review_score")
 
 
 def satisfaction_kpis(t: Tables) -> DataFrame:
@@ -37,17 +39,17 @@ def satisfaction_kpis(t: Tables) -> DataFrame:
     per_score = _scored_reviews(t).groupBy("review_score").agg(
         F.count(F.lit(1)).alias("n"), F.count("review_id").alias("n_ids"))
     # integer hundredths of a percent, per score
-    hundredths = rounded_scaled(F.col("n") * 100, F.sum("n").over(WHOLE), 2)
+    hundredths = rounded_scaled(F.col("n") * 100, F.sum("n").over(whole()), 2)
     scored = per_score.withColumn("h", hundredths)
 
     def n_of(s: int) -> Column:
-        return F.sum(F.when(SCORE == s, F.col("n")).otherwise(0)).cast("bigint")
+        return F.sum(F.when(_score() == s, F.col("n")).otherwise(0)).cast("bigint")
 
     def h_of(*scores: int) -> Column:
-        return F.sum(F.when(SCORE.isin(*scores), F.col("h")).otherwise(0))
+        return F.sum(F.when(_score().isin(*scores), F.col("h")).otherwise(0))
 
     agg = scored.agg(
-        F.sum(SCORE.cast("bigint") * F.col("n")).alias("score_sum"),
+        F.sum(_score().cast("bigint") * F.col("n")).alias("score_sum"),
         F.sum("n").alias("n_all"),
         F.sum("n_ids").alias("n_reviews"),
         *[n_of(s).alias(f"n_score_{s}") for s in (5, 4, 3, 2, 1)],
@@ -75,9 +77,9 @@ def _review_items(t: Tables) -> DataFrame:
 def _score_sums(weight: Column | None = None) -> list[Column]:
     w = weight if weight is not None else F.lit(1)
     return [F.sum(w).alias("n_rows"),
-            F.sum(SCORE.cast("bigint") * w).alias("score_sum"),
-            F.sum(F.when(SCORE >= 4, w).otherwise(0)).alias("n_pos"),
-            F.sum(F.when(SCORE <= 2, w).otherwise(0)).alias("n_neg")]
+            F.sum(_score().cast("bigint") * w).alias("score_sum"),
+            F.sum(F.when(_score() >= 4, w).otherwise(0)).alias("n_pos"),
+            F.sum(F.when(_score() <= 2, w).otherwise(0)).alias("n_neg")]
 
 
 def _merge_sums() -> list[Column]:
@@ -238,8 +240,8 @@ def rfm_reports(t: Tables) -> tuple[DataFrame, DataFrame]:
 def review_polarity(t: Tables) -> DataFrame:
     """Overall share of scores 4-5 and 1-2 among scored reviews."""
     agg = _scored_reviews(t).agg(F.count(F.lit(1)).alias("n"),
-                                 count_where(SCORE >= 4).alias("n_pos"),
-                                 count_where(SCORE <= 2).alias("n_neg"))
+                                 count_where(_score() >= 4).alias("n_pos"),
+                                 count_where(_score() <= 2).alias("n_neg"))
     return agg.select(F.col("n").cast("bigint").alias("n_reviews"),
                       percent(F.col("n_pos"), F.col("n"), 2).alias("pct_positive"),
                       percent(F.col("n_neg"), F.col("n"), 2).alias("pct_negative"))
