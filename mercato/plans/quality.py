@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.exact import count_where
@@ -19,35 +19,42 @@ from mercato.sources.schemas import (MAX_LENGTHS, PRIMARY_KEYS, RANGE_CHECKS, RE
                                      SCHEMAS)
 
 
-def _row(table: str, rule: str, n: DataFrame) -> DataFrame:
-    return n.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-                    F.coalesce(F.col("n").cast("bigint"), F.lit(0).cast("bigint")).alias("n_violations"))
+def _one_row(table: str, rule: str, n_col: str, df: DataFrame) -> DataFrame:
+    return df.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
+                     F.coalesce(F.col(n_col).cast("bigint"), F.lit(0).cast("bigint")).alias("n_violations"))
+
+
+def _row_checks(table: str) -> list[tuple[str, Column]]:
+    checks = [(f"not_null({f.name})", F.col(f.name).isNull())
+              for f in SCHEMAS[table].fields if not f.nullable]
+    checks += [(f"max_length({c}) <= {n}", F.length(F.col(c)) > n)
+               for c, n in MAX_LENGTHS.get(table, {}).items()]
+    checks += [(f"check({c} between {lo} and {hi})", ~F.col(c).between(lo, hi))
+               for t, c, lo, hi in RANGE_CHECKS if t == table]
+    return checks
 
 
 def constraint_audit(t: Tables) -> DataFrame:
-    """table_name, rule, n_violations for PK uniqueness, NOT NULL, CHECK and length rules."""
+    """table_name, rule, n_violations for PK uniqueness, NOT NULL, CHECK and length rules.
+
+    Per table: one grouped count for the key (partial aggregation map-side)
+    and one single-pass aggregate for all row rules, unpivoted with stack.
+    """
     parts = []
     for table in sorted(t):
         df = t[table]
         pk = PRIMARY_KEYS.get(table)
         if pk:
             dups = df.groupBy(*pk).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
-            parts.append(_row(table, f"primary_key({', '.join(pk)})",
-                              dups.agg(F.sum(F.col("c") - 1).alias("n"))))
-        checks = []
-        for field in SCHEMAS[table].fields:
-            if not field.nullable:
-                checks.append((f"not_null({field.name})", F.col(field.name).isNull()))
-        for col, limit in MAX_LENGTHS.get(table, {}).items():
-            checks.append((f"max_length({col}) <= {limit}", F.length(F.col(col)) > limit))
-        for tbl, col, lo, hi in RANGE_CHECKS:
-            if tbl == table:
-                checks.append((f"check({col} between {lo} and {hi})",
-                               ~F.col(col).between(lo, hi)))
+            parts.append(_one_row(table, f"primary_key({', '.join(pk)})", "n",
+                                  dups.agg(F.sum(F.col("c") - 1).alias("n"))))
+        checks = _row_checks(table)
         if checks:
             agg = df.agg(*[count_where(cond).alias(f"c{i}") for i, (_, cond) in enumerate(checks)])
-            for i, (rule, _) in enumerate(checks):
-                parts.append(_row(table, rule, agg.select(F.col(f"c{i}").alias("n"))))
+            pairs = [x for i, (rule, _) in enumerate(checks) for x in (F.lit(rule), F.col(f"c{i}"))]
+            long = agg.select(F.stack(F.lit(len(checks)), *pairs).alias("rule", "n"))
+            parts.append(long.select(F.lit(table).alias("table_name"), "rule",
+                                     F.coalesce(F.col("n"), F.lit(0).cast("bigint")).alias("n_violations")))
     return reduce(DataFrame.unionByName, parts)
 
 
