@@ -48,17 +48,29 @@ def sales_kpis(t: Tables) -> DataFrame:
         round_ratio(F.col("rev"), F.col("n_customers") * 100, 2).alias("revenue_per_customer"))
 
 
-def monthly_revenue(t: Tables) -> DataFrame:
+def monthly_revenue(t: Tables, fill_gaps: bool = False) -> DataFrame:
     """Delivered revenue per purchase month with growth against the previous listed month.
 
-    Growth uses the rounded monthly revenue; a month without sales is
-    skipped, so the "previous" month may be older.
+    Growth uses the rounded monthly revenue.  By default a month without
+    sales is skipped, so the "previous" month may be older (as the source
+    query behaves); ``fill_gaps=True`` lists every calendar month between
+    the first and last one with revenue 0, so growth compares consecutive
+    months.  The calendar is generated from the monthly aggregate, so it is
+    bounded by the date span, not by the data volume.
     """
     paid = _delivered_paid_orders(t)
     by_month = paid.groupBy(
         F.date_format("order_purchase_timestamp", "yyyy-MM").alias("month")).agg(
         F.sum("pay_cents").alias("rev"),
         F.count(F.lit(1)).alias("n_orders"))
+    if fill_gaps:
+        first_day = F.to_date(F.concat(F.col("month"), F.lit("-01")))
+        span = by_month.agg(F.min(first_day).alias("lo"), F.max(first_day).alias("hi"))
+        calendar = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("d")) \
+            .select(F.date_format("d", "yyyy-MM").alias("month"))
+        by_month = calendar.join(by_month, "month", "full_outer").select(
+            "month", F.coalesce("rev", F.lit(0)).alias("rev"),
+            F.coalesce("n_orders", F.lit(0)).alias("n_orders"))
     prev = F.lag("rev").over(W.orderBy(F.asc_nulls_last("month")))
     out = by_month.select(
         "month",

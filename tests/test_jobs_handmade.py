@@ -51,6 +51,14 @@ def test_monthly_revenue_gap_and_zero_previous(spark):
     ]
 
 
+def test_monthly_revenue_fill_gaps(spark):
+    got = [(r["month"], r["revenue"], r["n_orders"], r["growth_pct"])
+           for r in rows(sales.monthly_revenue(_sales(spark), fill_gaps=True))]
+    assert got == [("2017-01", 170.01, 2, None), ("2017-02", 0.0, 0, -100.0),
+                   ("2017-03", 30.0, 1, None), ("2017-04", 0.0, 0, -100.0),
+                   ("2017-05", 0.0, 1, None), ("2017-06", 10.0, 1, None)]
+
+
 def test_state_revenue_rank_and_share(spark):
     got = {r["state"]: r for r in rows(sales.state_revenue(_sales(spark)))}
     assert set(got) == {"SP", "RJ", "MG"}
