@@ -20,6 +20,27 @@ DEFAULT_CONF = {
 }
 
 
+MB = 1 << 20
+
+
+def cluster_conf(total_input_bytes: int, executor_cores_total: int,
+                 target_partition_bytes: int = 128 * MB) -> dict[str, str]:
+    """Sizing for a cluster run, from the bytes the jobs will scan.
+
+    Scan splits of 256 MB; an initial shuffle partition count that keeps
+    each shuffle partition near ``target_partition_bytes`` even if a job
+    shuffles as much as it reads (AQE then coalesces the small ones), at
+    least twice the total cores; skew splitting above 4x the target.
+    """
+    initial = max(2 * executor_cores_total, -(-total_input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(256 * MB),
+        "spark.sql.shuffle.partitions": str(min(initial, 400_000)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "mercato", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the defaults above."""
