@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A dimension is broadcast only if it has at most this many rows; beyond
-# it the join stays a shuffle join (and AQE may still convert it at run
-# time from measured sizes).
+# it the join stays a shuffle join (AQE may still convert it from measured
+# sizes, and splits a skewed partition of it).  Sessions can override the
+# bound with the runtime setting below.
 BROADCAST_MAX_ROWS = 200_000
+MAX_ROWS_CONF = "mercato.broadcast.maxRows"
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def broadcast_bound(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(BROADCAST_MAX_ROWS)))
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Mark ``df`` for broadcast if it is proven to hold at most ``max_rows`` rows.
 
     The check reads at most ``max_rows + 1`` rows of the (narrow,
     already projected) dimension, so its cost is bounded too.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    bound = broadcast_bound(df) if max_rows is None else max_rows
+    if bound > 0 and df.limit(bound + 1).count() <= bound:
         return F.broadcast(df)
     return df

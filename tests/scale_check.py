@@ -7,7 +7,13 @@ event log written to a scratch folder; then reports, per stage, the
 largest task's share of the shuffle records the stage read.  A stage whose biggest task
 reads a third of a big input would mean a hot key reached one task.
 
-    python tests/scale_check.py /root/testdata/sf0.1 10
+    python tests/scale_check.py /root/testdata/sf0.1 10            # plan shape, AQE off
+    python tests/scale_check.py /root/testdata/sf0.1 10 shuffle    # dims not broadcast, AQE on
+
+The second mode also makes one product a third of all items and forbids
+broadcasting any dimension, so item rows join products by a shuffle on
+``product_id``; AQE's skew-join split has to keep the hot product out of a
+single task (thresholds lowered to this data size).
 """
 
 from __future__ import annotations
@@ -44,7 +50,9 @@ def skewed(t, reps: int):
         "customer_unique_id", F.when(hot, F.lit("HOT-PERSON")).otherwise(F.col("customer_unique_id")))
     items = rekey(t["order_items"], ["order_id"]).withColumn(
         "seller_id", F.when((F.abs(F.hash("order_id", "order_item_id")) % 3) == 0, F.lit("0"))
-        .otherwise(F.col("seller_id")))
+        .otherwise(F.col("seller_id"))).withColumn(
+        "product_id", F.when((F.abs(F.hash("order_item_id", "order_id")) % 3) == 1, F.lit("1"))
+        .otherwise(F.col("product_id")))
     return {
         **t,
         "customers": customers,
@@ -83,32 +91,47 @@ def stage_skew(log_dir: str):
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     reps = int(sys.argv[2]) if len(sys.argv) > 2 else 10
+    shuffle_dims = len(sys.argv) > 3 and sys.argv[3] == "shuffle"
     scratch = tempfile.mkdtemp(prefix="mercato-skew-")
     os.makedirs(f"{scratch}/events")
-    spark = build_session("local[8]", 32, extra={
+    conf = {
         "spark.eventLog.enabled": "true", "spark.eventLog.dir": f"{scratch}/events",
         "spark.eventLog.compress": "false", "spark.eventLog.rolling.enabled": "false",
         "spark.checkpoint.dir": f"{scratch}/ckpt", "spark.driver.memory": "16g",
         # measure the plan shape itself: no runtime skew splitting, no broadcast of facts
-        "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"})
+        "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    if shuffle_dims:
+        conf.update({
+            "spark.sql.adaptive.enabled": "true", "mercato.broadcast.maxRows": "0",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"})
+    spark = build_session("local[8]", 32, extra=conf)
     spark.sparkContext.setCheckpointDir(f"{scratch}/ckpt")
     write_tables(skewed(star_tables(spark, sf_dir), reps), f"{scratch}/tables")
     t = read_tables(spark, root=f"{scratch}/tables")
     n_orders = t["orders"].count()
     timings = {}
-    for name, job in [("rfm_scores", lambda: experience.rfm_scores(t, sort=False)),
+    jobs = [("rfm_scores", lambda: experience.rfm_scores(t, sort=False)),
                       ("sales_kpis", lambda: sales.sales_kpis(t)),
                       ("seller_dispatch_top", lambda: operations.seller_dispatch_top(t)),
                       ("seller_satisfaction", lambda: experience.seller_satisfaction(t)),
                       # control: a window partitioned by the hot key must show up as skew
                       ("control_window_by_seller", lambda: t["order_items"].withColumn(
-                          "rn", F.row_number().over(W.partitionBy("seller_id").orderBy("order_id"))))]:
+                          "rn", F.row_number().over(W.partitionBy("seller_id").orderBy("order_id"))))]
+    if shuffle_dims:
+        jobs = [("category_revenue_top", lambda: sales.category_revenue_top(t)),
+                ("category_satisfaction", lambda: experience.category_satisfaction(t)),
+                ("seller_dispatch_top", lambda: operations.seller_dispatch_top(t))]
+    for name, job in jobs:
         s = time.perf_counter()
         job().write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - s, 2)
     spark.stop()
     worst = [r for r in stage_skew(f"{scratch}/events") if r[2] > n_orders // 10]
-    print(json.dumps({"orders": n_orders, "reps": reps, "timings_sec": timings,
+    print(json.dumps({"mode": "shuffle_dims" if shuffle_dims else "plan_shape",
+                      "orders": n_orders, "reps": reps, "timings_sec": timings,
                       "largest_task_share_top6": [
                           {"share": round(a, 3), "max_records": b, "stage_records": c, "tasks": d}
                           for a, b, c, d, _ in worst[:6]]}))
