@@ -9,6 +9,7 @@ reads a third of a big input would mean a hot key reached one task.
 
     python tests/scale_check.py /root/testdata/sf0.1 10            # plan shape, AQE off
     python tests/scale_check.py /root/testdata/sf0.1 10 shuffle    # dims not broadcast, AQE on
+    python tests/scale_check.py /root/testdata/sf0.1 100 rfm       # RFM at x100, default settings
 
 The second mode also makes one product a third of all items and forbids
 broadcasting any dimension, so item rows join products by a shuffle on
@@ -63,6 +64,22 @@ def skewed(t, reps: int):
     }
 
 
+def rfm_scaled(t, reps: int):
+    """Orders, people and payments replicated with new keys; one person owns 1/3 of orders."""
+    rep = F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
+    sfx = F.concat(F.lit("-"), F.col("rep").cast("string"))
+    customers = t["customers"].select("*", rep).select(
+        F.concat("customer_id", sfx).alias("customer_id"),
+        F.when((F.abs(F.hash("customer_id", "rep")) % 3) == 0, F.lit("HOT-PERSON"))
+         .otherwise(F.concat("customer_unique_id", sfx)).alias("customer_unique_id"),
+        "customer_zip_code", "customer_city", "customer_state")
+    orders = t["orders"].select("*", rep).withColumn("order_id", F.concat("order_id", sfx)) \
+        .withColumn("customer_id", F.concat("customer_id", sfx)).drop("rep")
+    payments = t["order_payments"].select("*", rep).withColumn("order_id", F.concat("order_id", sfx)) \
+        .drop("rep")
+    return {**t, "customers": customers, "orders": orders, "order_payments": payments}
+
+
 def stage_skew(log_dir: str):
     tasks: dict[tuple, list[int]] = {}
     names: dict[tuple, str] = {}
@@ -91,7 +108,8 @@ def stage_skew(log_dir: str):
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     reps = int(sys.argv[2]) if len(sys.argv) > 2 else 10
-    shuffle_dims = len(sys.argv) > 3 and sys.argv[3] == "shuffle"
+    mode = sys.argv[3] if len(sys.argv) > 3 else "plan_shape"
+    shuffle_dims = mode == "shuffle"
     scratch = tempfile.mkdtemp(prefix="mercato-skew-")
     os.makedirs(f"{scratch}/events")
     conf = {
@@ -107,9 +125,12 @@ def main():
             "spark.sql.adaptive.coalescePartitions.enabled": "false",
             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m",
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"})
+    if mode == "rfm":  # library defaults (AQE on), only event log and memory set
+        conf = {k: v for k, v in conf.items() if not k.startswith("spark.sql.")}
     spark = build_session("local[8]", 32, extra=conf)
     spark.sparkContext.setCheckpointDir(f"{scratch}/ckpt")
-    write_tables(skewed(star_tables(spark, sf_dir), reps), f"{scratch}/tables")
+    derive = rfm_scaled if mode == "rfm" else skewed
+    write_tables(derive(star_tables(spark, sf_dir), reps), f"{scratch}/tables")
     t = read_tables(spark, root=f"{scratch}/tables")
     n_orders = t["orders"].count()
     timings = {}
@@ -124,13 +145,16 @@ def main():
         jobs = [("category_revenue_top", lambda: sales.category_revenue_top(t)),
                 ("category_satisfaction", lambda: experience.category_satisfaction(t)),
                 ("seller_dispatch_top", lambda: operations.seller_dispatch_top(t))]
+    if mode == "rfm":
+        jobs = [("rfm_scores", lambda: experience.rfm_scores(t)),
+                ("rfm_segment_summary", lambda: experience.rfm_segment_summary(t))]
     for name, job in jobs:
         s = time.perf_counter()
         job().write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - s, 2)
     spark.stop()
     worst = [r for r in stage_skew(f"{scratch}/events") if r[2] > n_orders // 10]
-    print(json.dumps({"mode": "shuffle_dims" if shuffle_dims else "plan_shape",
+    print(json.dumps({"mode": mode,
                       "orders": n_orders, "reps": reps, "timings_sec": timings,
                       "largest_task_share_top6": [
                           {"share": round(a, 3), "max_records": b, "stage_records": c, "tasks": d}
