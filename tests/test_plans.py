@@ -67,3 +67,13 @@ def test_rfm_tiles_have_no_single_task_window_over_people(stored):
     assert "ntile" not in p.lower()
     for spec in re.findall(r"windowspecdefinition\(([^)]*)\)", p):
         assert not re.search(r"recency_days|frequency|cents|customer_unique_id", spec), spec
+
+
+def test_bucketed_tables_remove_order_key_shuffles(spark, small_tables, no_auto_broadcast):
+    d = tempfile.mkdtemp(prefix="bucket-plans-")
+    write_tables(small_tables, f"{d}/db", bucketed=True, buckets=4, database="mercato_plans")
+    t = read_tables(spark, database="mercato_plans")
+    hashed = re.findall(r"Exchange hashpartitioning\(([a-z_]+)", plan(operations.seller_dispatch(t)))
+    assert hashed == ["seller_id"]
+    hashed = re.findall(r"Exchange hashpartitioning\(([a-z_]+)", plan(experience.rfm_base(t)))
+    assert "order_id" not in hashed
