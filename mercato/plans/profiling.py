@@ -21,6 +21,18 @@ DEFAULT_NULL_COLUMNS = {
     "order_reviews": ("review_comment_message", "review_comment_title"),
 }
 
+# Row counts the original export is expected to load to.
+EXPECTED_SOURCE_COUNTS = {
+    "customers": 99_441,
+    "sellers": 3_095,
+    "products": 32_951,
+    "orders": 99_441,
+    "order_items": 112_650,
+    "order_payments": 103_886,
+    "order_reviews": 99_224,
+    "geolocation": 1_000_163,
+}
+
 PREVIEW_TABLES = ("customers", "orders", "order_items", "order_payments", "order_reviews",
                   "products", "sellers")
 
@@ -33,6 +45,21 @@ def row_counts(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).orderBy("table_name")
 
 
+def load_check(t: Tables, expected: dict[str, int] | None = None) -> DataFrame:
+    """table_name, n_rows, expected_rows, ok: verify a load against expected counts.
+
+    Defaults to the counts of the original export; tables without an
+    expectation get NULL expected_rows and ok.
+    """
+    exp = expected if expected is not None else EXPECTED_SOURCE_COUNTS
+    counts = row_counts(t)
+    ref = counts.sparkSession.createDataFrame(
+        sorted(exp.items()), "table_name string, expected_rows bigint")
+    joined = counts.join(F.broadcast(ref), "table_name", "left")
+    return joined.select("table_name", "n_rows", "expected_rows",
+                         (F.col("n_rows") == F.col("expected_rows")).alias("ok")).orderBy("table_name")
+
+
 def preview(t: Tables, table: str, n: int = 5) -> DataFrame:
     """First ``n`` rows of a table in primary-key order (deterministic preview)."""
     keys = PRIMARY_KEYS.get(table) or tuple(t[table].columns)

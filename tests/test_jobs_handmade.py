@@ -277,3 +277,15 @@ def test_constraint_and_orphan_audits(spark):
     orphans = {r["child"]: r["n_orphans"] for r in rows(quality.orphan_audit(t))}
     assert orphans["orders.customer_id"] == 1
     assert orphans["order_reviews.order_id"] == 0
+
+
+def test_load_check_against_expected_counts(spark):
+    t = tables(spark, sellers=[dict(seller_id="s1"), dict(seller_id="s2")],
+               orders=[dict(order_id="o1")])
+    got = {r["table_name"]: (r["n_rows"], r["expected_rows"], r["ok"])
+           for r in rows(profiling.load_check(t, {"sellers": 2, "orders": 5}))}
+    assert got["sellers"] == (2, 2, True)
+    assert got["orders"] == (1, 5, False)
+    assert got["customers"] == (0, None, None)
+    default = {r["table_name"]: r["expected_rows"] for r in rows(profiling.load_check(t))}
+    assert default["geolocation"] == 1_000_163 and default["product_category_translation"] is None
