@@ -25,24 +25,22 @@ from mercato.functions.exact import idiv
 from mercato.session import ensure_checkpoint_dir
 
 
-def _partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "row_number",
                       total_out: str | None = None,
                       num_partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 1-based position of each row in ``order`` (which must be total).
 
-    Optionally adds ``total_out`` = number of rows.
+    Optionally adds ``total_out`` = number of rows.  Without
+    ``num_partitions`` the range exchange uses the session's shuffle
+    partition count and AQE coalesces neighbouring ranges to the advisory
+    partition size; a coalesced partition is still one contiguous key
+    range, and partitions stay in key order.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = _partitions(df, num_partitions)
-    ranged = (df.repartitionByRange(n, *order)
-                .sortWithinPartitions(*order)
+    ranged = (df.repartitionByRange(num_partitions, *order) if num_partitions
+              else df.repartitionByRange(*order))
+    ranged = (ranged.sortWithinPartitions(*order)
                 # Within one partition the generated id counts rows in the
                 # sorted order (record number in the low 33 bits).
                 .withColumn("_part", F.spark_partition_id())
@@ -55,7 +53,7 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "row_nu
         "_part", "_first",
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
         F.sum("_size").over(W.partitionBy()).alias("_total"))
-    # One row per partition: the broadcast side is bounded by ``n``.
+    # One row per range partition: the broadcast side is bounded by the partition count.
     numbered = ranged.join(F.broadcast(offsets), "_part").withColumn(
         out, F.col("_offset") + (F.col("_seq") - F.col("_first")) + 1)
     if total_out:
