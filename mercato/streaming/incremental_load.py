@@ -23,9 +23,7 @@ def start_table_stream(spark: SparkSession, table: str, source_dir: str, target_
                        checkpoint_dir: str, encoding: str | None = None,
                        max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start an ``availableNow`` file stream appending new CSV parts of ``table``."""
-    opts = csv_options(table, encoding)
-    opts.pop("mode")  # streaming CSV keeps FAILFAST via the option below
-    reader = spark.readStream.schema(SCHEMAS[table]).options(**opts).option("mode", "FAILFAST")
+    reader = spark.readStream.schema(SCHEMAS[table]).options(**csv_options(table, encoding))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.csv(source_dir)
