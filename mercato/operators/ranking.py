@@ -61,6 +61,28 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "row_nu
     return numbered.drop("_part", "_seq", "_first", "_offset", "_total")
 
 
+def group_row_number(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column],
+                     out: str = "row_number") -> DataFrame:
+    """``ROW_NUMBER() OVER (PARTITION BY group_cols ORDER BY order)`` without one task per group.
+
+    Rows are numbered globally in (group, order) order, so each group is a
+    contiguous run split across range partitions however large it is; the
+    position inside the group is the global number minus the group's first
+    number.  The per-group first numbers are a partial aggregate (one row
+    per group and map task); joining them back on the group key is an
+    equi-join whose hot keys AQE's skew-join split spreads over tasks.
+    NULL group keys form one group, as in SQL windows.
+    """
+    keys = [F.asc_nulls_first(c) for c in group_cols]
+    numbered = global_row_number(df, keys + list(order), out="_grn")
+    first = numbered.groupBy(*group_cols).agg(F.min("_grn").alias("_gfirst")) \
+        .select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], "_gfirst")
+    cond = [numbered[c].eqNullSafe(first[f"_g_{c}"]) for c in group_cols]
+    joined = numbered.join(first, cond)
+    return joined.withColumn(out, F.col("_grn") - F.col("_gfirst") + 1) \
+        .drop("_grn", "_gfirst", *[f"_g_{c}" for c in group_cols])
+
+
 def ntile_from_row_number(rn: Column, total: Column, k: int) -> Column:
     """``NTILE(k)`` from a 1-based row number and the row count.
 

@@ -74,6 +74,11 @@ def _cents_of(x: str) -> str:
 
 
 # ---------------------------------------------------------------- adapter
+_LINE_ORDER = ", ".join(f"{c} ASC NULLS FIRST" for c in (
+    "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
+    "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"))
+
+
 def _adapter() -> str:
     k, u, d0 = "o_orderkey", "o_custkey", "o_orderdate"
     day0 = f"CAST(CAST({d0} AS DATE) AS TIMESTAMP)"
@@ -141,9 +146,7 @@ mk_orders AS (
   FROM orders),
 mk_order_items AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS order_id,
-         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
-              l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)
-              AS INTEGER) AS order_item_id,
+         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE_ORDER}) AS INTEGER) AS order_item_id,
          CAST(l_partkey AS VARCHAR) AS product_id, CAST(l_suppkey AS VARCHAR) AS seller_id,
          l_shipdate AS shipping_limit_date,
          {_money_from_cents(price_c)} AS price,

@@ -5,17 +5,20 @@ statuses, payments and reviews are derived by deterministic key
 arithmetic.  The DuckDB oracle (``mercato.oracle``) applies the same
 rules in SQL; the two must stay rule-for-rule identical.
 
-The derivations are narrow projections over the scans plus one window
-(item numbering inside an order), so they add no cost beyond reading
-the inputs.
+The derivations are narrow projections over the scans plus one skew-safe
+numbering of items inside their order.  Tables are built on first access,
+so a job only pays for the tables it reads.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mercato.operators.joins import bounded_broadcast
+from mercato.operators.ranking import group_row_number
 from mercato.sources.schemas import SCHEMAS
 
 # The brands that receive an English category name; all
@@ -60,8 +63,7 @@ def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    # nation is a fixed 25-row dimension of the generator.
-    nation = F.broadcast(read("nation").select("n_nationkey", "n_name"))
+    nation = bounded_broadcast(read("nation").select("n_nationkey", "n_name"))
     customer = read("customer")
     supplier = read("supplier")
     part = read("part")
@@ -129,19 +131,22 @@ def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         estimated.alias("order_estimated_delivery_date"),
     )
 
-    line_order = W.partitionBy("l_orderkey").orderBy(
+    line_order = [F.asc_nulls_first(c) for c in (
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")]
     price_c = _cents_of(F.col("l_extendedprice"))
-    items = lineitem.select(
-        F.col("l_orderkey").cast("string").alias("order_id"),
-        F.row_number().over(line_order).alias("order_item_id"),
-        F.col("l_partkey").cast("string").alias("product_id"),
-        F.col("l_suppkey").cast("string").alias("seller_id"),
-        F.col("l_shipdate").alias("shipping_limit_date"),
-        _money_from_cents(price_c).alias("price"),
-        _money_from_cents(F.call_function("div", price_c, F.lit(20))).alias("freight_value"),
-    )
+
+    def items() -> DataFrame:
+        numbered = group_row_number(lineitem, ["l_orderkey"], line_order, "order_item_id")
+        return numbered.select(
+            F.col("l_orderkey").cast("string").alias("order_id"),
+            F.col("order_item_id"),
+            F.col("l_partkey").cast("string").alias("product_id"),
+            F.col("l_suppkey").cast("string").alias("seller_id"),
+            F.col("l_shipdate").alias("shipping_limit_date"),
+            _money_from_cents(price_c).alias("price"),
+            _money_from_cents(F.call_function("div", price_c, F.lit(20))).alias("freight_value"),
+        )
 
     total_c = _cents_of(F.col("o_totalprice"))
     pay_type = (F.when(F.col("o_orderpriority") == "5-LOW", "boleto")
@@ -190,15 +195,34 @@ def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.col("n_name").alias("geolocation_state"),
     )
 
-    raw = {
-        "customers": customers,
-        "sellers": sellers,
-        "product_category_translation": translation,
-        "products": products,
-        "orders": star_orders,
+    builders: dict[str, Callable[[], DataFrame]] = {
+        "customers": lambda: customers,
+        "sellers": lambda: sellers,
+        "product_category_translation": lambda: translation,
+        "products": lambda: products,
+        "orders": lambda: star_orders,
         "order_items": items,
-        "order_payments": payments,
-        "order_reviews": reviews,
-        "geolocation": geolocation,
+        "order_payments": lambda: payments,
+        "order_reviews": lambda: reviews,
+        "geolocation": lambda: geolocation,
     }
-    return {name: _conform(df, name) for name, df in raw.items()}
+    return LazyTables({name: (lambda b=b, n=name: _conform(b(), n)) for name, b in builders.items()})
+
+
+class LazyTables(Mapping):
+    """A read-only table mapping that builds each DataFrame on first access."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+        self._builders = builders
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)

@@ -50,3 +50,16 @@ def test_null_keys_sort_last(spark):
     out = global_row_number(df, [F.asc_nulls_last("key"), F.asc("pid")], "rn", num_partitions=2)
     got = {r.pid: r.rn for r in out.collect()}
     assert got == {"b": 1, "c": 2, "a": 3, "d": 4}
+
+
+def test_group_row_number_matches_window_with_a_hot_group(spark):
+    from mercato.operators.ranking import group_row_number
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 != 0, F.lit(None)).otherwise(F.col("id") % 7).alias("g"),  # NULL group = 2/3
+        ((F.col("id") * 37) % 1000).alias("k"), F.col("id"))
+    order = [F.asc("k"), F.asc("id")]
+    ours = group_row_number(df, ["g"], order, "rn")
+    ref = df.withColumn("rn_ref", F.row_number().over(W.partitionBy("g").orderBy(*order)))
+    joined = ours.join(ref, "id")
+    assert joined.count() == 3000
+    assert joined.filter(F.col("rn") != F.col("rn_ref")).count() == 0
