@@ -12,6 +12,7 @@ produce identical DOUBLEs.
 from __future__ import annotations
 
 from mercato.functions import labels as L
+from mercato.plans.registry import PRUNE_MIN_ORDERS, PRUNE_MIN_REVIEWS, PRUNE_MIN_ROWS
 from mercato.sources.schemas import (MAX_LENGTHS, PRIMARY_KEYS, RANGE_CHECKS, REFERENCES,
                                      SCHEMAS)
 from mercato.sources.testdata import TRANSLATED_BRANDS, UNCATEGORISED_BRAND
@@ -382,7 +383,8 @@ SELECT order_status, {_status_desc('order_status')} AS description, CAST(n AS BI
        {pct('n', 'SUM(n) OVER ()', 2)} AS pct
 FROM (SELECT order_status, COUNT(*) AS n FROM mk_orders GROUP BY 1) x""")
 
-_SELLER_PERF = f"""
+def _seller_perf(min_orders: int) -> str:
+    return f"""
 perf AS (
   SELECT oi.seller_id, s.seller_state, s.seller_city, COUNT(DISTINCT o.order_id) AS n,
          SUM(o.handling) AS hs, COUNT(o.handling) AS hn, SUM(o.actual) AS acs, COUNT(o.actual) AS acn,
@@ -392,19 +394,24 @@ perf AS (
   JOIN mk_sellers s ON oi.seller_id = s.seller_id
   WHERE o.{DELIVERED} AND o.order_delivered_carrier_date IS NOT NULL AND o.order_approved_at IS NOT NULL
   GROUP BY 1, 2, 3
-  HAVING COUNT(DISTINCT o.order_id) >= 30),
+  HAVING COUNT(DISTINCT o.order_id) >= {min_orders}),
 perf_out AS (
   SELECT seller_id, seller_state, seller_city, CAST(n AS BIGINT) AS n_orders,
          {avg_days('hs', 'hn')} AS dispatch_days, {avg_days('acs', 'acn')} AS delivery_days,
          {pct('late', 'n_rows', 2)} AS late_pct, {money('cents')} AS revenue
   FROM perf)"""
 
-SQL["seller_dispatch_top"] = with_adapter(f"""
-SELECT *, {q(L.SELLER_TOP_LABEL)} AS label FROM perf_out
-ORDER BY dispatch_days ASC NULLS LAST, seller_id LIMIT 10""", TIMED + "," + _SELLER_PERF)
-SQL["seller_dispatch_bottom"] = with_adapter(f"""
-SELECT *, {q(L.SELLER_BOTTOM_LABEL)} AS label FROM perf_out
-ORDER BY dispatch_days DESC NULLS FIRST, seller_id LIMIT 10""", TIMED + "," + _SELLER_PERF)
+
+def seller_dispatch_sql(top: bool, min_orders: int = 30) -> str:
+    label, order = ((L.SELLER_TOP_LABEL, "dispatch_days ASC NULLS LAST") if top
+                    else (L.SELLER_BOTTOM_LABEL, "dispatch_days DESC NULLS FIRST"))
+    return with_adapter(f"""
+SELECT *, {q(label)} AS label FROM perf_out
+ORDER BY {order}, seller_id LIMIT 10""", TIMED + "," + _seller_perf(min_orders))
+
+
+SQL["seller_dispatch_top"] = seller_dispatch_sql(True)
+SQL["seller_dispatch_bottom"] = seller_dispatch_sql(False)
 
 # ---------------------------------------------------------------- experience
 SQL["satisfaction_kpis"] = with_adapter(f"""
@@ -425,7 +432,8 @@ nps AS (
          SUM(CASE WHEN review_score IN (1, 2) THEN h ELSE 0 END) AS hd
   FROM scores)""")
 
-SQL["category_satisfaction"] = with_adapter(f"""
+def category_satisfaction_sql(min_rows: int = 100) -> str:
+    return with_adapter(f"""
 SELECT category, CAST(n AS BIGINT) AS n_reviews, {rr('s', 'ns', 2)} AS avg_score,
        {pct('pos', 'rows_', 1)} AS pct_positive, {pct('neg', 'rows_', 1)} AS pct_negative,
        CAST(RANK() OVER (ORDER BY CAST(s AS DOUBLE) / CAST(ns AS DOUBLE) DESC NULLS FIRST) AS BIGINT)
@@ -438,7 +446,10 @@ FROM (
   JOIN mk_order_items oi ON o.order_id = oi.order_id
   JOIN cat ON oi.product_id = cat.product_id
   WHERE o.{DELIVERED} AND r.review_score IS NOT NULL
-  GROUP BY 1 HAVING COUNT(r.review_id) > 100) x""", CAT)
+  GROUP BY 1 HAVING COUNT(r.review_id) > {min_rows}) x""", CAT)
+
+
+SQL["category_satisfaction"] = category_satisfaction_sql()
 
 SQL["delay_vs_score"] = with_adapter(f"""
 SELECT {_delay_bucket('d')} AS bucket, CAST(COUNT(*) AS BIGINT) AS n_rows,
@@ -452,7 +463,8 @@ FROM (
     AND o.order_estimated_delivery_date IS NOT NULL AND r.review_score IS NOT NULL) l
 GROUP BY 1""", TIMED)
 
-SQL["seller_satisfaction"] = with_adapter(f"""
+def seller_satisfaction_sql(min_reviews: int = 30) -> str:
+    return with_adapter(f"""
 SELECT seller_id, seller_state, seller_city, CAST(n AS BIGINT) AS n_reviews,
        {rr('s', 'ns', 2)} AS avg_score, {pct('pos', 'rows_', 1)} AS pct_positive,
        {pct('neg', 'rows_', 1)} AS pct_negative, {money('cents')} AS revenue,
@@ -469,9 +481,12 @@ FROM (
     JOIN mk_order_items oi ON o.order_id = oi.order_id
     JOIN mk_sellers sl ON oi.seller_id = sl.seller_id
     WHERE o.{DELIVERED} AND r.review_score IS NOT NULL
-    GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT r.review_id) >= 30) x) y
+    GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT r.review_id) >= {min_reviews}) x) y
 ORDER BY a DESC NULLS FIRST, seller_id LIMIT 15""")
 
+
+SQL["seller_satisfaction"] = seller_satisfaction_sql()
+
 _RFM = f"""
 dref AS (SELECT MAX(order_purchase_timestamp) AS dmax FROM mk_orders WHERE {DELIVERED}),
 rfm_base AS (
@@ -648,3 +663,12 @@ FROM timed o JOIN mk_order_reviews r ON o.order_id = r.order_id
 WHERE o.{DELIVERED} AND o.order_delivered_customer_date IS NOT NULL
   AND o.order_estimated_delivery_date IS NOT NULL AND r.review_score IS NOT NULL
 GROUP BY 1""", TIMED)
+
+
+# ---------------------------------------------------------------- HAVING at the median
+# Variants whose thresholds sit at the sf0.01 medians, so that HAVING removes about half
+# of the groups and its edge (>= versus >) is exercised.
+SQL["seller_dispatch_top_pruned"] = seller_dispatch_sql(True, PRUNE_MIN_ORDERS)
+SQL["seller_dispatch_bottom_pruned"] = seller_dispatch_sql(False, PRUNE_MIN_ORDERS)
+SQL["seller_satisfaction_pruned"] = seller_satisfaction_sql(PRUNE_MIN_REVIEWS)
+SQL["category_satisfaction_pruned"] = category_satisfaction_sql(PRUNE_MIN_ROWS)

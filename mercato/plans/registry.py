@@ -62,3 +62,13 @@ JOBS: dict[str, Job] = {
     "seller_dispatch_calendar_days": metrics.seller_dispatch_calendar_days,
     "late_cliff": metrics.late_cliff,
 }
+
+# The same reports with HAVING thresholds at the test-data medians, so that the
+# thresholds actually remove groups (the source defaults remove none there).
+PRUNE_MIN_ORDERS, PRUNE_MIN_REVIEWS, PRUNE_MIN_ROWS = 463, 418, 1715
+JOBS.update({
+    "seller_dispatch_top_pruned": partial(operations.seller_dispatch_top, min_orders=PRUNE_MIN_ORDERS),
+    "seller_dispatch_bottom_pruned": partial(operations.seller_dispatch_bottom, min_orders=PRUNE_MIN_ORDERS),
+    "seller_satisfaction_pruned": partial(experience.seller_satisfaction, min_reviews=PRUNE_MIN_REVIEWS),
+    "category_satisfaction_pruned": partial(experience.category_satisfaction, min_rows=PRUNE_MIN_ROWS),
+})
