@@ -9,6 +9,8 @@ from conftest import SF_SMALL
 from oracle_check import compare_one, duck
 
 NAMES = sorted(entry_module.queries())
+# thresholds of the *_pruned variants sit at the sf0.01 medians
+SF_PRUNED = "/root/testdata/sf0.01"
 
 
 def test_every_query_has_an_oracle():
@@ -16,15 +18,16 @@ def test_every_query_has_an_oracle():
 
 
 @pytest.fixture(scope="module")
-def con():
-    return duck(SF_SMALL)
+def cons():
+    return {SF_SMALL: duck(SF_SMALL), SF_PRUNED: duck(SF_PRUNED)}
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_query_matches_oracle(spark, con, name):
+def test_query_matches_oracle(spark, cons, name):
+    sf = SF_PRUNED if name.endswith("_pruned") else SF_SMALL
     q = entry_module.queries()[name]
     sql = entry_module.oracle_sql()[name]
-    ok, rows, _, detail = compare_one(spark, con, SF_SMALL, name, q, sql)
+    ok, rows, _, detail = compare_one(spark, cons[sf], sf, name, q, sql)
     assert ok, detail
     assert rows > 0
 
