@@ -136,28 +136,50 @@ def _late_rate(per: DataFrame, key: str) -> DataFrame:
                                  F.lit(0.0)).alias("late_rate"))
 
 
-def late_rate_by_state(t: Tables) -> DataFrame:
-    """Late rate per customer state; 0 when no order has a delivery date."""
-    o = delivered_orders(t)
+CUSTOMER_DIMENSIONS = ("customer_state", "customer_city", "customer_zip_code")
+SELLER_DIMENSIONS = ("seller_id", "seller_state", "seller_city", "seller_zip_code")
+
+
+def late_rate_by(t: Tables, dimension: str) -> DataFrame:
+    """Late delivered orders / delivered orders with a delivery date, per ``dimension``.
+
+    0 when no order of a group has a delivery date.  Customer dimensions
+    count each order once (orders carry one customer).  Seller dimensions
+    count the distinct orders carrying items of the group, so an order is
+    counted once per seller (or seller state/city) it involves; the
+    (value, order) pairs are made distinct on the order-key partitioning
+    before the per-group partial aggregate.
+    """
     has_date = F.col("order_delivered_customer_date").isNotNull()
     late = F.col("order_delivered_customer_date") > F.col("order_estimated_delivery_date")
-    cust = t["customers"].select("customer_id", "customer_state")
-    per = o.join(cust, "customer_id").groupBy("customer_state").agg(
-        count_where(has_date).alias("total"), count_where(late).alias("late"))
-    return _late_rate(per, "customer_state")
+    o = delivered_orders(t)
+    if dimension in CUSTOMER_DIMENSIONS:
+        cust = t["customers"].select("customer_id", dimension)
+        flagged = o.join(cust, "customer_id").select(dimension, has_date.alias("has_date"),
+                                                      late.alias("late"))
+    elif dimension in SELLER_DIMENSIONS:
+        flags = o.select("order_id", has_date.alias("has_date"), late.alias("late"))
+        items = t["order_items"].select("order_id", "seller_id")
+        if dimension != "seller_id":
+            sellers = bounded_broadcast(t["sellers"].select("seller_id", dimension))
+            items = items.join(sellers, "seller_id")
+        flagged = items.join(flags, "order_id").select(dimension, "order_id", "has_date", "late") \
+            .distinct()
+    else:
+        raise ValueError(f"unsupported dimension {dimension!r}")
+    per = flagged.groupBy(dimension).agg(count_where(F.col("has_date")).alias("total"),
+                                         count_where(F.col("late")).alias("late"))
+    return _late_rate(per, dimension)
+
+
+def late_rate_by_state(t: Tables) -> DataFrame:
+    """Late rate per customer state."""
+    return late_rate_by(t, "customer_state")
 
 
 def late_rate_by_seller(t: Tables) -> DataFrame:
     """Late rate per seller over distinct delivered orders carrying the seller's items."""
-    o = delivered_orders(t).select(
-        "order_id",
-        F.col("order_delivered_customer_date").isNotNull().alias("has_date"),
-        (F.col("order_delivered_customer_date") > F.col("order_estimated_delivery_date")).alias("late"))
-    items = t["order_items"].select("order_id", "seller_id")
-    per_order = items.join(o, "order_id").select("seller_id", "order_id", "has_date", "late").distinct()
-    per = per_order.groupBy("seller_id").agg(count_where(F.col("has_date")).alias("total"),
-                                             count_where(F.col("late")).alias("late"))
-    return _late_rate(per, "seller_id")
+    return late_rate_by(t, "seller_id")
 
 
 def seller_dispatch_calendar_days(t: Tables) -> DataFrame:

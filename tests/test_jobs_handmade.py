@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from handmade import tables, ts
+from pyspark.sql import functions as F
 
 from mercato.functions import labels as L
 from mercato.plans import experience, metrics, operations, profiling, quality, sales
@@ -202,6 +203,14 @@ def test_late_rate_by_seller_counts_distinct_orders(spark):
     assert got == {"s1": (2, 0, 0.0), "s2": (2, 2, 1.0)}
 
 
+def test_late_rate_by_seller_state_counts_each_order_once_per_state(spark):
+    t = _sellers(spark)
+    t = {**t, "sellers": t["sellers"].withColumn("seller_state", F.lit("SP"))}
+    (r,) = rows(metrics.late_rate_by(t, "seller_state"))
+    # five distinct orders, four with a delivery date, two of them late
+    assert (r["seller_state"], r["n_delivered"], r["n_late"], r["late_rate"]) == ("SP", 4, 2, 0.5)
+
+
 # ----------------------------------------------------------------- experience
 def test_satisfaction_nps_two_step_rounding(spark):
     # 3 x score 5, 1 x score 4, 2 x score 1, 1 NULL (ignored): shares 50.00 / 16.67 / 33.33
