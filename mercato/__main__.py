@@ -3,6 +3,7 @@
     python -m mercato load --csv-dir raw/ --out warehouse/tables [--bucketed]
     python -m mercato testdata --sf-dir /root/testdata/sf0.01 --out warehouse/tables
     python -m mercato reports --tables warehouse/tables --out warehouse/reports [--only name ...]
+    python -m mercato reports --tables warehouse/tables --out warehouse/reports --group sales
 
 ``load`` expects one ``<table>.csv`` file (or folder of parts) per table.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 import argparse
 import os
 
-from mercato.plans.registry import JOBS
+from mercato.plans.registry import GROUPS, JOBS
 from mercato.plans.reports import run_reports
 from mercato.session import build_session
 from mercato.sources.catalog import read_tables, write_tables
@@ -36,6 +37,7 @@ def main(argv: list[str] | None = None) -> None:
     rp.add_argument("--tables", required=True)
     rp.add_argument("--out", required=True)
     rp.add_argument("--only", nargs="*", choices=sorted(JOBS))
+    rp.add_argument("--group", choices=sorted(GROUPS), help="one dashboard's report set")
     args = ap.parse_args(argv)
 
     spark = build_session(args.master)
@@ -48,7 +50,8 @@ def main(argv: list[str] | None = None) -> None:
         write_tables(star_tables(spark, args.sf_dir), args.out)
         print(f"wrote {sorted(SCHEMAS)} to {args.out}")
     else:
-        paths = run_reports(read_tables(spark, root=args.tables), args.out, args.only)
+        names = list(GROUPS[args.group]) if args.group else args.only
+        paths = run_reports(read_tables(spark, root=args.tables), args.out, names)
         for name, path in paths.items():
             print(f"{name}\t{path}")
     spark.stop()

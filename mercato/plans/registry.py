@@ -72,3 +72,16 @@ JOBS.update({
     "seller_satisfaction_pruned": partial(experience.seller_satisfaction, min_reviews=PRUNE_MIN_REVIEWS),
     "category_satisfaction_pruned": partial(experience.category_satisfaction, min_rows=PRUNE_MIN_ROWS),
 })
+
+# The report groups a dashboard consumes, in the order the source lists its queries.
+GROUPS: dict[str, tuple[str, ...]] = {
+    "profiling": ("row_counts", "period_coverage", "status_profile", "null_profile",
+                  "score_distribution"),
+    "sales": ("sales_kpis", "monthly_revenue", "category_revenue_top", "state_revenue",
+              "payment_mix", "installment_tranches"),
+    "operations": ("delivery_delay_kpis", "punctuality_buckets", "state_delivery",
+                   "order_status_mix", "seller_dispatch_top", "seller_dispatch_bottom"),
+    "experience": ("satisfaction_kpis", "category_satisfaction", "delay_vs_score",
+                   "seller_satisfaction", "rfm_scores", "rfm_segment_summary"),
+    "quality": ("constraint_audit", "orphan_audit"),
+}

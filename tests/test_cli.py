@@ -23,3 +23,12 @@ def test_testdata_then_reports(spark):
     r = _run("reports", "--tables", f"{d}/tables", "--out", f"{d}/reports", "--only", "payment_mix")
     assert r.returncode == 0, r.stderr[-2000:]
     assert spark.read.parquet(f"{d}/reports/payment_mix").count() == 4
+    r = _run("reports", "--tables", f"{d}/tables", "--out", f"{d}/dash", "--group", "sales")
+    assert r.returncode == 0, r.stderr[-2000:]
+    assert len(r.stdout.strip().splitlines()) == 6
+
+
+def test_groups_name_registered_jobs():
+    from mercato.plans.registry import GROUPS, JOBS
+    assert all(name in JOBS for names in GROUPS.values() for name in names)
+    assert sum(len(GROUPS[g]) for g in ("sales", "operations", "experience")) == 18
