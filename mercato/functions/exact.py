@@ -28,9 +28,15 @@ def idiv(a: Column, b: Column) -> Column:
 
 
 def rounded_scaled(num: Column, den: Column, digits: int) -> Column:
-    """``round(num/den, digits) * 10^digits`` as an exact integer; NULL if den is 0."""
+    """``round(num/den, digits) * 10^digits`` as an exact integer; NULL if den is 0.
+
+    Operands are widened to DECIMAL(38,0) first, so scaling a large BIGINT
+    total (cents x 100 x 10^digits) cannot overflow; only the quotient,
+    the rounded result itself, has to fit a BIGINT.
+    """
     scale = 10 ** digits
-    q = idiv(F.abs(num) * (2 * scale) + F.abs(den), F.abs(den) * 2)
+    n, d = F.abs(wide(num)), F.abs(wide(den))
+    q = idiv(n * (2 * scale) + d, d * 2)
     negative = (num < 0) != (den < 0)
     return F.when(den == 0, F.lit(None)).when(negative, -q).otherwise(q)
 

@@ -69,3 +69,12 @@ def test_cents_and_money_roundtrip(spark):
     rows = df.select(exact.cents(F.col("v")).alias("c"), exact.money(exact.cents(F.col("v"))).alias("m")).collect()
     assert [r.c for r in rows] == [1235, 5, -310]
     assert [r.m for r in rows] == [12.35, 0.05, -3.10]
+
+
+def test_large_totals_do_not_overflow(spark):
+    # 5e16 cents of 1e17: part * 100 fits a BIGINT, the scaled numerator does not
+    df = spark.createDataFrame([(5 * 10**16, 10**17, 9 * 10**17, 7)], "p long, w long, s long, n long")
+    r = df.select(exact.percent(F.col("p"), F.col("w"), 2).alias("pct"),
+                  exact.round_ratio(F.col("s"), F.col("n") * 100, 2).alias("avg")).first()
+    assert r.pct == 50.0
+    assert r.avg == ref_round(9 * 10**17, 700, 2)
