@@ -298,3 +298,11 @@ def test_load_check_against_expected_counts(spark):
     assert got["customers"] == (0, None, None)
     default = {r["table_name"]: r["expected_rows"] for r in rows(profiling.load_check(t))}
     assert default["geolocation"] == 1_000_163 and default["product_category_translation"] is None
+
+
+def test_preview_every_listed_table(small_tables):
+    for table in profiling.PREVIEW_TABLES:
+        got = profiling.preview(small_tables, table).collect()
+        assert 0 < len(got) <= 5, table
+        keys = [tuple(r[k] for k in profiling.PRIMARY_KEYS[table]) for r in got]
+        assert keys == sorted(keys), table
