@@ -74,6 +74,7 @@ def main() -> None:
         "unit": "sec",
         "queries": timings,
         "first_run_sum_sec": round(sum(first.values()), 3),
+        "first_run_queries": first,
         "repeat": repeat,
         "load_sec": round(load_sec, 3),
         "layout": layout,
