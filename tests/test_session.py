@@ -17,3 +17,44 @@ def test_checkpoint_dir_kept_when_set(spark):
     before = spark.sparkContext.getCheckpointDir()
     assert before
     assert ensure_checkpoint_dir(spark) == before
+
+
+class _Ctx:
+    def __init__(self, master, current=None):
+        self.master, self._dir = master, current
+
+    def getCheckpointDir(self):
+        return self._dir
+
+    def setCheckpointDir(self, d):
+        self._dir = d
+
+
+class _Conf:
+    def __init__(self, values):
+        self.values = values
+
+    def get(self, key, default=None):
+        return self.values.get(key, default)
+
+
+class _Session:
+    def __init__(self, master, conf=None):
+        self.sparkContext = _Ctx(master)
+        self.conf = _Conf(conf or {})
+
+
+def test_cluster_without_checkpoint_dir_refuses_local_folder():
+    import pytest
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(_Session("spark://cluster:7077"))
+
+
+def test_checkpoint_dir_read_from_session_setting():
+    s = _Session("spark://cluster:7077", {"spark.checkpoint.dir": "hdfs://shared/ckpt"})
+    assert ensure_checkpoint_dir(s) == "hdfs://shared/ckpt"
+
+
+def test_local_session_without_setting_gets_scratch_folder():
+    s = _Session("local[2]")
+    assert "mercato-ckpt-" in ensure_checkpoint_dir(s)
