@@ -11,6 +11,10 @@ offset.  The range-partitioned result is checkpointed to the reliable
 checkpoint directory first, so both passes (counting and numbering)
 see the same partitions, and a lost executor recomputes from the
 checkpoint rather than re-sampling new range bounds.
+
+``group_row_number`` applies the same numbering to ``ROW_NUMBER() OVER
+(PARTITION BY g ORDER BY ...)``, so one group holding a third of all rows
+is not numbered inside a single task either.
 """
 
 from __future__ import annotations
