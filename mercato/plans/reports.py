@@ -18,9 +18,7 @@ def build_reports(t: Tables, names: list[str] | None = None) -> dict[str, DataFr
     wanted = names or list(JOBS)
     out: dict[str, DataFrame] = {}
     if {"rfm_scores", "rfm_segment_summary"} & set(wanted):
-        scored = experience.rfm_scored(t)
-        out["rfm_scores"] = experience.rfm_scores(t, scored=scored)
-        out["rfm_segment_summary"] = experience.rfm_segment_summary(t, scored=scored)
+        out["rfm_scores"], out["rfm_segment_summary"] = experience.rfm_reports(t)
     for name in wanted:
         if name not in out:
             out[name] = JOBS[name](t)
