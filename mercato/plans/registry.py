@@ -63,6 +63,9 @@ JOBS: dict[str, Job] = {
     "late_cliff": metrics.late_cliff,
 }
 
+# Every report and metric (what ``run_reports`` writes by default).
+REPORTS: tuple[str, ...] = tuple(JOBS)
+
 # The same reports with HAVING thresholds at the test-data medians, so that the
 # thresholds actually remove groups (the source defaults remove none there).
 PRUNE_MIN_ORDERS, PRUNE_MIN_REVIEWS, PRUNE_MIN_ROWS = 463, 418, 1715

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 
 from mercato.plans import experience
 from mercato.plans.facts import Tables
-from mercato.plans.registry import JOBS
+from mercato.plans.registry import JOBS, REPORTS
 from mercato.sources.catalog import write_report
 
 
 def build_reports(t: Tables, names: list[str] | None = None) -> dict[str, DataFrame]:
-    wanted = names or list(JOBS)
+    wanted = names or list(REPORTS)
     out: dict[str, DataFrame] = {}
     if {"rfm_scores", "rfm_segment_summary"} & set(wanted):
         out["rfm_scores"], out["rfm_segment_summary"] = experience.rfm_reports(t)
