@@ -306,3 +306,19 @@ def test_preview_every_listed_table(small_tables):
         assert 0 < len(got) <= 5, table
         keys = [tuple(r[k] for k in profiling.PRIMARY_KEYS[table]) for r in got]
         assert keys == sorted(keys), table
+
+
+def test_null_groups_state_and_month(spark):
+    t = _sales(spark)
+    extra = tables(
+        spark,
+        orders=[dict(order_id="o8", customer_id="c8", order_status="delivered",
+                     order_purchase_timestamp=None)],
+        customers=[dict(customer_id="c8", customer_unique_id="u8", customer_state=None)],
+        order_payments=[dict(order_id="o8", payment_sequential=1, payment_type="boleto",
+                             payment_installments=1, payment_value="5.00")])
+    t = {n: t[n].unionByName(extra[n]) for n in t}
+    months = rows(sales.monthly_revenue(t))
+    assert months[-1] == dict(month=None, revenue=5.0, n_orders=1, prev_revenue=10.0, growth_pct=-50.0)
+    states = {r["state"]: (r["revenue"], r["revenue_rank"]) for r in rows(sales.state_revenue(t))}
+    assert states[None] == (5.0, 4) and states["SP"] == (170.01, 1)
