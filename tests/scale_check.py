@@ -81,6 +81,22 @@ def rfm_scaled(t, reps: int):
     return {**t, "customers": customers, "orders": orders, "order_payments": payments}
 
 
+def shuffle_bytes_after(log_dir: str, start_ms: int) -> int:
+    """Shuffle bytes written by tasks launched after ``start_ms`` (the jobs, not the load)."""
+    total = 0
+    for path in glob.glob(f"{log_dir}/**/*", recursive=True):
+        if os.path.isdir(path):
+            continue
+        with open(path) as f:
+            for line in f:
+                ev = json.loads(line)
+                if (ev["Event"] == "SparkListenerTaskEnd" and "Task Metrics" in ev
+                        and ev["Task Info"]["Launch Time"] >= start_ms):
+                    total += ev["Task Metrics"].get("Shuffle Write Metrics", {}).get(
+                        "Shuffle Bytes Written", 0)
+    return total
+
+
 def stage_skew(log_dir: str):
     tasks: dict[tuple, list[int]] = {}
     names: dict[tuple, str] = {}
@@ -138,6 +154,7 @@ def main():
     write_tables(derived, f"{scratch}/tables", bucketed=bucketed, buckets=32)
     t = read_tables(spark, database="mercato") if bucketed else read_tables(spark, root=f"{scratch}/tables")
     n_orders = t["orders"].count()
+    jobs_start_ms = int(time.time() * 1000)
     timings = {}
     jobs = [("rfm_scores", lambda: experience.rfm_scores(t, sort=False)),
                       ("sales_kpis", lambda: sales.sales_kpis(t)),
@@ -159,7 +176,8 @@ def main():
         timings[name] = round(time.perf_counter() - s, 2)
     spark.stop()
     worst = [r for r in stage_skew(f"{scratch}/events") if r[2] > n_orders // 10]
-    print(json.dumps({"mode": mode,
+    shuffled = shuffle_bytes_after(f"{scratch}/events", jobs_start_ms)
+    print(json.dumps({"mode": mode, "job_shuffle_bytes": shuffled,
                       "orders": n_orders, "reps": reps, "timings_sec": timings,
                       "largest_task_share_top6": [
                           {"share": round(a, 3), "max_records": b, "stage_records": c, "tasks": d}
