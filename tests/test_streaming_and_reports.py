@@ -38,3 +38,11 @@ def test_run_reports_writes_every_requested_report(spark, small_tables):
     n_people = spark.read.parquet(paths["rfm_scores"]).count()
     summary = spark.read.parquet(paths["rfm_segment_summary"]).collect()
     assert sum(r.n_customers for r in summary) == n_people
+
+
+def test_build_reports_defaults_to_base_reports(small_tables):
+    from mercato.plans.registry import REPORTS
+    from mercato.plans.reports import build_reports
+    built = build_reports(small_tables)
+    assert list(built) == list(REPORTS) and len(built) == 42
+    assert not any(name.endswith("_pruned") for name in built)
