@@ -32,3 +32,15 @@ def test_groups_name_registered_jobs():
     from mercato.plans.registry import GROUPS, JOBS
     assert all(name in JOBS for names in GROUPS.values() for name in names)
     assert sum(len(GROUPS[g]) for g in ("sales", "operations", "experience")) == 18
+
+
+def test_load_from_csv_folder(spark, small_tables):
+    d = tempfile.mkdtemp(prefix="cli-load-")
+    for name in ("orders", "sellers"):
+        (small_tables[name].write.option("header", "true")
+         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("nullValue", "\\N")
+         .csv(f"{d}/raw/{name}.csv"))
+    r = _run("load", "--csv-dir", f"{d}/raw", "--out", f"{d}/tables")
+    assert r.returncode == 0, r.stderr[-2000:]
+    assert "['orders', 'sellers']" in r.stdout
+    assert spark.read.parquet(f"{d}/tables/orders").count() == small_tables["orders"].count()
