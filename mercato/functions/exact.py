@@ -67,8 +67,25 @@ def money(cents_col: Column) -> Column:
 
 
 def elapsed_micros(start: Column, end: Column) -> Column:
-    """``end - start`` in microseconds (signed BIGINT); NULL if either is NULL."""
-    return F.timestamp_diff("MICROSECOND", start, end)
+    """``end - start`` in microseconds (signed BIGINT); NULL if either is NULL.
+
+    Subtracting two wall-clock (NTZ) timestamps gives a day-time interval
+    computed without any time zone, as the source's ``timestamp - timestamp``
+    does; converting through the session zone instead would shift
+    wall-clock times that fall into a daylight-saving gap.
+    """
+    seconds = (end - start).cast("interval second").cast("decimal(20,6)")
+    return (seconds * 1_000_000).cast("bigint")
+
+
+def timestamp_text(ts: Column) -> Column:
+    """Wall-clock ``yyyy-MM-dd HH:mm:ss`` of an NTZ timestamp, independent of the session zone."""
+    return F.substring(ts.cast("string"), 1, 19)
+
+
+def month_text(ts: Column) -> Column:
+    """Wall-clock ``yyyy-MM`` of an NTZ timestamp, independent of the session zone."""
+    return F.substring(ts.cast("string"), 1, 7)
 
 
 def wide(c: Column) -> Column:

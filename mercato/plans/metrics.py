@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.exact import (avg_days, count_where, elapsed_micros, money, percent,
-                                     round_ratio, wide)
+from mercato.functions.exact import (avg_days, count_where, elapsed_micros, money, month_text,
+                                     percent, round_ratio, wide)
 from mercato.operators.joins import bounded_broadcast
 from mercato.plans.facts import (Tables, category_dim, delivered_orders, item_rows,
                                  order_timings)
@@ -81,7 +81,7 @@ def monthly_delivery_delay(t: Tables) -> DataFrame:
         & F.col("order_purchase_timestamp").isNotNull())
     timed = order_timings(o)
     cols = ("actual_us", "promised_us", "gap_us", "handling_us")
-    per = timed.groupBy(F.date_format("order_purchase_timestamp", "yyyy-MM").alias("month")).agg(
+    per = timed.groupBy(month_text(F.col("order_purchase_timestamp")).alias("month")).agg(
         F.count(F.lit(1)).alias("n_orders"),
         *[F.sum(wide(F.col(c))).alias(f"{c}_s") for c in cols],
         *[F.count(c).alias(f"{c}_n") for c in cols])

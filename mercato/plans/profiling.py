@@ -7,14 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.exact import count_where
+from mercato.functions.exact import count_where, month_text, timestamp_text
 from mercato.functions.labels import SCORE_BAR_MARK
 from mercato.operators.shares import with_share
 from mercato.plans.facts import Tables
 from mercato.sources.schemas import PRIMARY_KEYS
 
-TS_TEXT = "yyyy-MM-dd HH:mm:ss"
-
 # Default null-profile columns (the two profiled tables of the source).
 DEFAULT_NULL_COLUMNS = {
     "orders": ("order_delivered_customer_date", "order_approved_at"),
@@ -82,9 +80,9 @@ def period_coverage(t: Tables) -> DataFrame:
     """First and last purchase (text) and the number of months that have orders."""
     ts = F.col("order_purchase_timestamp")
     agg = t["orders"].agg(F.min(ts).alias("first"), F.max(ts).alias("last"),
-                          F.countDistinct(F.date_format(ts, "yyyy-MM")).alias("n_months"))
-    return agg.select(F.date_format("first", TS_TEXT).alias("first_order"),
-                      F.date_format("last", TS_TEXT).alias("last_order"),
+                          F.countDistinct(month_text(ts)).alias("n_months"))
+    return agg.select(timestamp_text(F.col("first")).alias("first_order"),
+                      timestamp_text(F.col("last")).alias("last_order"),
                       F.col("n_months").cast("bigint"))
 
 

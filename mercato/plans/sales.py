@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mercato.functions.exact import money, round_ratio
+from mercato.functions.exact import money, month_text, round_ratio
 from mercato.functions.labels import installment_tranche
 from mercato.operators.joins import bounded_broadcast
 from mercato.operators.ranking import rank_over, top_k
@@ -60,14 +60,14 @@ def monthly_revenue(t: Tables, fill_gaps: bool = False) -> DataFrame:
     """
     paid = _delivered_paid_orders(t)
     by_month = paid.groupBy(
-        F.date_format("order_purchase_timestamp", "yyyy-MM").alias("month")).agg(
+        month_text(F.col("order_purchase_timestamp")).alias("month")).agg(
         F.sum("pay_cents").alias("rev"),
         F.count(F.lit(1)).alias("n_orders"))
     if fill_gaps:
         first_day = F.to_date(F.concat(F.col("month"), F.lit("-01")))
         span = by_month.agg(F.min(first_day).alias("lo"), F.max(first_day).alias("hi"))
         calendar = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("d")) \
-            .select(F.date_format("d", "yyyy-MM").alias("month"))
+            .select(F.substring(F.col("d").cast("string"), 1, 7).alias("month"))
         by_month = calendar.join(by_month, "month", "full_outer").select(
             "month", F.coalesce("rev", F.lit(0)).alias("rev"),
             F.coalesce("n_orders", F.lit(0)).alias("n_orders"))

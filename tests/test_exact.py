@@ -78,3 +78,18 @@ def test_large_totals_do_not_overflow(spark):
                   exact.round_ratio(F.col("s"), F.col("n") * 100, 2).alias("avg")).first()
     assert r.pct == 50.0
     assert r.avg == ref_round(9 * 10**17, 700, 2)
+
+
+def test_wall_clock_arithmetic_ignores_session_zone(spark):
+    """00:30 on 1995-10-15 does not exist in Sao Paulo (clocks jumped to 01:00)."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        df = spark.sql("SELECT timestamp_ntz'1995-10-15 00:30:00' AS g, timestamp_ntz'1995-10-14 23:30:00' AS a")
+        r = df.select(exact.elapsed_micros(F.col("a"), F.col("g")).alias("u"),
+                      exact.timestamp_text(F.col("g")).alias("txt"),
+                      exact.month_text(F.col("g")).alias("m")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert r.u == 3_600_000_000
+    assert r.txt == "1995-10-15 00:30:00" and r.m == "1995-10"
