@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import decontaminate, exact_dedup, packing, token_counts, url_filter
+from mercato.llm import decontaminate, exact_dedup, language_id, packing, token_counts, url_filter
 
 # The rules of the URL query.
 URL_RULES = [
@@ -55,6 +55,13 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs.filter(~held_out))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digests=True)
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op7_url_filter": op7_url_filter,
+    "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
