@@ -53,10 +53,14 @@ def _group_hash(n: Column, prefix: Column) -> Column:
 
 
 def surviving_groups(keys: DataFrame) -> DataFrame:
-    """(n, prefix) groups of two rows or more, looked for only among lengths met twice or more."""
-    lengths = keys.groupBy("n").count().filter("count > 1").select("n")
-    same_length = keys.join(lengths, "n", "left_semi")
-    return same_length.groupBy("n", "prefix").count().filter("count > 1").select("n", "prefix")
+    """(n, prefix) groups of two rows or more, looked for only among lengths met twice or more.
+
+    Rows are counted per (n, prefix) first, so copies of one text meet their
+    length as one counted row.
+    """
+    counted = keys.groupBy("n", "prefix").agg(F.count(F.lit(1)).alias("rows"))
+    lengths = counted.groupBy("n").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("n")
+    return counted.join(lengths, "n", "left_semi").filter("rows > 1").select("n", "prefix")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

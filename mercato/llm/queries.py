@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import decontaminate, exact_dedup, language_id, packing, token_counts, url_filter
+from mercato.llm import decontaminate, exact_dedup, language_id, near_dedup, packing, token_counts, url_filter
 
 # The rules of the URL query.
 URL_RULES = [
@@ -47,6 +47,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
@@ -70,6 +74,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_decontaminate": op3_decontaminate,
+    "op4_near_dedup": op4_near_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_url_filter": op7_url_filter,
     "op9_language_id": op9_language_id,
@@ -137,3 +142,27 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+_SPACE_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+SQL["op4_near_dedup"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACE_WORDS.format(_LOWER)} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS k
+  FROM d, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+  WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach(doc_id, other) AS (
+  SELECT x, y FROM links
+  UNION
+  SELECT reach.doc_id, links.y FROM reach JOIN links ON reach.other = links.x),
+smallest AS (SELECT doc_id, least(doc_id, min(other)) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+       coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN smallest USING (doc_id)
+"""
