@@ -14,7 +14,7 @@ import types
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercato.session import ensure_checkpoint_dir
@@ -79,5 +79,37 @@ def filter_bytes(hashes: DataFrame, column: str, bits: int) -> bytes:
     return bytes(out)
 
 
-def empty_session(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def filter_bit(position: Column, bitmap: str = "bitmap") -> Column:
+    """Whether the bit of ``position`` is set in the bitmap of its bucket (false without a bitmap)."""
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), ((position % BITS_PER_BITMAP) / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    return F.coalesce(F.call_function("getbit", byte.cast("int"), (position % 8).cast("int")) == 1, F.lit(False))
+
+
+def text_hash(text_col: str = "text") -> Column:
+    """With the id, the key of a row: tells texts of one id apart."""
+    return F.xxhash64(F.col(text_col))
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            bits: int = 1 << 24, once: DataFrame | None = None) -> DataFrame:
+    """``docs`` (all columns) without the rows whose (id, text hash) is in ``dropped``.
+
+    Both tables of keys have the columns ``doc_id`` and ``text_hash``; of rows
+    in ``once`` that are the same in id and text a single one stays.  A filter
+    of fixed size lets most rows pass where they are read; only rows that it
+    cannot clear are shuffled with their texts to be joined exactly.
+    """
+    listed = dropped if once is None else dropped.unionByName(once)
+    bitmap = filter_rows(listed.select(F.xxhash64("doc_id", "text_hash").alias("h")), "h", bits)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), text_hash(text_col).alias("text_hash"))
+    rows = rows.withColumn("position", filter_position(F.xxhash64("doc_id", "text_hash"), bits))
+    rows = rows.withColumn("bucket", F.expr(f"position div {BITS_PER_BITMAP}"))
+    # at most bits / 8 bytes, whatever the data
+    rows = rows.join(F.broadcast(bitmap), "bucket", "left").withColumn("listed", filter_bit(F.col("position")))
+    keys = dropped.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct()
+    open_rows = rows.filter("listed").select("row", "doc_id", "text_hash")
+    rest = open_rows.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id"))
+                          & F.col("text_hash").eqNullSafe(F.col("k_hash")), "left_anti")
+    if once is not None:
+        rest = rest.dropDuplicates(["doc_id", "text_hash"])
+    return rows.filter("NOT listed").select("row.*").unionByName(rest.select("row.*"))

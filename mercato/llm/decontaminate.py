@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import by_value
+from mercato.llm.common import by_value, store, text_hash, without
 from mercato.llm.words import ALNUM, mix, words_of
 
 by_value(__name__)
@@ -234,18 +234,25 @@ def _merged(passes: list[DataFrame]) -> DataFrame:
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
                    pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_hit, spans, item_ids``.
+    """One row per document: ``doc_id, text_hash, n_words, n_hit, spans, item_ids``.
 
     ``spans`` are the hit word ranges (with several passes they may overlap);
     ``item_ids`` the items with occurring windows, as strings in string order.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("text_hash"),
                        F.col(text_col).alias("text"))
     passes = [_scan(rows, part, window) for part in _parts(benchmark, item_col, item_text_col, pattern_bytes)]
     out = passes[0] if len(passes) == 1 else _merged(passes)
-    return out.select("doc_id", "n_words", "n_hit", "spans", "item_ids")
+    return out.select("doc_id", "text_hash", "n_words", "n_hit", "spans", "item_ids")
 
 
 def contaminated(n_hit, n_words):
     """A document is contaminated when at least a twentieth of its words are hit."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all columns."""
+    hits = benchmark_hits(docs, benchmark, id_col, text_col)
+    found = hits.filter(contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id", "text_hash")
+    return without(docs, store(found, "contaminated"), id_col, text_col)

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import BITS_PER_BITMAP, filter_position, filter_rows, store
+from mercato.llm.common import BITS_PER_BITMAP, filter_bit, filter_position, filter_rows, store, text_hash, without
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 PREFIX_CHARS = 64
@@ -42,7 +42,7 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, code points, normalised length, prefix hash (and the normalised text)."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     base = base.withColumn("norm", normalised(F.col("text")))
-    return base.select("doc_id", "norm",
+    return base.select("doc_id", "norm", text_hash().alias("text_hash"),
                        F.length(F.coalesce("text", F.lit(""))).alias("chars"),
                        F.octet_length("norm").alias("n"),
                        F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix"))
@@ -65,13 +65,13 @@ def surviving_groups(keys: DataFrame) -> DataFrame:
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  digests: bool = False, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept``.
+    """One row per input row: ``doc_id, text_hash, keep_id, group_size, kept``.
 
     With ``digests`` the column ``text_sha256`` of every row's normalised
     text is returned too (then every row is hashed in full); without it only
     rows of surviving groups are.
     """
-    keys = store(_keys(docs, id_col, text_col).drop("norm"), "exact-keys")
+    keys = store(_keys(docs, id_col, text_col).select("n", "prefix"), "exact-keys")
     groups = surviving_groups(keys)
     bitmap = filter_rows(groups.select(_group_hash(F.col("n"), F.col("prefix")).alias("h")), "h", filter_bits)
 
@@ -80,14 +80,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("bucket", F.expr(f"position div {BITS_PER_BITMAP}"))
     # At most filter_bits / 8 bytes whatever the data: broadcast with a proven bound.
     rows = rows.join(F.broadcast(bitmap), "bucket", "left")
-    byte = F.conv(F.hex(F.expr(f"substring(bitmap, int((position % {BITS_PER_BITMAP}) div 8) + 1, 1)")), 16, 10)
-    bit = F.call_function("getbit", byte.cast("int"), F.expr("int(position % 8)"))
-    rows = rows.withColumn("survives", F.coalesce(bit == 1, F.lit(False)))
+    rows = rows.withColumn("survives", filter_bit(F.col("position")))
     full = F.unhex(F.sha2("norm", 256))
     # A row that cannot have an equal gets a key of its own: spread evenly, equal to no digest.
     alone = F.to_binary(F.concat_ws(":", F.xxhash64("doc_id"), "n", "prefix"), F.lit("utf-8"))
     hashed = store(rows.select(
-        "doc_id", "chars", "survives",
+        "doc_id", "text_hash", "chars", "survives",
         (full if digests else F.when(F.col("survives"), full).otherwise(alone)).alias("digest")), "exact-full")
 
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("u"),
@@ -99,8 +97,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = hashed.join(winners, "digest", "left")
     grouped = F.col("group_size").isNotNull()
     out = joined.select(
-        "doc_id",
+        "doc_id", "text_hash",
         F.when(grouped, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
         *([F.lower(F.hex("digest")).alias("text_sha256")] if digests else []))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all columns; of rows repeated in id and text one stays."""
+    groups = store(exact_groups(docs, id_col, text_col), "exact-groups")
+    repeated = groups.filter("group_size > 1").groupBy("doc_id", "text_hash").count().filter("count > 1")
+    return without(docs, groups.filter("NOT kept").select("doc_id", "text_hash"), id_col, text_col,
+                   once=repeated.select("doc_id", "text_hash"))

@@ -234,3 +234,30 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def held_out(doc_id: Column) -> Column:
     """Rows that are never learned from: crc32 of the id as text, modulo 4, is 2 (a null id counts as empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+MIN_LETTERS = 200  # ambiguity of a shorter text says little
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose language is known.
+
+    Rejected are texts without a letter, and ambiguous ones that have letters
+    enough to tell.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (model.languages, model.code, model.weights, model.trust))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(place).to_pylist()]
+            sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+            keep = []
+            for i, j in row_groups(sizes, PIECE_CHARS):
+                langs, _, doubts, letters = model.predict(texts[i:j])
+                keep.append((np.array(langs) != UNKNOWN) & ~(doubts & (letters >= MIN_LETTERS)))
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.empty(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)

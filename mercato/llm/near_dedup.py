@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import by_value, filter_bytes, filter_position, store
+from mercato.llm.common import by_value, filter_bytes, filter_position, store, text_hash, without
 from mercato.llm.components import components
 from mercato.llm.words import NOT_SPACE, mix, starts_inside, window_hashes, words_of
 
@@ -108,7 +108,7 @@ class Sets:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, h1, h2, signature`` of every row of (doc_id, text); no signature for an empty set."""
+    """``doc_id, text_hash, n, h1, h2, signature`` of every row; no signature for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,11 +118,12 @@ def sign(docs: DataFrame) -> DataFrame:
                 rows = iter(sets.signatures())
                 signed = [next(rows).tobytes() if n else None for n in sets.sizes]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(piece.first, len(sets.sizes)), pa.array(sets.sizes, pa.int64()),
-                     pa.array(h1), pa.array(h2), pa.array(signed, pa.binary())],
-                    names=["doc_id", "n", "h1", "h2", "signature"])
+                    [*(batch.column(k).slice(piece.first, len(sets.sizes)) for k in (0, 2)),
+                     pa.array(sets.sizes, pa.int64()), pa.array(h1), pa.array(h2), pa.array(signed, pa.binary())],
+                    names=["doc_id", "text_hash", "n", "h1", "h2", "signature"])
 
-    return docs.mapInArrow(run, f"doc_id {_kind(docs)}, n bigint, h1 bigint, h2 bigint, signature binary")
+    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(
+        run, f"doc_id {_kind(docs)}, text_hash bigint, n bigint, h1 bigint, h2 bigint, signature binary")
 
 
 def _kind(df: DataFrame, column: str = "doc_id") -> str:
@@ -314,7 +315,7 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept``."""
+    """One row per input row: ``doc_id, text_hash, n_shingles, component_id, kept``."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = _kind(docs)
     signed = store(sign(docs), "near-signed")
@@ -350,5 +351,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = signed.drop("signature").join(belongs, ["n", "h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one document of each group, with all columns."""
+    groups = store(near_groups(docs, id_col, text_col), "near-groups")
+    return without(docs, groups.filter("NOT kept").select("doc_id", "text_hash"), id_col, text_col)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import decontaminate, exact_dedup, language_id, near_dedup, packing, substring_dedup, token_counts, url_filter
+from mercato.llm import decontaminate, exact_dedup, language_id, near_dedup, packing, pii, quality, substring_dedup, token_counts, url_filter
 
 # The rules of the URL query.
 URL_RULES = [
@@ -39,6 +39,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select(
@@ -48,13 +53,18 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+    return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a deployment passes its own secret key; equal values stay linked under one key
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key="public-test-key")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -78,9 +88,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
     "op3_decontaminate": op3_decontaminate,
     "op4_near_dedup": op4_near_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_pseudonyms": op6_pseudonyms,
     "op7_url_filter": op7_url_filter,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
