@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  The session time zone matters for
 # month truncation of timestamps; AQE re-plans joins and coalesces
@@ -17,8 +18,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # remove checkpoint files (the RFM tiling writes three per run) once
-    # their DataFrames are garbage-collected
+    # remove checkpoint files once their DataFrames are garbage-collected
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
@@ -33,12 +33,14 @@ def cluster_conf(total_input_bytes: int, executor_cores_total: int,
     Scan splits of 256 MB; an initial shuffle partition count that keeps
     each shuffle partition near ``target_partition_bytes`` even if a job
     shuffles as much as it reads (AQE then coalesces the small ones), at
-    least twice the total cores; skew splitting above 4x the target.
+    least twice the total cores; skew splitting above 4x the target.  The
+    count follows the input without a cap; where the driver should track
+    fewer partitions, pass a larger ``target_partition_bytes``.
     """
     initial = max(2 * executor_cores_total, -(-total_input_bytes // target_partition_bytes))
     return {
         "spark.sql.files.maxPartitionBytes": str(256 * MB),
-        "spark.sql.shuffle.partitions": str(min(initial, 400_000)),
+        "spark.sql.shuffle.partitions": str(initial),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
     }
@@ -82,3 +84,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             "spark.checkpoint.dir is not set; on a cluster it must name a shared folder")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="mercato-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the session's checkpoint folder and read it back (lineage is cut).
+
+    A ``DataFrame.checkpoint`` would compute its last stage twice, once to
+    count and once to write; a written table is computed once, survives lost
+    executors and is read back with column pruning.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
