@@ -1,23 +1,20 @@
 """Shared plumbing of the training-data operators: stored intermediates and
 a membership filter of fixed size.
 
-``store`` writes an intermediate to the shared checkpoint folder and reads it
-back.  A plain ``DataFrame.checkpoint`` would compute its last stage twice
-(once to count, once to write); a written table is computed once, survives
-lost executors, and is read back with column pruning.
+``store`` (of ``mercato.session``) writes an intermediate to the shared
+checkpoint folder and reads it back.
 """
 
 from __future__ import annotations
 
 import sys
 import types
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.session import ensure_checkpoint_dir
+from mercato.session import store  # noqa: F401  (used by the operators)
 
 # One bitmap of Spark's bitmap functions covers this many positions.
 BITS_PER_BITMAP = 32768
@@ -40,14 +37,6 @@ def worker_state(name: str) -> dict:
 by_value(__name__)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the session's checkpoint folder and read it back (lineage is cut)."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def filter_position(key_hash: Column, bits: int) -> Column:
     """Position of a 64-bit hash in a filter of ``bits`` positions (a power of two)."""
     return key_hash.bitwiseAND(F.lit(bits - 1))

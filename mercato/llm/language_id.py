@@ -65,9 +65,9 @@ class Grams:
     """Hashed n-gram cells of many texts at once."""
 
     def __init__(self, texts: list[str]):
-        joined = "".join(t.lower() + " " for t in texts)
-        points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
-        lengths = np.fromiter((len(t.lower()) + 1 for t in texts), dtype=np.int64, count=len(texts))
+        lowered = [t.lower() + " " for t in texts]
+        points = np.frombuffer("".join(lowered).encode("utf-32-le"), dtype=np.uint32)
+        lengths = np.fromiter(map(len, lowered), dtype=np.int64, count=len(texts))
         row = np.repeat(np.arange(len(texts)), lengths)
         letter = _letters(points)
         # every run of other characters becomes one gap mark, so that words keep their edges
@@ -83,7 +83,7 @@ class Grams:
         """(row, cell) of every n-gram."""
         p, rows = self.points, self.row
         n = len(p)
-        found_rows, found = [], []
+        found_rows, found = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
         with np.errstate(over="ignore"):
             for size in (1, 2, 3):
                 m = n - size + 1

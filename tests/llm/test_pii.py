@@ -1,0 +1,81 @@
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from mercato.llm import pii
+
+
+def luhn(number):
+    digits = [int(c) for c in re.sub(r"\D", "", number)][::-1]
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+
+
+def noise(key, kind, i, half):
+    return int(hashlib.sha256(f"{key}:{kind}:{i}:{half}".encode()).hexdigest()[:15], 16)
+
+
+def feistel(left, right, a, b, key, kind):
+    for i in range(1, pii.ROUNDS + 1):
+        if i % 2:
+            left = (left + noise(key, kind, i, right) % a) % a
+        else:
+            right = (right + noise(key, kind, i, left) % b) % b
+    return left, right
+
+
+def pseudonyms(spark, texts, key="k"):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("found", F.lit("x"))
+    return {r.doc_id: (r.text, r.n_values) for r in pii.pseudonymise(docs, key).collect()}
+
+
+def test_permutation_is_a_bijection_and_equals_brute_force(spark):
+    pairs = spark.range(13 * 8).select((F.col("id") / 8).cast("int").alias("l"), (F.col("id") % 8).alias("r"))
+    out = pairs.select("l", "r", pii.feistel(F.col("l"), F.col("r"), F.lit(13), F.lit(8), "k", "t").alias("p")).collect()
+    assert len({(r.p.l, r.p.r) for r in out}) == 13 * 8
+    assert all((r.p.l, r.p.r) == feistel(r.l, r.r, 13, 8, "k", "t") for r in out)
+
+
+def test_formats_and_validity_are_kept(spark):
+    texts = ["call +1 (389) 555-5010 now", "card 4041894974608795, 4111 1111 1111 1111 or 4111-1111-1111-1112.",
+             "ip 42.144.35.254 end", "on 1984-02-29 and 01/03/2020", "ssn 123-45-6789",
+             "mail Bob.Ab_c99+x@mail8.example.com; z@y.org"]
+    shapes = [r"call \+1 \(\d{3}\) \d{3}-\d{4} now", r"card \d{16}, \d{4} \d{4} \d{4} \d{4} or \d{4}-\d{4}-\d{4}-\d{4}\.",
+              r"ip \d+\.\d+\.\d+\.\d+ end", r"on \d{4}-\d\d-\d\d and \d\d/\d\d/\d{4}", r"ssn \d{3}-\d\d-\d{4}",
+              r"mail [A-Z][a-z]{2}\.[A-Z][a-z]_[a-z]\d\d\+[a-z]@mail8\.example\.com; [a-z]@y\.org"]
+    found = pseudonyms(spark, texts)
+    for i, shape in enumerate(shapes):
+        assert re.fullmatch(shape, found[i][0]), found[i]
+        assert found[i][0] != texts[i]
+    old = re.findall(r"[\d -]{16,19}", texts[1])
+    new = re.findall(r"[\d -]{16,19}", found[1][0])
+    assert [luhn(x) for x in old] == [luhn(x) for x in new] and not set(old) & set(new)
+    assert all(int(o) <= 255 for o in re.findall(r"\d+", found[2][0]))
+    assert found[1][1] == 3 and found[3][1] == 2
+
+
+def test_equal_values_stay_linked_and_keys_differ(spark):
+    texts = ["a +1 (389) 555-5010", "b +1 (389) 555-5010 x@abcdef.org", "c longname.here@abc.org", "longname.here@abc.org"]
+    one, two = pseudonyms(spark, texts), pseudonyms(spark, texts, "other")
+    phone = re.compile(r"\+[^a-z]*\d")
+    assert phone.search(one[0][0]).group().strip() == phone.search(one[1][0]).group().strip()
+    assert one[2][0][2:] == one[3][0]
+    assert one[0][0] != two[0][0]
+
+
+def test_what_is_not_valid_is_left_alone(spark):
+    texts = [None, "", "plain text", "300.1.2.3 1.2.3.4.5 1985-02-29 31/02/2020 1850-01-01", "12 3456 2024 v1.2.3", "a@b"]
+    assert pseudonyms(spark, texts) == {i: (t, 0) for i, t in enumerate(texts)}
+
+
+def test_values_at_the_edges_and_long_texts(spark):
+    text = "+1 (389) 555-5010" + " filler" * 20000 + " 4041894974608795"
+    found = pseudonyms(spark, [text, "4041894974608795", "4041894974608795"])
+    assert found[0][0].endswith(found[1][0]) and found[1] == found[2] and len(found[0][0]) == len(text)
+
+
+def test_only_built_in_functions_run(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = pii.pseudonymise(docs, "k")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert pii.pseudonymise(docs.limit(0), "k").count() == 0
