@@ -4,24 +4,33 @@
     python -m mercato testdata --sf-dir /root/testdata/sf0.01 --out warehouse/tables
     python -m mercato reports --tables warehouse/tables --out warehouse/reports [--only name ...]
     python -m mercato reports --tables warehouse/tables --out warehouse/reports --group sales
+    python -m mercato reports --database mercato --out warehouse/reports
 
-``load`` expects one ``<table>.csv`` file (or folder of parts) per table.
+``load`` expects one ``<table>.csv`` file (or folder of parts) per table, on any
+file system that Spark reads, and fails if one is missing; ``--only`` loads some.
+The session is sized from the bytes that the command reads.
 """
 
 from __future__ import annotations
 
 import argparse
-import os
 
 from mercato.plans.registry import GROUPS, JOBS
 from mercato.plans.reports import run_reports
-from mercato.session import build_session
-from mercato.sources.catalog import read_tables, write_tables
+from mercato.session import build_session, cluster_conf
+from mercato.sources.catalog import read_tables, stored_bytes, write_tables
 from mercato.sources.csv_ingest import load_tables
 from mercato.sources.schemas import SCHEMAS
 from mercato.sources.testdata import star_tables
 
 
+def size_session(spark, *paths: str) -> None:
+    """Set shuffle partitions, scan splits and skew splitting from the bytes under ``paths``."""
+    conf = cluster_conf(stored_bytes(spark, *paths), spark.sparkContext.defaultParallelism)
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+
+
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="mercato")
     ap.add_argument("--master", default=None, help="Spark master (default: from the environment)")
@@ -30,11 +39,15 @@ def main(argv: list[str] | None = None) -> None:
     ld.add_argument("--csv-dir", required=True)
     ld.add_argument("--out", required=True)
     ld.add_argument("--bucketed", action="store_true")
+    ld.add_argument("--only", nargs="*", choices=sorted(SCHEMAS))
+    ld.add_argument("--database", default="mercato", help="catalog database of bucketed tables")
     td = sub.add_parser("testdata", help="driver test tables -> star tables")
     td.add_argument("--sf-dir", required=True)
     td.add_argument("--out", required=True)
     rp = sub.add_parser("reports", help="star tables -> report tables")
-    rp.add_argument("--tables", required=True)
+    where = rp.add_mutually_exclusive_group(required=True)
+    where.add_argument("--tables", help="Parquet root")
+    where.add_argument("--database", help="catalog database (bucketed tables)")
     rp.add_argument("--out", required=True)
     rp.add_argument("--only", nargs="*", choices=sorted(JOBS))
     rp.add_argument("--group", choices=sorted(GROUPS), help="one dashboard's report set")
@@ -42,16 +55,19 @@ def main(argv: list[str] | None = None) -> None:
 
     spark = build_session(args.master)
     if args.cmd == "load":
-        sources = {t: os.path.join(args.csv_dir, f"{t}.csv") for t in SCHEMAS
-                   if os.path.exists(os.path.join(args.csv_dir, f"{t}.csv"))}
-        load_tables(spark, sources, args.out, bucketed=args.bucketed)
+        sources = {t: f"{args.csv_dir.rstrip('/')}/{t}.csv" for t in args.only or SCHEMAS}
+        size_session(spark, *sources.values())
+        load_tables(spark, sources, args.out, bucketed=args.bucketed, database=args.database)
         print(f"loaded {sorted(sources)} into {args.out}")
     elif args.cmd == "testdata":
         write_tables(star_tables(spark, args.sf_dir), args.out)
         print(f"wrote {sorted(SCHEMAS)} to {args.out}")
     else:
         names = list(GROUPS[args.group]) if args.group else args.only
-        paths = run_reports(read_tables(spark, root=args.tables), args.out, names)
+        tables = read_tables(spark, root=args.tables, database=args.database)
+        size_session(spark, *([args.tables] if args.tables else sorted(
+            {p.rsplit("/", 1)[0] for df in tables.values() for p in df.inputFiles()})))
+        paths = run_reports(tables, args.out, names)
         for name, path in paths.items():
             print(f"{name}\t{path}")
     spark.stop()

@@ -53,7 +53,7 @@ def round_ratio(num: Column, den: Column, digits: int) -> Column:
 
 def percent(part: Column, whole: Column, digits: int) -> Column:
     """``ROUND(part * 100.0 / whole, digits)`` exactly."""
-    return round_ratio(part * 100, whole, digits)
+    return round_ratio(wide(part) * 100, whole, digits)
 
 
 def cents(money: Column) -> Column:
@@ -80,12 +80,18 @@ def elapsed_micros(start: Column, end: Column) -> Column:
 
 def timestamp_text(ts: Column) -> Column:
     """Wall-clock ``yyyy-MM-dd HH:mm:ss`` of an NTZ timestamp, independent of the session zone."""
-    return F.substring(ts.cast("string"), 1, 19)
+    return F.regexp_replace(ts.cast("string"), r"\.\d+$", "")
 
 
-def month_text(ts: Column) -> Column:
-    """Wall-clock ``yyyy-MM`` of an NTZ timestamp, independent of the session zone."""
-    return F.substring(ts.cast("string"), 1, 7)
+def month_number(ts: Column) -> Column:
+    """Wall-clock month of an NTZ timestamp as an integer, years * 12 + month - 1 (a cheap group key)."""
+    return F.year(ts) * 12 + F.month(ts) - 1
+
+
+def month_of_number(n: Column) -> Column:
+    """``yyyy-MM`` of a month number (years above 9999 keep all their digits)."""
+    year, month = F.floor(n / 12).cast("string"), (F.pmod(n, F.lit(12)) + 1).cast("string")
+    return F.concat(F.when(F.length(year) < 4, F.lpad(year, 4, "0")).otherwise(year), F.lit("-"), F.lpad(month, 2, "0"))
 
 
 def wide(c: Column) -> Column:

@@ -1,29 +1,26 @@
-"""Join helpers with an explicit size check before broadcasting."""
+"""Lookup joins that stay even when one key holds a large part of the rows.
+
+No join strategy is chosen here: Spark broadcasts a side whose measured
+bytes are below ``spark.sql.autoBroadcastJoinThreshold``, at planning or at
+run time, and shuffles it otherwise.  For the shuffled case
+``spread_lookup`` deals the rows of one key over several partitions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only if it has at most this many rows; beyond
-# it the join stays a shuffle join (AQE may still convert it from measured
-# sizes, and splits a skewed partition of it).  Sessions can override the
-# bound with the runtime setting below.
-BROADCAST_MAX_ROWS = 200_000
-MAX_ROWS_CONF = "mercato.broadcast.maxRows"
-
-
-def broadcast_bound(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(BROADCAST_MAX_ROWS)))
+SPREAD = 16
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Mark ``df`` for broadcast if it is proven to hold at most ``max_rows`` rows.
+def spread_lookup(rows: DataFrame, dimension: DataFrame, key: str, by: str, spread: int = SPREAD) -> DataFrame:
+    """Inner join of ``rows`` to ``dimension`` on ``key``, each key dealt over ``spread`` partitions.
 
-    The check reads at most ``max_rows + 1`` rows of the (narrow,
-    already projected) dimension, so its cost is bounded too.
+    Rows are dealt by the hash of ``by`` (any column that varies within a
+    key); the dimension is repeated ``spread`` times, so the join is exact
+    whatever strategy runs it.
     """
-    bound = broadcast_bound(df) if max_rows is None else max_rows
-    if bound > 0 and df.limit(bound + 1).count() <= bound:
-        return F.broadcast(df)
-    return df
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(by), F.lit(spread)))
+    repeated = dimension.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))))
+    return dealt.join(repeated, [key, "_deal"]).drop("_deal")

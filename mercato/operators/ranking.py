@@ -1,8 +1,9 @@
 """Ranking, top-k and exact distributed tiling.
 
-``NTILE(k) OVER (ORDER BY key)`` without a partition clause makes Spark
-move every row to one task.  ``global_row_number`` numbers rows in a
-total order without that: the rows are range-partitioned on the full
+A window without a partition clause makes Spark move every row to one task.
+``ntile_by_cuts`` finds the rows at the tile boundaries by counting (no sort,
+no shuffle of rows) and assigns tiles by comparison.  ``global_row_number``
+numbers rows in a total order: the rows are range-partitioned on the full
 (unique) sort key, so even a key value shared by a third of all rows is
 split across partitions by the tie-break column; each partition is
 sorted locally, its size counted, and a running sum over the per-
@@ -20,6 +21,7 @@ is not numbered inside a single task either.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -87,26 +89,116 @@ def group_row_number(df: DataFrame, group_cols: Sequence[str], order: Sequence[C
         .drop("_grn", "_gfirst", *[f"_g_{c}" for c in group_cols])
 
 
-def ntile_from_row_number(rn: Column, total: Column, k: int) -> Column:
-    """``NTILE(k)`` from a 1-based row number and the row count.
+BUCKETS = 2048       # histogram buckets per cut and round
+PREFIX_STEP = 3      # characters by which the tie-break's prefix grows per round
 
-    Tiles hold ``total div k`` rows, the first ``total mod k`` one more.
+
+@dataclass
+class _Cut:
+    """The row at 1-based position ``rank`` in (measure, tie) order: what is known of it so far."""
+
+    measure: str
+    rank: int
+    low: int | None = None      # both None: the measure is NULL
+    high: int | None = None
+    prefix: str = ""            # of the tie-break
+    tie: str | None = None
+    done: bool = False
+
+    def inside(self) -> Column:
+        x = F.col(self.measure)
+        return x.isNull() if self.low is None else x.between(self.low, self.high)
+
+
+def _narrow(df: DataFrame, cuts: list[_Cut], key, condition, extra=()) -> dict[int, list]:
+    """Counts of ``key`` per open cut among the rows that can still be it, in one job.
+
+    Returns at most ``BUCKETS`` (or the number of prefix steps) rows per cut.
+    """
+    marks = [F.when(condition(c), F.struct(F.lit(i).alias("cut"), key(c).alias("key")))
+             for i, c in enumerate(cuts) if not c.done]
+    rows = df.select(F.explode(F.array_compact(F.array(*marks))).alias("m"), *extra) \
+        .groupBy("m.cut", "m.key").agg(F.count(F.lit(1)).alias("n"), *[F.min(e).alias("least") for e in extra])
+    found: dict[int, list] = {i: [] for i in range(len(cuts))}
+    for r in rows.collect():
+        found[r["cut"]].append(r)
+    return found
+
+
+def _step(cut: _Cut, rows: list) -> object:
+    """The row of the ordered counts in which the cut's rank falls; the rank becomes relative to it."""
+    for r in rows:
+        if cut.rank <= r["n"]:
+            return r
+        cut.rank -= r["n"]
+    raise AssertionError("rank beyond the rows")
+
+
+def tile_cuts(df: DataFrame, measures: Sequence[str], tie: str, k: int) -> dict[str, list[_Cut]]:
+    """Per integer measure the last row of each of the first ``k - 1`` tiles.
+
+    Rows are ordered by (measure NULLS LAST, ``tie`` NULLS LAST); ``tie`` is a
+    unique string column.  Each round counts the rows of every open cut in
+    buckets of its value range (then by longer and longer prefixes of the
+    tie-break among rows of one value) and keeps the bucket that holds the
+    rank: only counts reach the driver, nothing is sorted, and a value shared
+    by most rows is split by its tie-break like any other.
+    """
+    first = df.agg(F.count(F.lit(1)).alias("n"), *[f(F.col(m)).alias(f"{m}_{name}") for m in measures
+                                                   for name, f in (("c", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    total = first["n"]
+    if not total:
+        return {m: [] for m in measures}
+    cuts = []
+    for m in measures:
+        for j in range(1, k):
+            last = j * (total // k) + min(j, total % k)
+            known = first[f"{m}_c"]
+            cuts.append(_Cut(m, last, first[f"{m}_lo"], first[f"{m}_hi"]) if last <= known else _Cut(m, last - known))
+    while any(not c.done and c.low is not None and c.low < c.high for c in cuts):
+        open_cuts = [c for c in cuts if c.low is not None and c.low < c.high]
+        width = {id(c): (c.high - c.low) // BUCKETS + 1 for c in open_cuts}
+        found = _narrow(df, open_cuts, lambda c: idiv(F.col(c.measure) - c.low, F.lit(width[id(c)])).cast("string"),
+                        _Cut.inside)
+        for i, c in enumerate(open_cuts):
+            r = _step(c, sorted(found[i], key=lambda r: int(r["key"])))
+            c.low += int(r["key"]) * width[id(c)]
+            c.high = min(c.high, c.low + width[id(c)] - 1)
+    while not all(c.done for c in cuts):
+        open_cuts = [c for c in cuts if not c.done]
+        found = _narrow(df, open_cuts, lambda c: F.substring(F.col(tie), len(c.prefix) + 1, PREFIX_STEP),
+                        lambda c: c.inside() & F.col(tie).startswith(c.prefix), extra=(F.col(tie),))
+        for i, c in enumerate(open_cuts):
+            rows = sorted(found[i], key=lambda r: r["key"].encode())
+            if c.rank > sum(r["n"] for r in rows):
+                c.done = True       # the NULL tie-break, last of its value
+                continue
+            r = _step(c, rows)
+            c.prefix += r["key"]
+            if r["n"] == 1 or len(r["key"]) < PREFIX_STEP:
+                c.tie, c.done = r["least"], True
+    return {m: [c for c in cuts if c.measure == m] for m in measures}
+
+
+def tile_of(cuts: list[_Cut], tie: str) -> Column:
+    """``NTILE`` of a row by comparing it with the cuts: one more tile for each cut it lies beyond."""
+    tile = F.lit(1)
+    for c in cuts:
+        x, t = F.col(c.measure), F.col(tie)
+        same = x.isNull() if c.low is None else F.coalesce(x == c.low, F.lit(False))
+        larger = F.lit(False) if c.low is None else (x.isNull() | (x > c.low))
+        later = F.lit(False) if c.tie is None else (t.isNull() | (t > c.tie))
+        tile = tile + (larger | (same & later)).cast("int")
+    return tile.cast("bigint")
+
+
+def ntile_by_cuts(df: DataFrame, measures: Sequence[str], tie: str, k: int, suffix: str = "_tile") -> DataFrame:
+    """Exact ``NTILE(k) OVER (ORDER BY measure, tie)`` per measure, as columns ``<measure><suffix>``.
+
+    ``df`` is read once per round and should be stored.
     """
-    q = idiv(total, F.lit(k))
-    r = total - q * k
-    i = rn - 1
-    big = r * (q + 1)
-    return (F.when(i < big, idiv(i, q + 1) + 1)
-             .otherwise(r + idiv(i - big, F.nullif(q, F.lit(0))) + 1)).cast("bigint")
-
-
-def global_ntile(df: DataFrame, order: Sequence[Column], k: int, out: str,
-                 num_partitions: int | None = None) -> DataFrame:
-    """Exact ``NTILE(k) OVER (ORDER BY order)``; ``order`` must be a total order."""
-    numbered = global_row_number(df, order, out="_rn", total_out="_n",
-                                 num_partitions=num_partitions)
-    return numbered.withColumn(out, ntile_from_row_number(F.col("_rn"), F.col("_n"), k)) \
-                   .drop("_rn", "_n")
+    cuts = tile_cuts(df, measures, tie, k)
+    return df.withColumns({f"{m}{suffix}": tile_of(cuts[m], tie) for m in measures})
 
 
 def rank_over(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Review x item fan-out is kept where the source query keeps it (a review
 of a three-item order weighs three times in category and seller
-figures); all such weights are carried as row counts through the
-pre-aggregations, never as averages of averages.
+figures), but as weights: both sides are reduced before they meet and the
+row counts multiplied, never as averages of averages.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from mercato.functions.exact import (count_where, elapsed_micros, money, percent,
                                      round_ratio, rounded_scaled, whole_days)
 from mercato.functions.labels import delay_score_bucket, rfm_segment
-from mercato.operators.joins import bounded_broadcast
-from mercato.operators.ranking import global_ntile, rank_over, top_k
+from mercato.operators.ranking import ntile_by_cuts, rank_over, top_k
 from mercato.operators.shares import whole, with_share
 from mercato.plans.facts import (Tables, category_dim, delivered_orders, item_rows,
                                  payments_per_order, seller_dim)
+from mercato.session import store
 
 
 def _score() -> Column:
@@ -64,14 +64,9 @@ def satisfaction_kpis(t: Tables) -> DataFrame:
         round_ratio(F.col("h_pro") - F.col("h_det"), F.lit(100), 1).alias("nps"))
 
 
-def _review_items(t: Tables) -> DataFrame:
-    """Scored reviews of delivered orders joined to the order's items.
-
-    All three inputs join on order_id, so they are co-partitioned once.
-    """
-    orders = delivered_orders(t).select("order_id")
-    items = item_rows(t).select("order_id", "product_id", "seller_id", "price_cents")
-    return _scored_reviews(t).join(orders, "order_id").join(items, "order_id")
+def _delivered_reviews(t: Tables) -> DataFrame:
+    """Scored reviews of delivered orders."""
+    return _scored_reviews(t).join(delivered_orders(t).select("order_id"), "order_id")
 
 
 def _score_sums(weight: Column | None = None) -> list[Column]:
@@ -87,19 +82,23 @@ def _merge_sums() -> list[Column]:
 
 
 def _exact_avg() -> Column:
-    """The unrounded average as DOUBLE (sort key for ranks; same value in any engine)."""
-    return F.col("score_sum").cast("double") / F.col("n_rows").cast("double")
+    """The average with 18 decimals: a sort key that tells any two averages of up to 10^9 rows apart."""
+    return F.col("score_sum").cast("decimal(19,0)") / F.col("n_rows").cast("decimal(19,0)")
 
 
 def category_satisfaction(t: Tables, min_rows: int = 100) -> DataFrame:
     """Per category (> ``min_rows`` review x item rows): average score, shares, rank.
 
-    Rows are pre-aggregated per product before the category lookup, so
-    the fact never shuffles on the category key.
+    Each review weighs once per item of its order, but review x item rows
+    are never formed: reviews are summed per order and items counted per
+    (order, product) before they meet, and the sums are multiplied.  They are
+    reduced per product before the category lookup.
     """
-    per_product = _review_items(t).groupBy("product_id").agg(*_score_sums())
-    cats = bounded_broadcast(category_dim(t))
-    per_cat = per_product.join(cats, "product_id").groupBy("category").agg(*_merge_sums()) \
+    per_order = _delivered_reviews(t).groupBy("order_id").agg(*_score_sums())
+    items = item_rows(t).groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("n_items"))
+    per_product = per_order.join(items, "order_id").groupBy("product_id").agg(
+        *[F.sum(F.col(c) * F.col("n_items")).alias(c) for c in ("n_rows", "score_sum", "n_pos", "n_neg")])
+    per_cat = per_product.join(category_dim(t), "product_id").groupBy("category").agg(*_merge_sums()) \
         .filter(F.col("n_rows") > min_rows)
     ranked = rank_over(per_cat, [F.desc_nulls_first(_exact_avg())], "satisfaction_rank")
     return ranked.select(
@@ -132,22 +131,23 @@ def delay_vs_score(t: Tables) -> DataFrame:
 def seller_satisfaction(t: Tables, min_reviews: int = 30, k: int = 15) -> DataFrame:
     """Top-k sellers by average score (>= ``min_reviews`` distinct reviews).
 
-    Three aggregation levels keep a dominant seller from landing in one
-    task: (seller, order, review) right after the order-key join (no
-    shuffle), (seller, review) to make review ids distinct, then seller
-    with map-side partial aggregation.  Rank is the global rank by the
+    Items are reduced to (order, seller) before they meet the reviews, on
+    the order-key partitioning, so a large order makes one row per review and
+    seller.  (seller, review) then makes review ids distinct, and the seller
+    level is partially aggregated map-side, so a dominant seller does not
+    land in one task.  Rank is the global rank by the
     unrounded average; it is computed on the k best rows, which hold
     every seller ranked above any of them.
     """
-    lvl1 = _review_items(t).groupBy("seller_id", "order_id", "review_id", "review_score").agg(
+    items = item_rows(t).groupBy("order_id", "seller_id").agg(
         F.count(F.lit(1)).alias("w"), F.sum("price_cents").alias("cents"))
+    lvl1 = _delivered_reviews(t).join(items, "order_id")
     lvl2 = lvl1.groupBy("seller_id", "review_id").agg(
         *_score_sums(F.col("w")), F.sum("cents").alias("cents"))
     lvl3 = lvl2.groupBy("seller_id").agg(
         F.count(F.lit(1)).alias("n_reviews"), *_merge_sums(), F.sum("cents").alias("cents")) \
         .filter(F.col("n_reviews") >= min_reviews)
-    sellers = bounded_broadcast(seller_dim(t))
-    best = top_k(lvl3.join(sellers, "seller_id"),
+    best = top_k(lvl3.join(seller_dim(t), "seller_id"),
                  [F.desc_nulls_first(_exact_avg()), F.asc("seller_id")], k)
     ranked = rank_over(best, [F.desc_nulls_first(_exact_avg())], "satisfaction_rank")
     return ranked.select(
@@ -183,19 +183,19 @@ def rfm_scored(t: Tables) -> DataFrame:
 
     NTILE(3) on recency asc (inverted), frequency asc and monetary asc;
     ties at a tile boundary are broken by the person id, so the result is
-    deterministic.  Tiles come from the distributed exact tiling of
-    ``operators.ranking`` (no single-task window).
+    deterministic.  The people are written once; the six boundary rows are
+    found by counting over them (``ranking.ntile_by_cuts``: some jobs that
+    return counts, run while this frame is built), and tiles are assigned by
+    comparison.
     """
-    base = rfm_base(t)
-    pid = F.asc_nulls_last("customer_unique_id")
-    scored = global_ntile(base, [F.asc_nulls_last("recency_days"), pid], 3, "r_tile")
-    scored = global_ntile(scored, [F.asc_nulls_last("frequency"), pid], 3, "f_score")
-    scored = global_ntile(scored, [F.asc_nulls_last("cents"), pid], 3, "m_score")
-    r = (F.lit(4) - F.col("r_tile")).cast("bigint")
+    scored = ntile_by_cuts(store(rfm_base(t), "rfm-base"), ("recency_days", "frequency", "cents"),
+                           "customer_unique_id", 3)
+    r = (F.lit(4) - F.col("recency_days_tile")).cast("bigint")
+    f, m = F.col("frequency_tile"), F.col("cents_tile")
     return scored.select(
         "customer_unique_id", "recency_days", "frequency", "cents",
-        r.alias("r_score"), "f_score", "m_score",
-        rfm_segment(r, F.col("f_score"), F.col("m_score")).alias("segment"))
+        r.alias("r_score"), f.alias("f_score"), m.alias("m_score"),
+        rfm_segment(r, f, m).alias("segment"))
 
 
 def rfm_scores(t: Tables, sort: bool = True, scored: DataFrame | None = None) -> DataFrame:
@@ -228,7 +228,7 @@ def rfm_segment_summary(t: Tables, scored: DataFrame | None = None) -> DataFrame
         round_ratio(F.col("cents"), F.col("n_money") * 100, 2).alias("avg_monetary"),
         round_ratio(F.col("rec_sum"), F.col("n_rec"), 0).alias("avg_recency_days"),
         round_ratio(F.col("freq_sum"), F.col("n_freq"), 2).alias("avg_frequency"),
-        money(F.col("cents")).alias("revenue")).orderBy(F.desc_nulls_first("revenue"))
+        money(F.col("cents")).alias("revenue")).orderBy(F.desc_nulls_first("revenue"), F.asc("segment"))
 
 
 def rfm_reports(t: Tables) -> tuple[DataFrame, DataFrame]:

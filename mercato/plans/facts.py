@@ -1,9 +1,10 @@
 """Shared intermediate facts, built once per job and reused.
 
-Jobs rely on the declared primary keys (enforced at load by the source
-system and audited by ``quality.constraint_audit``): after a join on a
-primary key the grain of the other side is preserved, so ``count(*)``
-at order grain equals ``COUNT(DISTINCT order_id)``.
+Jobs rely on the declared primary keys: after a join on a primary key the
+grain of the other side is preserved, so ``count(*)`` at order grain equals
+``COUNT(DISTINCT order_id)``.  The load fails on a duplicate key
+(``quality.require_unique_keys``), and ``quality.constraint_audit`` reports
+duplicates of tables that came another way.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 
 from mercato.functions.exact import cents, elapsed_micros
 from mercato.functions.labels import category_label
-from mercato.operators.joins import bounded_broadcast
 
 Tables = dict[str, DataFrame]
 
@@ -54,12 +54,9 @@ def item_rows(t: Tables) -> DataFrame:
 
 
 def category_dim(t: Tables) -> DataFrame:
-    """product_id -> display category (English name, else original, else label).
-
-    The translation table is broadcast behind a row-count check.
-    """
-    tr = bounded_broadcast(t["product_category_translation"].select(
-        "product_category_name", "product_category_name_english"))
+    """product_id -> display category (English name, else original, else label)."""
+    tr = t["product_category_translation"].select(
+        "product_category_name", "product_category_name_english")
     p = t["products"].select("product_id", "product_category_name")
     joined = p.join(tr, "product_category_name", "left")
     return joined.select("product_id", category_label(

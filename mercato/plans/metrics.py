@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.exact import (avg_days, count_where, elapsed_micros, money, month_text,
-                                     percent, round_ratio, wide)
-from mercato.operators.joins import bounded_broadcast
+from mercato.functions.exact import (avg_days, count_where, elapsed_micros, money, month_number,
+                                     month_of_number, percent, round_ratio, wide)
+from mercato.operators.joins import spread_lookup
 from mercato.plans.facts import (Tables, category_dim, delivered_orders, item_rows,
                                  order_timings)
 
@@ -66,8 +66,7 @@ def freight_by_category(t: Tables) -> DataFrame:
     per_product = item_rows(t).groupBy("product_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("freight_cents").alias("f"),
         F.count("freight_cents").alias("nf"))
-    cats = bounded_broadcast(category_dim(t))
-    per = per_product.join(cats, "product_id").groupBy("category").agg(
+    per = per_product.join(category_dim(t), "product_id").groupBy("category").agg(
         F.sum("n").alias("n"), F.sum("f").alias("f"), F.sum("nf").alias("nf"))
     return per.select("category", F.col("n").cast("bigint").alias("n_items"),
                       money(F.col("f")).alias("freight_total"),
@@ -81,12 +80,12 @@ def monthly_delivery_delay(t: Tables) -> DataFrame:
         & F.col("order_purchase_timestamp").isNotNull())
     timed = order_timings(o)
     cols = ("actual_us", "promised_us", "gap_us", "handling_us")
-    per = timed.groupBy(month_text(F.col("order_purchase_timestamp")).alias("month")).agg(
+    per = timed.groupBy(month_number(F.col("order_purchase_timestamp")).alias("month")).agg(
         F.count(F.lit(1)).alias("n_orders"),
         *[F.sum(wide(F.col(c))).alias(f"{c}_s") for c in cols],
         *[F.count(c).alias(f"{c}_n") for c in cols])
     names = ("actual_days", "promised_days", "gap_days", "handling_days")
-    return per.select("month", F.col("n_orders").cast("bigint"),
+    return per.select(month_of_number(F.col("month")).alias("month"), F.col("n_orders").cast("bigint"),
                       *[avg_days(F.col(f"{c}_s"), F.col(f"{c}_n"), 1).alias(n)
                         for c, n in zip(cols, names)])
 
@@ -117,11 +116,13 @@ def review_coverage(t: Tables) -> DataFrame:
     Basis: persons in the customer table (non-NULL id); a person is
     covered when any of their orders has a review row.
     """
-    reviewed = t["order_reviews"].select("order_id").distinct().withColumn("has_review", F.lit(1))
+    reviewed = t["order_reviews"].select("order_id").distinct()
     people = t["customers"].select("customer_id", "customer_unique_id") \
         .filter(F.col("customer_unique_id").isNotNull())
-    orders = t["orders"].select("order_id", "customer_id")
-    flags = people.join(orders, "customer_id", "left").join(reviewed, "order_id", "left")
+    # reviewed orders first, on the order key: people without an order never meet a NULL order id
+    covered = t["orders"].select("order_id", "customer_id").join(reviewed, "order_id", "left_semi") \
+        .groupBy("customer_id").agg(F.lit(1).alias("has_review"))
+    flags = people.join(covered, "customer_id", "left")
     per_person = flags.groupBy("customer_unique_id").agg(F.max("has_review").alias("r"))
     agg = per_person.agg(F.count(F.lit(1)).alias("n"), F.count("r").alias("c"))
     return agg.select(F.col("n").cast("bigint").alias("n_customers"),
@@ -160,11 +161,12 @@ def late_rate_by(t: Tables, dimension: str) -> DataFrame:
     elif dimension in SELLER_DIMENSIONS:
         flags = o.select("order_id", has_date.alias("has_date"), late.alias("late"))
         items = t["order_items"].select("order_id", "seller_id")
+        # one row per (order, seller), on the order-key partitioning of the join
+        flagged = items.join(flags, "order_id").groupBy("order_id", "seller_id").agg(
+            F.first("has_date").alias("has_date"), F.first("late").alias("late"))
         if dimension != "seller_id":
-            sellers = bounded_broadcast(t["sellers"].select("seller_id", dimension))
-            items = items.join(sellers, "seller_id")
-        flagged = items.join(flags, "order_id").select(dimension, "order_id", "has_date", "late") \
-            .distinct()
+            flagged = spread_lookup(flagged, t["sellers"].select("seller_id", dimension), "seller_id", by="order_id") \
+                .select(dimension, "order_id", "has_date", "late").distinct()
     else:
         raise ValueError(f"unsupported dimension {dimension!r}")
     per = flagged.groupBy(dimension).agg(count_where(F.col("has_date")).alias("total"),
@@ -177,6 +179,31 @@ def late_rate_by_state(t: Tables) -> DataFrame:
     return late_rate_by(t, "customer_state")
 
 
+def late_rate_by_customer_city(t: Tables) -> DataFrame:
+    """Late rate per customer city."""
+    return late_rate_by(t, "customer_city")
+
+
+def late_rate_by_customer_zip(t: Tables) -> DataFrame:
+    """Late rate per customer zip code."""
+    return late_rate_by(t, "customer_zip_code")
+
+
+def late_rate_by_seller_state(t: Tables) -> DataFrame:
+    """Late rate per seller state over distinct delivered orders."""
+    return late_rate_by(t, "seller_state")
+
+
+def late_rate_by_seller_city(t: Tables) -> DataFrame:
+    """Late rate per seller city over distinct delivered orders."""
+    return late_rate_by(t, "seller_city")
+
+
+def late_rate_by_seller_zip(t: Tables) -> DataFrame:
+    """Late rate per seller zip code over distinct delivered orders."""
+    return late_rate_by(t, "seller_zip_code")
+
+
 def late_rate_by_seller(t: Tables) -> DataFrame:
     """Late rate per seller over distinct delivered orders carrying the seller's items."""
     return late_rate_by(t, "seller_id")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from mercato.functions.exact import avg_days, count_where, money, percent, wide
 from mercato.functions.labels import (SELLER_BOTTOM_LABEL, SELLER_TOP_LABEL,
                                       punctuality_bucket, status_description)
-from mercato.operators.joins import bounded_broadcast
 from mercato.operators.ranking import top_k
 from mercato.operators.shares import with_share
 from mercato.plans.facts import (Tables, delivered_orders, item_rows, order_timings,
@@ -84,7 +83,7 @@ def order_status_mix(t: Tables) -> DataFrame:
     return shared.select(
         "order_status",
         status_description(F.col("order_status")).alias("description"),
-        F.col("n_orders").cast("bigint"), "pct").orderBy(F.desc("n_orders"))
+        F.col("n_orders").cast("bigint"), "pct").orderBy(F.desc("n_orders"), F.asc_nulls_last("order_status"))
 
 
 def seller_dispatch(t: Tables, min_orders: int = 30) -> DataFrame:
@@ -117,8 +116,7 @@ def seller_dispatch(t: Tables, min_orders: int = 30) -> DataFrame:
         F.sum(F.when(F.col("is_late"), n).otherwise(0)).alias("n_late"),
         F.sum("cents").alias("cents"),
     ).filter(F.col("n_orders") >= min_orders)
-    sellers = bounded_broadcast(seller_dim(t))
-    return per_seller.join(sellers, "seller_id").select(
+    return per_seller.join(seller_dim(t), "seller_id").select(
         "seller_id", "seller_state", "seller_city",
         F.col("n_orders").cast("bigint"),
         avg_days(F.col("handling_sum"), F.col("handling_n"), 1).alias("dispatch_days"),

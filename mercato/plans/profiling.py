@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.exact import count_where, month_text, timestamp_text
+from mercato.functions.exact import count_where, month_number, timestamp_text
 from mercato.functions.labels import SCORE_BAR_MARK
 from mercato.operators.shares import with_share
 from mercato.plans.facts import Tables
@@ -80,7 +80,7 @@ def period_coverage(t: Tables) -> DataFrame:
     """First and last purchase (text) and the number of months that have orders."""
     ts = F.col("order_purchase_timestamp")
     agg = t["orders"].agg(F.min(ts).alias("first"), F.max(ts).alias("last"),
-                          F.countDistinct(month_text(ts)).alias("n_months"))
+                          F.countDistinct(month_number(ts)).alias("n_months"))
     return agg.select(timestamp_text(F.col("first")).alias("first_order"),
                       timestamp_text(F.col("last")).alias("last_order"),
                       F.col("n_months").cast("bigint"))
@@ -90,7 +90,7 @@ def status_profile(t: Tables) -> DataFrame:
     """order_status, n_orders, pct (2 dp) over all orders."""
     per = t["orders"].groupBy("order_status").agg(F.count(F.lit(1)).alias("n_orders"))
     return with_share(per, "n_orders", "pct", 2).select(
-        "order_status", F.col("n_orders").cast("bigint"), "pct").orderBy(F.desc("n_orders"))
+        "order_status", F.col("n_orders").cast("bigint"), "pct").orderBy(F.desc("n_orders"), F.asc_nulls_last("order_status"))
 
 
 def score_distribution(t: Tables) -> DataFrame:

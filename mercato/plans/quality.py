@@ -45,9 +45,8 @@ def constraint_audit(t: Tables) -> DataFrame:
         df = t[table]
         pk = PRIMARY_KEYS.get(table)
         if pk:
-            dups = df.groupBy(*pk).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
             parts.append(_one_row(table, f"primary_key({', '.join(pk)})", "n",
-                                  dups.agg(F.sum(F.col("c") - 1).alias("n"))))
+                                  duplicate_keys(df, pk).agg(F.sum(F.col("c") - 1).alias("n"))))
         checks = _row_checks(table)
         if checks:
             agg = df.agg(*[count_where(cond).alias(f"c{i}") for i, (_, cond) in enumerate(checks)])
@@ -58,13 +57,29 @@ def constraint_audit(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def duplicate_keys(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Key values that occur more than once, with their row count."""
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
+
+
+def require_unique_keys(t: Tables) -> None:
+    """Raise if a table breaks its declared primary key (run by the loads, after writing)."""
+    broken = {name: [tuple(r) for r in duplicate_keys(df, PRIMARY_KEYS[name]).limit(3).collect()]
+              for name, df in t.items() if PRIMARY_KEYS.get(name)}
+    broken = {name: rows for name, rows in broken.items() if rows}
+    if broken:
+        raise ValueError(f"duplicate primary keys (key, rows): {broken}")
+
+
 def orphan_audit(t: Tables) -> DataFrame:
     """child, parent, n_orphans: child rows whose non-NULL reference has no parent row."""
     parts = []
     for child, ccol, parent, pcol in REFERENCES:
         keys = t[parent].select(F.col(pcol).alias(ccol))
-        orphans = t[child].select(ccol).filter(F.col(ccol).isNotNull()).join(keys, ccol, "left_anti")
-        parts.append(orphans.agg(F.count(F.lit(1)).cast("bigint").alias("n_orphans")).select(
+        # child rows are counted per key first: a hot key reaches the join as one row a task
+        counted = t[child].select(ccol).filter(F.col(ccol).isNotNull()).groupBy(ccol).agg(F.count(F.lit(1)).alias("n"))
+        orphans = counted.join(keys, ccol, "left_anti")
+        parts.append(orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_orphans")).select(
             F.lit(f"{child}.{ccol}").alias("child"), F.lit(f"{parent}.{pcol}").alias("parent"),
             "n_orphans"))
     return reduce(DataFrame.unionByName, parts)

@@ -15,8 +15,8 @@ Job = Callable[[Tables], DataFrame]
 JOBS: dict[str, Job] = {
     # profiling
     "row_counts": profiling.row_counts,
-    "preview_customers": partial(profiling.preview, table="customers"),
-    "preview_sellers": partial(profiling.preview, table="sellers"),
+    **{f"preview_{table}": partial(profiling.preview, table=table) for table in profiling.PREVIEW_TABLES},
+    "load_check": profiling.load_check,
     "null_profile": profiling.null_profile,
     "period_coverage": profiling.period_coverage,
     "status_profile": profiling.status_profile,
@@ -24,6 +24,7 @@ JOBS: dict[str, Job] = {
     # sales
     "sales_kpis": sales.sales_kpis,
     "monthly_revenue": sales.monthly_revenue,
+    "monthly_revenue_filled": partial(sales.monthly_revenue, fill_gaps=True),
     "category_revenue_top": sales.category_revenue_top,
     "state_revenue": sales.state_revenue,
     "payment_mix": sales.payment_mix,
@@ -58,7 +59,12 @@ JOBS: dict[str, Job] = {
     "review_coverage": metrics.review_coverage,
     "review_polarity": experience.review_polarity,
     "late_rate_by_state": metrics.late_rate_by_state,
+    "late_rate_by_customer_city": metrics.late_rate_by_customer_city,
+    "late_rate_by_customer_zip": metrics.late_rate_by_customer_zip,
     "late_rate_by_seller": metrics.late_rate_by_seller,
+    "late_rate_by_seller_state": metrics.late_rate_by_seller_state,
+    "late_rate_by_seller_city": metrics.late_rate_by_seller_city,
+    "late_rate_by_seller_zip": metrics.late_rate_by_seller_zip,
     "seller_dispatch_calendar_days": metrics.seller_dispatch_calendar_days,
     "late_cliff": metrics.late_cliff,
 }
@@ -66,16 +72,6 @@ JOBS: dict[str, Job] = {
 # Every report and metric (what ``run_reports`` writes by default).
 REPORTS: tuple[str, ...] = tuple(JOBS)
 
-# The same reports with HAVING thresholds at the test-data medians, so that the
-# thresholds actually remove groups (the source defaults remove none there).
-PRUNE_MIN_ORDERS, PRUNE_MIN_REVIEWS, PRUNE_MIN_ROWS = 463, 418, 1715
-JOBS.update({
-    "seller_dispatch_top_pruned": partial(operations.seller_dispatch_top, min_orders=PRUNE_MIN_ORDERS),
-    "seller_dispatch_bottom_pruned": partial(operations.seller_dispatch_bottom, min_orders=PRUNE_MIN_ORDERS),
-    "seller_satisfaction_pruned": partial(experience.seller_satisfaction, min_reviews=PRUNE_MIN_REVIEWS),
-    "category_satisfaction_pruned": partial(experience.category_satisfaction, min_rows=PRUNE_MIN_ROWS),
-})
-
 # The report groups a dashboard consumes, in the order the source lists its queries.
 GROUPS: dict[str, tuple[str, ...]] = {
     "profiling": ("row_counts", "period_coverage", "status_profile", "null_profile",

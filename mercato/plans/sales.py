@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mercato.functions.exact import money, month_text, round_ratio
+from mercato.functions.exact import money, month_number, month_of_number, round_ratio, wide
 from mercato.functions.labels import installment_tranche
-from mercato.operators.joins import bounded_broadcast
+from mercato.operators.joins import spread_lookup
 from mercato.operators.ranking import rank_over, top_k
 from mercato.operators.shares import with_share
 from mercato.plans.facts import (Tables, category_dim, delivered_orders, item_rows,
@@ -60,14 +60,12 @@ def monthly_revenue(t: Tables, fill_gaps: bool = False) -> DataFrame:
     """
     paid = _delivered_paid_orders(t)
     by_month = paid.groupBy(
-        month_text(F.col("order_purchase_timestamp")).alias("month")).agg(
+        month_number(F.col("order_purchase_timestamp")).alias("month")).agg(
         F.sum("pay_cents").alias("rev"),
         F.count(F.lit(1)).alias("n_orders"))
     if fill_gaps:
-        first_day = F.to_date(F.concat(F.col("month"), F.lit("-01")))
-        span = by_month.agg(F.min(first_day).alias("lo"), F.max(first_day).alias("hi"))
-        calendar = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("d")) \
-            .select(F.substring(F.col("d").cast("string"), 1, 7).alias("month"))
+        span = by_month.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+        calendar = span.filter("lo IS NOT NULL").select(F.explode(F.sequence("lo", "hi")).alias("month"))
         by_month = calendar.join(by_month, "month", "full_outer").select(
             "month", F.coalesce("rev", F.lit(0)).alias("rev"),
             F.coalesce("n_orders", F.lit(0)).alias("n_orders"))
@@ -77,20 +75,22 @@ def monthly_revenue(t: Tables, fill_gaps: bool = False) -> DataFrame:
         money(F.col("rev")).alias("revenue"),
         F.col("n_orders").cast("bigint"),
         money(prev).alias("prev_revenue"),
-        round_ratio((F.col("rev") - prev) * 100, F.nullif(prev, F.lit(0)), 1).alias("growth_pct"))
-    return out.orderBy(F.asc_nulls_last("month"))
+        round_ratio((wide(F.col("rev")) - prev) * 100, F.nullif(prev, F.lit(0)), 1).alias("growth_pct"))
+    return out.orderBy(F.asc_nulls_last("month")).withColumn("month", month_of_number(F.col("month")))
 
 
 def category_revenue_top(t: Tables, k: int = 10) -> DataFrame:
     """Top-k categories by delivered item revenue; share is over all categories."""
     orders = delivered_orders(t).select("order_id")
     items = item_rows(t).join(orders, "order_id")
-    cat = bounded_broadcast(category_dim(t))
-    with_cat = items.join(cat, "product_id")
-    # (category, order) grain first: distinct orders per category without
-    # shuffling a hot category's rows to one task.
+    # (product, order) grain rides on the order-key partitioning of the join above; then the
+    # category lookup, dealt by order so that a hot product is not one task, and
+    # (category, order) grain for the distinct orders of a category.
+    per_pair = items.groupBy("order_id", "product_id").agg(
+        F.sum("price_cents").alias("price_cents"), F.count("price_cents").alias("n_priced"))
+    with_cat = spread_lookup(per_pair, category_dim(t), "product_id", by="order_id")
     per_order = with_cat.groupBy("category", "order_id").agg(
-        F.sum("price_cents").alias("cents"), F.count("price_cents").alias("n_priced"))
+        F.sum("price_cents").alias("cents"), F.sum("n_priced").alias("n_priced"))
     per_cat = per_order.groupBy("category").agg(
         F.sum("cents").alias("cents"), F.count(F.lit(1)).alias("n_orders"),
         F.sum("n_priced").alias("n_priced"))
@@ -140,7 +140,7 @@ def payment_mix(t: Tables) -> DataFrame:
         F.col("n_payments").cast("bigint"),
         money(F.col("cents")).alias("amount"),
         round_ratio(F.col("cents"), F.col("n_values") * 100, 2).alias("avg_amount"),
-        "share_count_pct", "share_amount_pct").orderBy(F.desc_nulls_first("amount"))
+        "share_count_pct", "share_amount_pct").orderBy(F.desc_nulls_first("amount"), F.asc_nulls_last("payment_type"))
 
 
 def installment_tranches(t: Tables) -> DataFrame:

@@ -13,20 +13,48 @@ Two layouts:
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mercato.sources.schemas import SCHEMAS
 
+BUCKET_BYTES = 256 << 20
 ORDER_GRAIN = ("orders", "order_items", "order_payments", "order_reviews")
 
 
+def stored_bytes(spark: SparkSession, *paths: str) -> int:
+    """Size of all files under the paths, from their listing (any file system Spark reads; no content)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    return int(files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0])
+
+
+def bucket_count(n_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets for ``n_bytes`` of the largest order-grain table: a power of two, without a cap."""
+    return 1 << max(3, (-(-n_bytes // bucket_bytes) - 1).bit_length())
+
+
 def write_tables(tables: dict[str, DataFrame], root: str, bucketed: bool = False,
-                 buckets: int = 64, database: str = "mercato") -> None:
-    """Persist the star tables (overwrite = reset before load)."""
+                 buckets: int | None = None, database: str = "mercato") -> None:
+    """Persist the star tables (overwrite = reset before load).
+
+    With ``bucketed`` the tables are first written plainly under
+    ``<root>-staged``, so the bucket count can follow their stored bytes, and
+    each bucket is then written by one task into one sorted file.
+    """
+    if not tables:
+        raise ValueError("no tables to write")
     spark = next(iter(tables.values())).sparkSession
+    if bucketed and buckets is None:
+        staged = f"{root}-staged"
+        write_tables(tables, staged)
+        tables = {name: spark.read.schema(df.schema).parquet(f"{staged}/{name}") for name, df in tables.items()}
+        grain = [f"{staged}/{name}" for name in ORDER_GRAIN if name in tables]
+        buckets = bucket_count(max([stored_bytes(spark, p) for p in grain], default=0))
     if bucketed:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}'")
     for name, df in tables.items():
         if bucketed:
+            if name in ORDER_GRAIN:
+                df = df.repartition(buckets, "order_id")
             writer = df.write.mode("overwrite").format("parquet")
             if name in ORDER_GRAIN:
                 writer = writer.bucketBy(buckets, "order_id").sortBy("order_id")
@@ -35,12 +63,13 @@ def write_tables(tables: dict[str, DataFrame], root: str, bucketed: bool = False
             df.write.mode("overwrite").parquet(f"{root}/{name}")
 
 
-def read_tables(spark: SparkSession, root: str | None = None,
-                database: str | None = None) -> dict[str, DataFrame]:
-    """Open the nine star tables from a Parquet root or a catalog database."""
+def read_tables(spark: SparkSession, root: str | None = None, database: str | None = None,
+                names: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """Open the star tables (all nine unless named) from a Parquet root or a catalog database."""
+    names = names or tuple(SCHEMAS)
     if database:
-        return {name: spark.table(f"{database}.{name}") for name in SCHEMAS}
-    return {name: spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}") for name in SCHEMAS}
+        return {name: spark.table(f"{database}.{name}") for name in names}
+    return {name: spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}") for name in names}
 
 
 def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:

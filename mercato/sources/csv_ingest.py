@@ -15,7 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.sources.catalog import write_tables
+from mercato.plans.quality import require_unique_keys
+from mercato.sources.catalog import read_tables, write_tables
 from mercato.sources.schemas import SCHEMAS
 
 MULTILINE_TABLES = frozenset({"order_reviews"})
@@ -46,15 +47,21 @@ def read_csv_table(spark: SparkSession, table: str, path: str,
 
 def load_tables(spark: SparkSession, sources: dict[str, str], target_root: str,
                 encodings: dict[str, str] | None = None, bucketed: bool = False,
-                buckets: int = 64) -> dict[str, DataFrame]:
+                buckets: int | None = None, database: str = "mercato") -> dict[str, DataFrame]:
     """Read every given CSV with its declared schema and overwrite the stored table.
 
-    ``sources`` maps table name -> CSV path.  Returns the raw DataFrames.
+    ``sources`` maps table name -> CSV path (a file or a folder of parts, on
+    any file system Spark reads; a missing path raises).  Reviews may hold
+    line breaks, so each review file is read by one task: give a large export
+    as a folder of parts.  Returns the stored tables, after checking that
+    their primary keys are unique.
     """
     unknown = set(sources) - set(SCHEMAS)
     if unknown:
         raise ValueError(f"unknown tables: {sorted(unknown)}")
     enc = encodings or {}
     frames = {t: read_csv_table(spark, t, p, enc.get(t)) for t, p in sources.items()}
-    write_tables(frames, target_root, bucketed=bucketed, buckets=buckets)
-    return frames
+    write_tables(frames, target_root, bucketed=bucketed, buckets=buckets, database=database)
+    stored = read_tables(spark, root=target_root, database=database if bucketed else None, names=tuple(frames))
+    require_unique_keys(stored)
+    return stored

@@ -17,7 +17,6 @@ from collections.abc import Callable, Iterator, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.operators.joins import bounded_broadcast
 from mercato.operators.ranking import group_row_number
 from mercato.sources.schemas import SCHEMAS
 
@@ -63,7 +62,7 @@ def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    nation = bounded_broadcast(read("nation").select("n_nationkey", "n_name"))
+    nation = read("nation").select("n_nationkey", "n_name")
     customer = read("customer")
     supplier = read("supplier")
     part = read("part")

@@ -12,9 +12,11 @@ accounting across runs and executor failures.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from mercato.plans.quality import require_unique_keys
 from mercato.sources.csv_ingest import csv_options
 from mercato.sources.schemas import SCHEMAS
 
@@ -36,9 +38,23 @@ def start_table_stream(spark: SparkSession, table: str, source_dir: str, target_
 
 def ingest_new_files(spark: SparkSession, table: str, source_dir: str, target_dir: str,
                      checkpoint_dir: str, encoding: str | None = None) -> int:
-    """Run one catch-up pass; returns the number of rows appended in this pass."""
+    """Run one catch-up pass; returns the number of rows appended in this pass.
+
+    Rows are counted in the stored table before and after (progress events
+    keep only the last batches of a long catch-up).  A part that was delivered
+    twice under two names breaks the primary key, which raises.
+    """
+    def stored():
+        try:
+            return spark.read.schema(SCHEMAS[table]).parquet(target_dir)
+        except AnalysisException:  # nothing stored yet
+            return spark.createDataFrame([], SCHEMAS[table])
+
+    before = stored().count()
     q = start_table_stream(spark, table, source_dir, target_dir, checkpoint_dir, encoding)
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return sum(p.get("numInputRows", 0) for p in q.recentProgress)
+    after = stored()
+    require_unique_keys({table: after})
+    return after.count() - before

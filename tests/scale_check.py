@@ -32,7 +32,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import Window as W  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from mercato.plans import experience, operations, sales  # noqa: E402
+from mercato.plans import experience, metrics, operations, quality, sales  # noqa: E402
 from mercato.session import build_session  # noqa: E402
 from mercato.sources.catalog import read_tables, write_tables  # noqa: E402
 from mercato.sources.testdata import star_tables  # noqa: E402
@@ -137,7 +137,7 @@ def main():
         "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
     if shuffle_dims:
         conf.update({
-            "spark.sql.adaptive.enabled": "true", "mercato.broadcast.maxRows": "0",
+            "spark.sql.adaptive.enabled": "true",
             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
             "spark.sql.adaptive.coalescePartitions.enabled": "false",
             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m",
@@ -166,6 +166,10 @@ def main():
     if shuffle_dims:
         jobs = [("category_revenue_top", lambda: sales.category_revenue_top(t)),
                 ("category_satisfaction", lambda: experience.category_satisfaction(t)),
+                ("seller_satisfaction", lambda: experience.seller_satisfaction(t)),
+                ("orphan_audit", lambda: quality.orphan_audit(t)),
+                ("review_coverage", lambda: metrics.review_coverage(t)),
+                ("late_rate_by_seller_state", lambda: metrics.late_rate_by_seller_state(t)),
                 ("seller_dispatch_top", lambda: operations.seller_dispatch_top(t))]
     if mode.startswith("rfm"):
         jobs = [("rfm_scores", lambda: experience.rfm_scores(t)),

@@ -1,8 +1,7 @@
 """Write docs/PLANS.md: physical plans of key jobs in their large-table shape.
 
-Static planning (AQE off) with size-based broadcast off, so the fact tables
-join by shuffle as they would at scale; dimensions still go through the
-row-count-checked broadcast.  Plans are trimmed to operator lines.
+Static planning (AQE off) with size-based broadcast off, so all tables
+join by shuffle as they would at scale.  Plans are trimmed to operator lines.
 
     python tests/show_plans.py /root/testdata/sf0.01
 """
@@ -32,8 +31,8 @@ JOBS = [
      "at order grain (primary key)."),
     ("seller_dispatch_top", operations.seller_dispatch_top,
      "Items and orders shuffled once on order_id; the (seller, order) aggregate needs no "
-     "exchange of its own; per-seller partial aggregate; sellers broadcast after the size "
-     "check; top-k without a global sort."),
+     "exchange of its own; per-seller partial aggregate; sellers join after the "
+     "reduction; top-k without a global sort."),
     ("seller_satisfaction", experience.seller_satisfaction,
      "Reviews, orders and items co-partitioned on order_id; three aggregation levels; top-15 "
      "before the rank window (15 rows)."),

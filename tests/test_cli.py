@@ -40,7 +40,9 @@ def test_load_from_csv_folder(spark, small_tables):
         (small_tables[name].write.option("header", "true")
          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("nullValue", "\\N")
          .csv(f"{d}/raw/{name}.csv"))
-    r = _run("load", "--csv-dir", f"{d}/raw", "--out", f"{d}/tables")
+    r = _run("load", "--csv-dir", f"{d}/raw", "--out", f"{d}/none")
+    assert r.returncode != 0 and "PATH_NOT_FOUND" in r.stderr  # a missing table is not left out silently
+    r = _run("load", "--csv-dir", f"{d}/raw", "--out", f"{d}/tables", "--only", "orders", "sellers")
     assert r.returncode == 0, r.stderr[-2000:]
     assert "['orders', 'sellers']" in r.stdout
     assert spark.read.parquet(f"{d}/tables/orders").count() == small_tables["orders"].count()

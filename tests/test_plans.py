@@ -6,8 +6,10 @@ import re
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from mercato.plans import experience, operations, sales
+from mercato.plans.registry import JOBS
 from mercato.sources.catalog import read_tables, write_tables
 
 
@@ -46,12 +48,47 @@ def test_projection_is_pruned_at_the_scan(stored):
     assert all("customer_id" not in s or "order_status" in s for s in scans)
 
 
-def test_small_dimensions_broadcast_after_size_check(stored, no_auto_broadcast):
-    p = plan(operations.seller_dispatch_top(stored))
-    assert re.search(r"BroadcastExchange[^\n]*\n\s*\+- \*?\(?\d*\)? ?(Project|Filter|ColumnarToRow|FileScan)", p)
-    assert "seller_city" in p.split("BroadcastExchange")[-1]
-    p2 = plan(sales.category_revenue_top(stored))
-    assert "BroadcastHashJoin [product_category_name" in p2
+def _jobs_launched(spark, build) -> int:
+    """Spark jobs that building a frame starts (before any action on it)."""
+    group = f"build-{id(build)}"
+    spark.sparkContext.setJobGroup(group, "plan time")
+    try:
+        build()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_no_job_runs_while_a_report_is_built(spark, stored):
+    for name, job in JOBS.items():
+        if not name.startswith("rfm_"):
+            assert _jobs_launched(spark, lambda: job(stored)) == 0, name
+
+
+def test_no_broadcast_is_forced(stored, no_auto_broadcast):
+    for job in (operations.seller_dispatch_top, sales.category_revenue_top, experience.category_satisfaction,
+                experience.seller_satisfaction):
+        assert "BroadcastExchange" not in plan(job(stored))
+
+
+def test_reviews_and_items_are_reduced_before_they_meet(spark, stored, no_auto_broadcast):
+    """No review x item rows: both sides of their join are aggregates (or one row per review)."""
+    p = plan(experience.category_satisfaction(stored))
+    assert "n_items" in p and "product_id" in p
+    n_rows, n_items = 1000, 10000
+    t = dict(stored)
+    t["orders"] = stored["orders"].limit(1).withColumns({"order_id": F.lit("big"), "order_status": F.lit("delivered")})
+    t["order_reviews"] = spark.range(n_rows).select(
+        F.concat(F.lit("r"), "id").alias("review_id"), F.lit("big").alias("order_id"),
+        (F.col("id") % 5 + 1).cast("int").alias("review_score"))
+    product, seller = stored["products"].first().product_id, stored["sellers"].first().seller_id
+    t["order_items"] = spark.range(n_items).select(
+        F.lit("big").alias("order_id"), F.lit(product).alias("product_id"), F.lit(seller).alias("seller_id"),
+        F.lit(1).cast("decimal(10,2)").alias("price"), F.lit(0).cast("decimal(10,2)").alias("freight_value"))
+    row = experience.category_satisfaction(t).collect()
+    assert [(r.n_reviews, r.avg_score, r.pct_positive) for r in row] == [(n_rows * n_items, 3.0, 40.0)]
+    row = experience.seller_satisfaction(t).collect()
+    assert [(r.n_reviews, r.avg_score, r.revenue) for r in row] == [(n_rows, 3.0, float(n_rows * n_items))]
 
 
 def test_seller_grain_rides_on_order_partitioning(stored, no_auto_broadcast):
@@ -61,12 +98,14 @@ def test_seller_grain_rides_on_order_partitioning(stored, no_auto_broadcast):
     assert sorted(h.split("#")[0] for h in hashed) == ["order_id", "order_id", "seller_id"]
 
 
-def test_rfm_tiles_have_no_single_task_window_over_people(stored):
-    df = experience.rfm_scored(stored)
-    p = plan(df)
-    assert "ntile" not in p.lower()
-    for spec in re.findall(r"windowspecdefinition\(([^)]*)\)", p):
-        assert not re.search(r"recency_days|frequency|cents|customer_unique_id", spec), spec
+def test_no_rfm_stage_sorts_or_windows_people(spark, stored):
+    """All stages: the base, the counting jobs that find the cuts, and the assignment."""
+    p = plan(experience.rfm_base(stored))
+    assert "windowspecdefinition" not in p and "rangepartitioning" not in p
+    launched = _jobs_launched(spark, lambda: experience.rfm_scored(stored))
+    assert launched <= 30   # with shuffle stages counted as jobs; each returns counts
+    final = plan(experience.rfm_scored(stored))
+    assert "Exchange" not in final and "Window" not in final and "Sort" not in final
 
 
 def test_bucketed_tables_remove_order_key_shuffles(spark, small_tables, no_auto_broadcast):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mercato.operators.ranking import global_ntile, global_row_number
+from mercato.operators.ranking import global_row_number, ntile_by_cuts, tile_cuts
 
 
 def _data(spark, n, distinct_keys):
@@ -15,25 +15,45 @@ def _data(spark, n, distinct_keys):
         (F.col("id") % distinct_keys).alias("key"))
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 1498, 1499, 1500])
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 1498, 1499, 1500])
 @pytest.mark.parametrize("distinct_keys", [1, 4, 1000])
-def test_global_ntile_matches_ntile(spark, n, distinct_keys):
-    df = _data(spark, n, distinct_keys)
+def test_tiles_by_cuts_match_ntile(spark, n, distinct_keys):
+    df = _data(spark, max(n, 1), distinct_keys).limit(n).withColumn("wide", F.col("key") * 10 ** 12 - 5 * 10 ** 14)
     order = [F.asc_nulls_last("key"), F.asc_nulls_last("pid")]
-    ours = global_ntile(df, order, 3, "t", num_partitions=7)
+    ours = ntile_by_cuts(df, ("key", "wide"), "pid", 3)
     ref = df.withColumn("t_ref", F.ntile(3).over(W.orderBy(*order)))
     joined = ours.join(ref, ["pid", "key"])
     assert joined.count() == n
-    assert joined.filter(F.col("t") != F.col("t_ref")).count() == 0
+    assert joined.filter("key_tile <> t_ref OR wide_tile <> t_ref").count() == 0
+
+
+@pytest.mark.parametrize("k", [2, 3, 7])
+def test_tiles_with_nulls_and_one_value_of_most_rows(spark, k):
+    """90% share one value, some values and one tie-break are NULL, ids differ in length."""
+    df = spark.range(700).select(
+        F.when(F.col("id") == 5, F.lit(None)).otherwise(F.concat(F.lit("p"), F.expr("repeat('é', int(id % 3))"), F.col("id"))).alias("pid"),
+        F.when(F.col("id") % 17 == 0, F.lit(None)).when(F.col("id") % 10 == 0, F.col("id") - 300).otherwise(F.lit(7)).alias("x"))
+    ref = df.withColumn("t", F.ntile(k).over(W.orderBy(F.asc_nulls_last("x"), F.asc_nulls_last("pid"))))
+    ours = ntile_by_cuts(df, ("x",), "pid", k)
+    joined = ours.join(ref.select(F.col("pid").alias("p2"), "t"), F.col("pid").eqNullSafe(F.col("p2")))
+    assert joined.count() == 700 and joined.filter("x_tile <> t").count() == 0
 
 
 def test_tile_sizes_differ_by_at_most_one(spark):
     df = _data(spark, 1001, 1)  # one key shared by every row (worst skew)
-    tiles = global_ntile(df, [F.asc("key"), F.asc("pid")], 3, "t", num_partitions=5)
-    sizes = sorted(r["count"] for r in tiles.groupBy("t").count().collect())
+    tiles = ntile_by_cuts(df, ("key",), "pid", 3)
+    sizes = sorted(r["count"] for r in tiles.groupBy("key_tile").count().collect())
     assert sizes == [333, 334, 334]
 
 
+def test_cuts_do_not_sort_or_shuffle_rows(spark):
+    df = _data(spark, 1000, 4)
+    cuts = tile_cuts(df, ("key",), "pid", 3)["key"]
+    assert [c.rank for c in cuts] and all(c.done for c in cuts)
+    plan = ntile_by_cuts(df, ("key",), "pid", 3)._jdf.queryExecution().toString()
+    assert "Sort" not in plan and "Exchange" not in plan and "Window" not in plan
+
+
 def test_row_number_is_a_permutation_independent_of_partitions(spark):
     df = _data(spark, 2000, 3)
     order = [F.asc("key"), F.asc("pid")]

@@ -9,7 +9,7 @@ def test_cluster_conf_scales_with_input():
     small = cluster_conf(10 << 30, 64)
     big = cluster_conf(100 << 40, 8000)
     assert int(small["spark.sql.shuffle.partitions"]) == 128
-    assert int(big["spark.sql.shuffle.partitions"]) == 400_000
+    assert int(big["spark.sql.shuffle.partitions"]) == 819_200
     assert int(cluster_conf(1 << 30, 4000)["spark.sql.shuffle.partitions"]) == 8000
 
 

@@ -44,5 +44,5 @@ def test_build_reports_defaults_to_base_reports(small_tables):
     from mercato.plans.registry import REPORTS
     from mercato.plans.reports import build_reports
     built = build_reports(small_tables)
-    assert list(built) == list(REPORTS) and len(built) == 42
+    assert list(built) == list(REPORTS) and len(built) == 54
     assert not any(name.endswith("_pruned") for name in built)
