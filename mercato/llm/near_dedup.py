@@ -16,9 +16,11 @@ asked for, so pairs need not all be formed:
 2. in every index bucket each member is compared with the smallest one, and
    confirmed links give components;
 3. in buckets where several components are left, pairs of different
-   components within the signature distance are compared too.  No link
-   between different components is lost; links inside one change nothing.
-   Large buckets are split into blocks; block pairs are tasks of their own.
+   components within the signature distance are compared too, by sketches of
+   the ``SKETCH`` smallest shingle hashes: whole sets of that size, a close
+   estimate for larger ones, so that hardly any pair but a link leaves the
+   block.  No link between different components is lost; links inside one
+   change nothing.  Large buckets are split into blocks, compared pairwise.
 
 Sets are made only for documents in candidate pairs, found by a filter of
 fixed size, and joined to the pairs by document.
@@ -52,6 +54,8 @@ MAX_DISTANCE = 2 * CHUNKS - 1               # some chunk then has at most one di
 BLOCK = 1000                                # bucket members compared in one block
 FILTER_BITS = 1 << 24
 PERCENT = 75
+SKETCH = 256                                # smallest shingle hashes, 32 bits each
+SKETCH_SIMILARITY = 0.75 - 4 * (0.75 * 0.25 / SKETCH) ** 0.5  # four standard deviations below the link
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -108,7 +112,7 @@ class Sets:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, n, h1, h2, signature`` of every row; no signature for an empty set."""
+    """``doc_id, text_hash, n, h1, h2, signature, sketch`` of every row; no signature for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,13 +121,18 @@ def sign(docs: DataFrame) -> DataFrame:
                 h1, h2 = sets.set_hashes()
                 rows = iter(sets.signatures())
                 signed = [next(rows).tobytes() if n else None for n in sets.sizes]
+                # values are sorted, so the smallest come first, and so do their upper halves
+                small = (sets.values >> np.uint64(32)).astype(np.uint32)
+                sketch = [small[a:min(b, a + SKETCH)].tobytes() for a, b in zip(sets.bounds[:-1], sets.bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k).slice(piece.first, len(sets.sizes)) for k in (0, 2)),
-                     pa.array(sets.sizes, pa.int64()), pa.array(h1), pa.array(h2), pa.array(signed, pa.binary())],
-                    names=["doc_id", "text_hash", "n", "h1", "h2", "signature"])
+                     pa.array(sets.sizes, pa.int64()), pa.array(h1), pa.array(h2), pa.array(signed, pa.binary()),
+                     pa.array(sketch, pa.binary())],
+                    names=["doc_id", "text_hash", "n", "h1", "h2", "signature", "sketch"])
 
     return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(
-        run, f"doc_id {_kind(docs)}, text_hash bigint, n bigint, h1 bigint, h2 bigint, signature binary")
+        run, f"doc_id {_kind(docs)}, text_hash bigint, n bigint, h1 bigint, h2 bigint, signature binary, "
+             "sketch binary")
 
 
 def _kind(df: DataFrame, column: str = "doc_id") -> str:
@@ -235,8 +244,32 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         run, f"a {_kind(pairs, 'a')}, b {_kind(pairs, 'b')}").distinct()
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    """Sketches as rows of equal width; the places that a small set leaves hold the largest number."""
+    out = np.full((len(column), SKETCH), 0xFFFFFFFF, dtype=np.uint32)
+    for k, raw in enumerate(column):
+        own = np.frombuffer(raw.as_buffer(), dtype=np.uint32)
+        out[k, :len(own)] = own
+    return out
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether sketches allow a link: exact (up to equal 32-bit halves) where both hold their whole set."""
+    both = np.concatenate([a, b], axis=1)
+    both.sort(axis=1)
+    real = both != 0xFFFFFFFF
+    again = np.zeros(both.shape, dtype=bool)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    rank = np.cumsum(real & ~again, axis=1)          # distinct elements of the union so far
+    whole = np.maximum(n_a, n_b) <= SKETCH
+    inside = real & ((rank <= SKETCH) | whole[:, None])
+    common = (again & inside).sum(axis=1)
+    union = (inside & ~again).sum(axis=1)
+    return np.where(whole, 100 * common >= PERCENT * union, common >= SKETCH_SIMILARITY * union)
+
+
 def _cross_pairs(members: DataFrame, kind: str) -> DataFrame:
-    """Pairs of different components within a bucket block pair, within the signature distance.
+    """Pairs of different components within a bucket block pair that distance and sketches allow.
 
     Rows come sorted by (key, i, j); a pair that meets in several buckets is
     given by the first of them only.
@@ -248,6 +281,7 @@ def _cross_pairs(members: DataFrame, kind: str) -> DataFrame:
         change[1:] = (group[1:] != group[:-1]).any(axis=1)
         run_id = np.cumsum(change)
         symbols = _matrix(rows.column("signature").combine_chunks())
+        sketches = _sketches(rows.column("sketch").combine_chunks())
         labels = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
         ids = rows.column("doc_id").combine_chunks().dictionary_encode().indices.to_numpy()
         size, block = rows.column("n").to_numpy(), rows.column("block").to_numpy()
@@ -274,8 +308,12 @@ def _cross_pairs(members: DataFrame, kind: str) -> DataFrame:
                 inside = same[np.arange(len(x)), chunk]
                 free = np.where(inside.all(axis=1), 0, (~inside).argmax(axis=1))
                 near &= slot[x] == chunk * CHUNK + free
-                left.append(x[near])
-                right.append(y[near])
+                x, y = x[near], y[near]
+                linked = np.concatenate([np.empty(0, bool), *(
+                    _may_link(sketches[p], sketches[q], size[p], size[q])
+                    for p, q in ((x[k:k + 2000], y[k:k + 2000]) for k in range(0, len(x), 2000)))])
+                left.append(x[linked])
+                right.append(y[linked])
             step += 1
         x = np.concatenate(left) if left else np.empty(0, np.int64)
         y = np.concatenate(right) if right else np.empty(0, np.int64)
@@ -325,7 +363,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "signature")
 
     keys = index_keys(reps)
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("leader")).filter("rows > 1")
+    # aggregates are written before they are joined back: the join then reads two plain exchanges,
+    # which adaptive execution can split at a hot key
+    buckets = store(keys.groupBy("key").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("leader")).filter("rows > 1"), "near-buckets")
     members = store(keys.join(buckets, "key"), "near-members")
 
     # 1: every member of a bucket with its smallest
@@ -338,10 +379,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     label = F.coalesce("component", "doc_id").alias("label")
     labelled = (members.select("key", "doc_id", "rows").distinct()
                 .join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "rows", label))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")) \
-        .filter("low <> high").select("key")
-    rows = _blocks(labelled.join(mixed, "key", "left_semi").join(reps, "doc_id")) \
-        .select("key", "i", "j", "block", "doc_id", "label", "n", "signature")
+    labelled = store(labelled, "near-labelled")
+    mixed = store(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+                  .filter("low <> high").select("key"), "near-mixed-keys")
+    left = store(labelled.join(mixed, "key", "left_semi"), "near-mixed")
+    sketched = full.join(left.select("doc_id").distinct(), "doc_id", "left_semi").select(
+        "doc_id", "n", "signature", "sketch")
+    rows = _blocks(left.join(sketched, "doc_id")) \
+        .select("key", "i", "j", "block", "doc_id", "label", "n", "signature", "sketch")
     crossing = _cross_pairs(rows, kind).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     crossing = store(crossing.join(stars, ["a", "b"], "left_anti"), "near-cross")
     more = store(confirmed(crossing, docs), "near-more")
@@ -349,7 +394,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     belongs = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = signed.drop("signature").join(belongs, ["n", "h1", "h2"], "left")
+    out = signed.drop("signature", "sketch").join(belongs, ["n", "h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from llm_data import docs_frame, hard_texts, near, sentence
 from pyspark.sql import functions as F
@@ -56,6 +58,26 @@ def test_nulls_repeats_clashing_columns_and_stage(spark):
     assert near_dedup.near_groups(docs.limit(0)).count() == 0
 
 
+def test_sketches_of_whole_sets_decide_exactly():
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.choice(400, rng.integers(1, 200), replace=False)).astype(np.uint32) for _ in range(60)]
+    sets += [np.arange(k, k + 12, dtype=np.uint32) for k in range(4)]
+    wide = near_dedup._sketches(pa.array([s.tobytes() for s in sets], pa.binary()))
+    size = np.array([len(s) for s in sets])
+    x, y = np.triu_indices(len(sets), 1)
+    expected = [100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b])) for a, b in zip(x, y)]
+    assert any(expected) and near_dedup._may_link(wide[x], wide[y], size[x], size[y]).tolist() == expected
+
+
+def test_sketches_of_large_sets_keep_links():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        base = rng.choice(2 ** 32 - 1, 4000, replace=False).astype(np.uint32)
+        a, b = np.sort(base[:3520]), np.sort(base[480:])      # 3040 of 4000 shared: 0.76
+        wide = [near_dedup._sketches(pa.array([s[:near_dedup.SKETCH].tobytes()], pa.binary())) for s in (a, b)]
+        assert near_dedup._may_link(*wide, np.array([len(a)]), np.array([len(b)])).all()
+
+
 def test_every_pair_within_the_distance_shares_a_key():
     """Pigeonhole: up to MAX_DISTANCE differing symbols leave a chunk with at most one difference."""
     rng = random.Random(2)
