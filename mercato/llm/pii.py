@@ -34,12 +34,14 @@ ROUNDS = 10
 FIRST_DAY, DAY_SIDE = "1900-01-01", 270
 
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
+# the ten-digit form of country 1 first: a number that follows must not be taken for a part of it
+PHONE = (r"\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+         r"|\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9]|\.[0-9])")
 IDENTITY = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DATE = r"(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-ACCOUNT = r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}(?:[ -]?[0-9]{1,4}){1,2}(?![0-9])"
+ACCOUNT = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3})(?![0-9])"
 KINDS = {"mail": MAIL, "phone": PHONE, "identity": IDENTITY, "iso_date": ISO_DATE, "day_date": DAY_DATE,
          "address": ADDRESS, "account": ACCOUNT}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())

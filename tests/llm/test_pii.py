@@ -63,6 +63,14 @@ def test_equal_values_stay_linked_and_keys_differ(spark):
     assert one[0][0] != two[0][0]
 
 
+def test_neighbouring_values_are_told_apart(spark):
+    parts = ["+1 (269) 555-3296", "38.253.197.126", "4524132264652876", "x.42@mail8.example.com", "4880761348116108", "12"]
+    alone = pseudonyms(spark, parts)
+    joined = pseudonyms(spark, [" ".join(parts), " ".join(parts[::-1])])
+    assert joined[0] == (" ".join(alone[i][0] for i in range(6)), 5)
+    assert joined[1] == (" ".join(alone[i][0] for i in reversed(range(6))), 5)
+
+
 def test_what_is_not_valid_is_left_alone(spark):
     texts = [None, "", "plain text", "300.1.2.3 1.2.3.4.5 1985-02-29 31/02/2020 1850-01-01", "12 3456 2024 v1.2.3", "a@b"]
     assert pseudonyms(spark, texts) == {i: (t, 0) for i, t in enumerate(texts)}
