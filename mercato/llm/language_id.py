@@ -236,14 +236,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-MIN_LETTERS = 200  # ambiguity of a shorter text says little
-
-
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, whose language is known.
 
-    Rejected are texts without a letter, and ambiguous ones that have letters
-    enough to tell.
+    Rejected are texts without a letter (and everything if no language was
+    learned).  An ambiguous text, such as one in two languages, is flagged by
+    ``identify`` but stays: it is not junk.
     """
     shared = docs.sparkSession.sparkContext.broadcast(
         (model.languages, model.code, model.weights, model.trust))
@@ -256,8 +254,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
             keep = []
             for i, j in row_groups(sizes, PIECE_CHARS):
-                langs, _, doubts, letters = model.predict(texts[i:j])
-                keep.append((np.array(langs) != UNKNOWN) & ~(doubts & (letters >= MIN_LETTERS)))
+                keep.append(np.array(model.predict(texts[i:j])[0]) != UNKNOWN)
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.empty(0, bool)))
 
     return docs.mapInArrow(run, docs.schema)
