@@ -15,7 +15,7 @@ from mercato.llm.queries import table, tokenizer
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language stay; those without a letter, or long and ambiguous, go."""
+    """Documents of a known language stay; those without a letter go."""
     model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
     return language_id.accepted(docs, model)
 
