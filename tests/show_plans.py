@@ -34,15 +34,14 @@ JOBS = [
      "exchange of its own; per-seller partial aggregate; sellers join after the "
      "reduction; top-k without a global sort."),
     ("seller_satisfaction", experience.seller_satisfaction,
-     "Reviews, orders and items co-partitioned on order_id; three aggregation levels; top-15 "
-     "before the rank window (15 rows)."),
+     "Items reduced to (order, seller) before they meet the reviews on order_id; (seller, review) "
+     "and seller levels; top-15 before the rank window (15 rows)."),
     ("category_revenue_top", sales.category_revenue_top,
-     "Category dimension (products left-join translation) broadcast after the size check; "
-     "(category, order) level then category level."),
+     "(product, order) level on the order-key partitioning; the category lookup deals each product "
+     "over 16 parts by order; (category, order) level then category level."),
     ("rfm_scores (after tiling)", lambda t: experience.rfm_scores(t, sort=False),
-     "The three exact NTILEs were computed by range-partitioned, checkpointed global row "
-     "numbers; what remains is a scan of the last checkpoint joined to the broadcast "
-     "per-partition offsets (one row per range partition). No window orders people."),
+     "The six boundary rows of the three exact NTILEs were found by counting over the stored "
+     "people; what remains is a scan of them with comparisons. No window or sort orders people."),
 ]
 
 KEEP = re.compile(r"Exchange|Join|Aggregate|Window|Scan|TakeOrdered|Sort |Broadcast|Generate|Union")
@@ -59,7 +58,7 @@ def main():
     t = read_tables(spark, root=f"{scratch}/tables")
     out = ["# Physical plans at large-table shape", "",
            "Generated by `python tests/show_plans.py`: static plans (AQE off), size-based",
-           "broadcast off so facts join by shuffle; dimensions still pass the row-count check.",
+           "broadcast off, so all tables join by shuffle.",
            "Lines trimmed to operators; `#nn` ids removed.", ""]
     for title, job, note in JOBS:
         plan = job(t)._jdf.queryExecution().executedPlan().toString()
