@@ -9,8 +9,8 @@ scorer over hashed byte trigrams, which then scores every document.
 The pattern counts cover all documents; there are at most ``3 ** labellers``
 patterns, whatever the corpus.  The scorer is fitted on a sample of at most
 ``SAMPLE`` documents (those of the smallest id hash), the only part that does
-not see every row; its features are ``CELLS`` numbers a document, so that
-what reaches the driver is bounded by ``SAMPLE * CELLS * 2`` bytes.
+not see every row; its features are ``CELLS`` bytes a document, so that what
+reaches the driver is bounded by twice ``SAMPLE * CELLS`` bytes.
 
 Defined cases: a null text counts as empty.  An empty text gets the votes of
 an empty text and the score of no features.  Repeated rows count and are
@@ -34,9 +34,10 @@ from mercato.llm.words import NOT_SPACE, Words, byte_class, mix, span_hashes, te
 by_value(__name__)
 
 POOR, GOOD, NONE = 0, 1, 2
-SAMPLE = 8000
+SAMPLE = 6000
 CELLS = 1 << 12
 EPOCHS = 120
+ROWS = 500  # of the sample that are widened to 32 bits at a time
 NOT_NEWLINE = byte_class([(0x0A, 0x0A)])
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -137,17 +138,22 @@ def unpack(pattern: np.ndarray) -> np.ndarray:
     return (pattern[:, None] // 3 ** np.arange(len(RULES))) % 3
 
 
-def features(piece: Words, rows: np.ndarray) -> np.ndarray:
-    """Hashed byte trigrams: square roots of counts, each text scaled to length one."""
+def trigrams(piece: Words, rows: np.ndarray) -> np.ndarray:
+    """Counts of hashed byte trigrams per text, 255 at most."""
     data = piece.data.astype(np.uint64)
     n_rows = len(rows) - 1
-    out = np.zeros((n_rows, CELLS), dtype=np.float32)
+    out = np.zeros((n_rows, CELLS), dtype=np.uint8)
     if len(data) > 2:
         cell = (mix(data[:-2] << np.uint64(16) | data[1:-1] << np.uint64(8) | data[2:]) >> np.uint64(52)).astype(np.int64)
         for r, (a, b) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist())):
             if b - a > 2:
-                out[r] = np.bincount(cell[a:b - 2], minlength=CELLS)
-    np.sqrt(out, out=out)
+                out[r] = np.minimum(np.bincount(cell[a:b - 2], minlength=CELLS), 255)
+    return out
+
+
+def features(counts: np.ndarray) -> np.ndarray:
+    """Square roots of counts, each text scaled to length one."""
+    out = np.sqrt(counts, dtype=np.float32)
     out /= np.maximum(np.sqrt((out ** 2).sum(axis=1, keepdims=True)), 1e-9)
     return out
 
@@ -202,13 +208,25 @@ def fit_labels(pattern: np.ndarray, count: np.ndarray, rounds: int = 200) -> Lab
     return model
 
 
-def fit_scorer(x: np.ndarray, soft: np.ndarray) -> np.ndarray:
-    """Logistic regression on soft labels (full-batch Adam); the last weight is the bias."""
-    weights = np.zeros(x.shape[1] + 1, dtype=np.float32)
+def fit_scorer(counts: np.ndarray, soft: np.ndarray) -> np.ndarray:
+    """Logistic regression on soft labels (full-batch Adam); the last weight is the bias.
+
+    Features are held in 16 bits and widened a block of rows at a time.
+    """
+    n = len(counts)
+    blocks = [(features(counts[k:k + ROWS]).astype(np.float16), soft[k:k + ROWS].astype(np.float32))
+              for k in range(0, n, ROWS)]
+    weights = np.zeros(CELLS + 1, dtype=np.float32)
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, EPOCHS + 1):
-        error = 1 / (1 + np.exp(-(x @ weights[:-1] + weights[-1]))) - soft
-        slope = np.append(error @ x / len(x) + 1e-5 * weights[:-1], error.mean()).astype(np.float32)
+        slope = np.zeros_like(weights)
+        for narrow, wanted in blocks:
+            x = narrow.astype(np.float32)
+            error = 1 / (1 + np.exp(-(x @ weights[:-1] + weights[-1]))) - wanted
+            slope[:-1] += error @ x
+            slope[-1] += error.sum()
+        slope /= n
+        slope[:-1] += 1e-5 * weights[:-1]
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope ** 2
         weights -= 0.1 * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
@@ -227,12 +245,12 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
 
 
 def _sample(docs: DataFrame, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and patterns of the documents with the smallest id hashes."""
+    """Trigram counts and patterns of the documents with the smallest id hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, lines, rows in _pieces(batch.column(1), 1 << 18):
-                x = features(piece, rows).astype(np.float16)
+                x = trigrams(piece, rows)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(piece.first, len(x)), pa.array(patterns(votes(measures(piece, lines)))),
                      pa.array([r.tobytes() for r in x], pa.binary())], names=["h", "pattern", "x"])
@@ -242,8 +260,8 @@ def _sample(docs: DataFrame, total: int, size: int) -> tuple[np.ndarray, np.ndar
     picked = docs.withColumn("h", F.xxhash64("doc_id", "text")).filter(F.pmod("h", F.lit(1 << 32)) < bound)
     rows = picked.select("h", "text").mapInArrow(run, "h bigint, pattern bigint, x binary")
     found = rows.orderBy(F.pmod("h", F.lit(1 << 32)), "h").limit(size).select("pattern", "x").collect()
-    x = np.frombuffer(b"".join(r.x for r in found), dtype=np.float16).reshape(-1, CELLS)
-    return x.astype(np.float32), np.array([r.pattern for r in found], dtype=np.int64)
+    x = np.frombuffer(b"".join(r.x for r in found), dtype=np.uint8).reshape(-1, CELLS)
+    return x, np.array([r.pattern for r in found], dtype=np.int64)
 
 
 @dataclass
@@ -279,7 +297,7 @@ def score(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", t
         for batch in batches:
             for piece, lines, rows in _pieces(batch.column(1), 1 << 18):
                 soft = labels.posterior(votes(measures(piece, lines)))
-                margin = features(piece, rows) @ weights[:-1] + weights[-1]
+                margin = features(trigrams(piece, rows)) @ weights[:-1] + weights[-1]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(piece.first, len(soft)), pa.array(soft),
                      pa.array((1 / (1 + np.exp(-margin.astype(np.float64)))))], names=["doc_id", "weak_label", "score"])
