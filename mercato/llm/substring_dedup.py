@@ -290,7 +290,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, seed
     """``doc_id, tag, first, length, source, source_tag, source_first``: spans that an earlier document has."""
     known = docs.filter("doc_id IS NOT NULL")
     found = store(sequences(docs).filter(f"n >= {window} AND doc_id IS NOT NULL"), "span-sequences")
-    classes = found.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
+    # aggregates are written before they are joined back: the join then reads two plain exchanges,
+    # which adaptive execution can split at a hot key
+    classes = store(found.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "span-classes")
     classed = found.join(classes, ["n", "h1", "h2"])
     copies = classed.filter("doc_id > rep").select(
         "doc_id", "tag", F.lit(0).cast("bigint").alias("first"), F.col("n").alias("length"),
@@ -301,9 +303,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, seed
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     repeated = filter_bytes(met, "seed", seed_bits)
     rows = store(edges(known, first_of, doc_bits, repeated, seed_bits, window, seed), "span-edges")
-    sources = rows.groupBy("edge").agg(
+    sources = store(rows.groupBy("edge").agg(
         F.min("doc_id").alias("source"), F.min_by("at", "doc_id").alias("source_at"),
-        F.max("doc_id").alias("last")).filter("last > source").drop("last")
+        F.max("doc_id").alias("last")).filter("last > source").drop("last"), "span-sources")
     steps = rows.join(sources, "edge").filter("source < doc_id").select("doc_id", "at", "source", "source_at")
     spans = store(_paths(steps, window), "span-paths")
     return store(verified(spans, known, doc_bits).unionByName(copies.distinct()), "spans")
