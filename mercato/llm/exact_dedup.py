@@ -94,6 +94,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                .agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
                .filter("group_size > 1")
                .select("digest", F.col("best.keep_id").alias("keep_id"), "group_size"))
+    # written before it is joined back, so that adaptive execution can split the join at a hot digest
+    winners = store(winners, "exact-winners")
     joined = hashed.join(winners, "digest", "left")
     grouped = F.col("group_size").isNotNull()
     out = joined.select(
