@@ -9,8 +9,9 @@ scorer over hashed byte trigrams, which then scores every document.
 The pattern counts cover all documents; there are at most ``3 ** labellers``
 patterns, whatever the corpus.  The scorer is fitted on a sample of at most
 ``SAMPLE`` documents (those of the smallest id hash), the only part that does
-not see every row; its features are ``CELLS`` bytes a document, so that what
-reaches the driver is bounded by twice ``SAMPLE * CELLS`` bytes.
+not see every row; its features are ``CELLS`` 16-bit numbers a document, sent
+compressed, so that the driver holds little more than ``2 * SAMPLE * CELLS``
+bytes.  Features come from whole counts, in fitting and in scoring.
 
 Defined cases: a null text counts as empty.  An empty text gets the votes of
 an empty text and the score of no features.  Repeated rows count and are
@@ -20,6 +21,7 @@ Only the id and text columns are read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -139,21 +141,21 @@ def unpack(pattern: np.ndarray) -> np.ndarray:
 
 
 def trigrams(piece: Words, rows: np.ndarray) -> np.ndarray:
-    """Counts of hashed byte trigrams per text, 255 at most."""
+    """Whole counts of hashed byte trigrams per text."""
     data = piece.data.astype(np.uint64)
     n_rows = len(rows) - 1
-    out = np.zeros((n_rows, CELLS), dtype=np.uint8)
+    out = np.zeros((n_rows, CELLS), dtype=np.float32)
     if len(data) > 2:
         cell = (mix(data[:-2] << np.uint64(16) | data[1:-1] << np.uint64(8) | data[2:]) >> np.uint64(52)).astype(np.int64)
         for r, (a, b) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist())):
             if b - a > 2:
-                out[r] = np.minimum(np.bincount(cell[a:b - 2], minlength=CELLS), 255)
+                out[r] = np.bincount(cell[a:b - 2], minlength=CELLS)
     return out
 
 
 def features(counts: np.ndarray) -> np.ndarray:
-    """Square roots of counts, each text scaled to length one."""
-    out = np.sqrt(counts, dtype=np.float32)
+    """Square roots of counts (in their place), each text scaled to length one."""
+    out = np.sqrt(counts, out=counts)
     out /= np.maximum(np.sqrt((out ** 2).sum(axis=1, keepdims=True)), 1e-9)
     return out
 
@@ -208,14 +210,13 @@ def fit_labels(pattern: np.ndarray, count: np.ndarray, rounds: int = 200) -> Lab
     return model
 
 
-def fit_scorer(counts: np.ndarray, soft: np.ndarray) -> np.ndarray:
+def fit_scorer(x: np.ndarray, soft: np.ndarray) -> np.ndarray:
     """Logistic regression on soft labels (full-batch Adam); the last weight is the bias.
 
     Features are held in 16 bits and widened a block of rows at a time.
     """
-    n = len(counts)
-    blocks = [(features(counts[k:k + ROWS]).astype(np.float16), soft[k:k + ROWS].astype(np.float32))
-              for k in range(0, n, ROWS)]
+    n = len(x)
+    blocks = [(x[k:k + ROWS], soft[k:k + ROWS].astype(np.float32)) for k in range(0, n, ROWS)]
     weights = np.zeros(CELLS + 1, dtype=np.float32)
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, EPOCHS + 1):
@@ -245,22 +246,24 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
 
 
 def _sample(docs: DataFrame, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram counts and patterns of the documents with the smallest id hashes."""
+    """Features (16 bits) and patterns of the documents with the smallest id hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, lines, rows in _pieces(batch.column(1), 1 << 18):
-                x = trigrams(piece, rows)
+                x = features(trigrams(piece, rows)).astype(np.float16)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(piece.first, len(x)), pa.array(patterns(votes(measures(piece, lines)))),
-                     pa.array([r.tobytes() for r in x], pa.binary())], names=["h", "pattern", "x"])
+                     pa.array([zlib.compress(r.tobytes(), 1) for r in x], pa.binary())], names=["h", "pattern", "x"])
 
     # a hash threshold leaves about twice the sample for the top-k, without reading other texts into Python
     bound = int(min(1.0, 2 * size / total) * (1 << 32)) if total > size else 1 << 32
     picked = docs.withColumn("h", F.xxhash64("doc_id", "text")).filter(F.pmod("h", F.lit(1 << 32)) < bound)
     rows = picked.select("h", "text").mapInArrow(run, "h bigint, pattern bigint, x binary")
     found = rows.orderBy(F.pmod("h", F.lit(1 << 32)), "h").limit(size).select("pattern", "x").collect()
-    x = np.frombuffer(b"".join(r.x for r in found), dtype=np.uint8).reshape(-1, CELLS)
+    x = np.empty((len(found), CELLS), dtype=np.float16)
+    for k, r in enumerate(found):
+        x[k] = np.frombuffer(zlib.decompress(r.x), dtype=np.float16)
     return x, np.array([r.pattern for r in found], dtype=np.int64)
 
 

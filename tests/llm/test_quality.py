@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from llm_data import docs_frame, hard_texts
 from pyspark.sql import functions as F
 
@@ -44,3 +45,26 @@ def test_sample_is_bounded(spark):
     docs = docs_frame(spark, [f"text number {i}" for i in range(300)]).select("doc_id", "text")
     x, pattern = quality._sample(docs, 300, 20)
     assert len(x) == len(pattern) == 20
+
+
+def test_long_repetitive_text_keeps_whole_counts():
+    text = "the quick brown fox jumps over the lazy dog. " * 400 + "zebra " * 20000
+    (piece, _, rows), = quality._pieces(pa.array([text]), 1 << 18)
+    x = quality.trigrams(piece, rows)
+    assert x.sum() == len(text) - 2 and x.max() > 255
+
+
+def test_sample_and_score_use_whole_counts(spark):
+    texts = ["lorem ipsum dolor sit amet, " * 3000 + "x" * 40000, "a short text"]
+    x, _ = quality._sample(docs_frame(spark, texts).select("doc_id", "text"), 2, 2)
+    (piece, lines, rows), = quality._pieces(pa.array(texts), 1 << 18)
+    found = quality.trigrams(piece, rows)
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    assert found.sum(axis=1).tolist() == [len(d) - 2 for d in data]
+    whole = quality.features(found)
+    assert sorted(x.max(axis=1).tolist()) == sorted(whole.astype(np.float16).max(axis=1).tolist())
+    weights = np.zeros(quality.CELLS + 1, dtype=np.float32)
+    weights[:-1] = np.linspace(-3, 3, quality.CELLS)
+    labels = quality.LabelModel(0.5, np.full((2, len(quality.RULES), 3), 1 / 3))
+    out = quality.score(docs_frame(spark, texts), quality.QualityModel(labels, weights)).orderBy("doc_id").collect()
+    assert np.allclose([r.score for r in out], 1 / (1 + np.exp(-(whole @ weights[:-1]).astype(float))), atol=1e-6)
