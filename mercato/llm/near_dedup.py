@@ -17,10 +17,11 @@ asked for, so pairs need not all be formed:
    confirmed links give components;
 3. in buckets where several components are left, pairs of different
    components within the signature distance are compared too, by sketches of
-   the ``SKETCH`` smallest shingle hashes: whole sets of that size, a close
-   estimate for larger ones, so that hardly any pair but a link leaves the
-   block.  No link between different components is lost; links inside one
-   change nothing.  Large buckets are split into blocks, compared pairwise.
+   the ``SKETCH`` smallest shingle hashes: whole sets of that size decide in
+   the block; larger ones drop a pair only if its sketches already show too
+   many elements that are not shared, and the rest is confirmed on full sets.
+   No link between different components is lost; links inside one change
+   nothing.  Large buckets are split into blocks, compared pairwise.
 
 Sets are made only for documents in candidate pairs, found by a filter of
 fixed size, and joined to the pairs by document.
@@ -55,7 +56,6 @@ BLOCK = 1000                                # bucket members compared in one blo
 FILTER_BITS = 1 << 24
 PERCENT = 75
 SKETCH = 256                                # smallest shingle hashes, 32 bits each
-SKETCH_SIMILARITY = 0.75 - 4 * (0.75 * 0.25 / SKETCH) ** 0.5  # four standard deviations below the link
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -254,18 +254,23 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def _may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Whether sketches allow a link: exact (up to equal 32-bit halves) where both hold their whole set."""
+    """Whether sketches allow a link: exact (up to equal 32-bit halves) where both hold their whole set.
+
+    For larger sets an upper bound of the similarity decides, so no link is dropped.
+    """
     both = np.concatenate([a, b], axis=1)
     both.sort(axis=1)
     real = both != 0xFFFFFFFF
     again = np.zeros(both.shape, dtype=bool)
     again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
-    rank = np.cumsum(real & ~again, axis=1)          # distinct elements of the union so far
     whole = np.maximum(n_a, n_b) <= SKETCH
-    inside = real & ((rank <= SKETCH) | whole[:, None])
-    common = (again & inside).sum(axis=1)
-    union = (inside & ~again).sum(axis=1)
-    return np.where(whole, 100 * common >= PERCENT * union, common >= SKETCH_SIMILARITY * union)
+    # up to the last value of a cut sketch both sides show all their elements
+    last = np.minimum(np.where(n_a > SKETCH, a[:, -1], 0xFFFFFFFF), np.where(n_b > SKETCH, b[:, -1], 0xFFFFFFFF))
+    common = (again & (both <= last[:, None])).sum(axis=1)
+    union = (real & ~again).sum(axis=1)
+    seen = [((x != 0xFFFFFFFF) & (x <= last[:, None])).sum(axis=1) for x in (a, b)]
+    most = np.minimum(n_a - (seen[0] - common), n_b - (seen[1] - common))  # elements that may be shared
+    return np.where(whole, 100 * common >= PERCENT * union, 100 * most >= PERCENT * (n_a + n_b - most))
 
 
 def _cross_pairs(members: DataFrame, kind: str) -> DataFrame:

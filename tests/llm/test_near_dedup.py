@@ -78,6 +78,29 @@ def test_sketches_of_large_sets_keep_links():
         assert near_dedup._may_link(*wide, np.array([len(a)]), np.array([len(b)])).all()
 
 
+def test_sketches_of_large_sets_drop_only_what_cannot_be_a_link():
+    def may(a, b):
+        wide = [near_dedup._sketches(pa.array([s[:near_dedup.SKETCH].tobytes()], pa.binary())) for s in (a, b)]
+        return bool(near_dedup._may_link(*wide, np.array([len(a)]), np.array([len(b)]))[0])
+
+    # similarity 0.75, but all that is not shared lies in front and fills both sketches
+    low, shared = np.arange(1000, dtype=np.uint32), np.arange(5000, 8000, dtype=np.uint32)
+    assert may(np.concatenate([low[::2], shared]), np.concatenate([low[1::2], shared]))
+    # 256 elements that are not shared leave 44 of 300
+    assert not may(np.arange(0, 600, 2, dtype=np.uint32), np.arange(1, 601, 2, dtype=np.uint32))
+    # no link of any shape is dropped
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(200, 900))
+        shared = rng.choice(1 << 20, n, replace=False)
+        extra = rng.choice(np.arange(1 << 20, (1 << 20) + 4000) - (1 << 20) * int(rng.integers(0, 2)), n, replace=False)
+        cut = int(rng.integers(0, n // 3))
+        a = np.unique(np.concatenate([shared, extra[:cut]])).astype(np.uint32)
+        b = np.unique(np.concatenate([shared, extra[cut:n // 3]])).astype(np.uint32)
+        if 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)):
+            assert may(a, b)
+
+
 def test_every_pair_within_the_distance_shares_a_key():
     """Pigeonhole: up to MAX_DISTANCE differing symbols leave a chunk with at most one difference."""
     rng = random.Random(2)
