@@ -50,6 +50,7 @@ PIECE_CHARS = 1 << 19
 POOL_PIECES = 1024
 POOL_TOKENS = 1 << 20
 STORE_IDS = 1 << 22
+LENGTH_BITS = 32  # of the number of ids of a pre-token, which may be one for each of its bytes
 # Code points that canonical composition leaves alone and that have a simple lower case:
 # Latin up to U+024F without the dotted capital I, punctuation, Cyrillic, kana, CJK, Hangul syllables.
 SAFE_RANGES = [(0x00, 0x12F), (0x131, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF),
@@ -84,13 +85,13 @@ class Ids:
         self.used = 0
 
     def _compute(self, piece: str) -> int:
-        """Ids of a pre-token go to the store; returns place << 20 | length."""
+        """Ids of a pre-token go to the store; returns place << LENGTH_BITS | length."""
         ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
         if self.used + len(ids) > len(self.store):
             self.store = np.concatenate([self.store, np.empty(max(len(ids), len(self.store)), np.uint32)])
         self.store[self.used:self.used + len(ids)] = ids
         self.used += len(ids)
-        return (self.used - len(ids)) << 20 | len(ids)
+        return (self.used - len(ids)) << LENGTH_BITS | len(ids)
 
     def _is_safe(self, text: str) -> bool:
         return text.isascii() or bool(self.safe[np.frombuffer(text.encode("utf-32-le"), np.uint32)].all())
@@ -115,7 +116,7 @@ class Ids:
         starts, ends = segments.plain()
         places = resolve(self.cache, segments, starts, ends, self._compute)
         owner = np.searchsorted(segments.marks, starts)  # segment of each pre-token
-        begin, size = places >> 20, places & ((1 << 20) - 1)
+        begin, size = places >> LENGTH_BITS, places & ((1 << LENGTH_BITS) - 1)
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.store[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
         edges = total[np.searchsorted(owner, np.arange(len(parts) + 1))]

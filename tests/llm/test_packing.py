@@ -52,6 +52,15 @@ def test_pieces_hold_the_library_ids(spark, library):
     assert packing.pack_documents(docs.limit(0), PATH, end_id=1).count() == 0
 
 
+def test_pre_token_of_more_than_a_million_ids(spark, library):
+    rng = random.Random(8)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FA6)) for _ in range(700_000))
+    ids = [*library.encode(text, add_special_tokens=False).ids, 1]
+    assert len(text) < 1 << 20 < len(ids)
+    rows = packing.pack_documents(docs_frame(spark, ["a b", text]), PATH, end_id=1).collect()
+    check(rows, {0: [*library.encode("a b", add_special_tokens=False).ids, 1], 1: ids}, 2048)
+
+
 def test_all_three_limits_hold():
     rng = random.Random(5)
     for limits in (Limits(64, 4, 32), Limits(64, 2, 64), Limits(16, 3, 5), Limits(2048, 256, 2048)):
