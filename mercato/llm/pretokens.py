@@ -14,6 +14,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 from mercato.llm.common import by_value, worker_state
 from mercato.llm.words import span_hashes
@@ -100,6 +101,23 @@ class Segments:
         return self._spans(starts, kinds >= SPACE)
 
 
+def distinct_spans(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """The distinct strings among spans of code points, and the number of each span's string among them.
+
+    Arrow's dictionary encoding compares the characters themselves, so equal
+    numbers mean equal strings.  Strings are numbered as they are first met.
+    """
+    if not len(starts):
+        return np.empty(0, dtype=np.int64), []
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)])
+    chars = points[np.repeat(starts - bounds[:-1], ends - starts) + np.arange(bounds[-1])]
+    column = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(bounds * 4), pa.py_buffer(np.ascontiguousarray(chars))])
+    coded = column.dictionary_encode()
+    words = [w.decode("utf-32-le") for w in coded.dictionary.to_pylist()]
+    return coded.indices.to_numpy().astype(np.int64), words
+
+
 class Cache:
     """Value of a pre-token by its hash: a direct-mapped table of fixed size."""
 
