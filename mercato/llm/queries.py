@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import decontaminate, exact_dedup, language_id, near_dedup, packing, pii, quality, substring_dedup, token_counts, url_filter
+from mercato.llm import (bpe_codec, decontaminate, exact_dedup, kmeans, language_id, near_dedup, packing, pii, quality,
+                         spelling, substring_dedup, token_counts, url_filter)
 
 # The rules of the URL query.
 URL_RULES = [
@@ -86,6 +87,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("word_bpe_49k.json")
+    out = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+                      F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), damaged=True)
+
+
+def op13_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.with_inertia(*kmeans.cluster(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
@@ -97,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_bpe_codec": op11_bpe_codec,
+    "op12_spelling": op12_spelling,
+    "op13_kmeans": op13_kmeans,
 }
 
 SQL: dict[str, str] = {}
@@ -202,3 +221,38 @@ SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+
+def _lloyd_sql(k: int, rounds: int, dimensions: int, scale: int) -> str:
+    """Rounds of assignment and update as a chain of common table expressions at row grain."""
+    steps = [f"""
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), g) - 1 AS c, g FROM v
+       QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), g) <= {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS (SELECT vec_id, rid, v.g AS g, c,
+           list_sum(list_transform(range(1, {dimensions + 1}), lambda i: (v.g[i] - c{r}.g[i]) * (v.g[i] - c{r}.g[i])))::BIGINT AS distance
+         FROM v, c{r}),
+a{r} AS (SELECT vec_id, rid, g, c, distance FROM d{r}
+         QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, c) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (SELECT c, i, sum(g[i])::BIGINT AS s, count(*) AS n
+         FROM a{r}, unnest(range(1, {dimensions + 1})) AS t(i) GROUP BY c, i),
+u{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS g FROM m{r} GROUP BY c),
+c{r + 1} AS (SELECT c{r}.c AS c, coalesce(u{r}.g, c{r}.g) AS g FROM c{r} LEFT JOIN u{r} ON c{r}.c = u{r}.c)""")
+    return f"""
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS g
+  FROM embeddings
+  WHERE len(embedding) = {dimensions}
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dimensions}),
+{",".join(steps)}
+SELECT vec_id, a{rounds}.c::INTEGER AS cluster, distance,
+       sum(distance) OVER (PARTITION BY a{rounds}.c)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c{rounds}.g, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON a{rounds}.c = c{rounds}.c
+"""
+
+
+SQL["op13_kmeans"] = _lloyd_sql(16, 3, 64, 64)
