@@ -5,7 +5,7 @@ space and the rest before any merge.  The split is computed here for many
 texts at once: code points are looked up in a class table that is taken from
 the tokenizer library itself (so its Unicode version decides), and token
 starts follow from class changes.  Equal pre-tokens then share one piece of
-work through a cache of fixed size, keyed by a 64-bit hash.
+work through a cache of bounded size, keyed by their text.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ import numpy as np
 import pyarrow as pa
 
 from mercato.llm.common import by_value, worker_state
-from mercato.llm.words import span_hashes
 
 by_value(__name__)
 
 OTHER, LETTER, NUMBER, SPACE, END = 0, 1, 2, 3, 4
-CACHE_SLOTS = 1 << 20
+# at most so many pre-tokens of at most so many characters are kept
+CACHE_ENTRIES, CACHE_CHARS = 1 << 19, 64
 
 
 @lru_cache(maxsize=1)
@@ -119,40 +119,31 @@ def distinct_spans(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
 
 
 class Cache:
-    """Value of a pre-token by its hash: a direct-mapped table of fixed size."""
-
-    def __init__(self, slots: int = CACHE_SLOTS):
-        self.mask = np.uint64(slots - 1)
-        self.keys = np.zeros(slots, dtype=np.uint64)
-        self.values = np.zeros(slots, dtype=np.int64)
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values, and the positions of hashes that the table does not hold."""
-        slot = (hashes & self.mask).astype(np.int64)
-        return self.values[slot], np.flatnonzero(self.keys[slot] != hashes)
-
-    def put(self, hashes: np.ndarray, values: np.ndarray) -> None:
-        slot = (hashes & self.mask).astype(np.int64)
-        self.keys[slot] = hashes
-        self.values[slot] = values
+    """Value of a pre-token by its text; emptied when it is full."""
+
+    def __init__(self, entries: int = CACHE_ENTRIES):
+        self.entries = entries
+        self.values: dict[str, int] = {}
+
+    def of(self, piece: str, compute) -> int:
+        found = self.values.get(piece)
+        if found is None:
+            found = compute(piece)
+            if len(piece) <= CACHE_CHARS:
+                if len(self.values) >= self.entries:
+                    self.values.clear()
+                self.values[piece] = found
+        return found
 
     def clear(self) -> None:
-        self.keys[:] = 0
+        self.values.clear()
 
 
 def resolve(cache: Cache, segments: Segments, starts: np.ndarray, ends: np.ndarray, compute) -> np.ndarray:
     """A value per span; ``compute(str) -> int`` runs once per distinct missing pre-token."""
-    hashes = span_hashes(segments.points, starts, ends)
-    values, missing = cache.find(hashes)
-    if len(missing):
-        unique, first, inverse = np.unique(hashes[missing], return_index=True, return_inverse=True)
-        at = missing[first]
-        joined = segments.joined
-        found = np.fromiter((compute(joined[s:e]) for s, e in zip(starts[at].tolist(), ends[at].tolist())),
-                            dtype=np.int64, count=len(at))
-        cache.put(unique, found)
-        values[missing] = found[inverse]
-    return values
+    numbers, pieces = distinct_spans(segments.points, starts, ends)
+    values = np.fromiter((cache.of(p, compute) for p in pieces), dtype=np.int64, count=len(pieces))
+    return values[numbers]
 
 
 def split_special(texts: list[str], special: list[str]) -> tuple[list[str], list[int], list[tuple[int, str]]]:
