@@ -11,8 +11,8 @@ document covers it.
 
 Work is kept to the repeated part of the corpus, step by step:
 
-1. documents with equal word sequences form a class; all but the smallest
-   are one span, and only the smallest goes on;
+1. documents whose words have equal 128-bit digests form a class; all but the
+   smallest are one span, and only the smallest goes on;
 2. each window is represented by its smallest hashed ``SEED``-word k-mer;
    two equal windows have the same one, so only windows whose seed occurs in
    two documents can repeat (about one seed per 16 words is shuffled);
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.llm.common import by_value, filter_bytes, filter_position, store
-from mercato.llm.words import NOT_SPACE, Words, long_window_hashes, mix, starts_inside, window_hashes, words_of
+from mercato.llm.words import NOT_SPACE, Words, starts_inside, window_hashes, words_of
 
 by_value(__name__)
 
@@ -51,26 +51,21 @@ WINDOW = 50
 SEED = 20
 SEED_BITS = 1 << 26
 DOC_BITS = 1 << 24
-_SALTS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25))
+_SECOND = 0x9FB21C651E98DF25  # salt of an edge's second hash
 
 
 def _kind(df: DataFrame) -> str:
     return df.schema["doc_id"].dataType.simpleString()
 
 
-def _sequence_hashes(piece: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each row's whole word sequence."""
-    place = (np.arange(len(hashes)) - np.repeat(piece.bounds[:-1], piece.counts)).astype(np.uint64)
-    full = piece.counts > 0
-    out = []
-    with np.errstate(over="ignore"):
-        for salt in _SALTS:
-            total = np.zeros(len(piece.counts), dtype=np.uint64)
-            if full.any():
-                total[full] = np.add.reduceat(mix(hashes ^ mix((place + np.uint64(1)) * salt)),
-                                              piece.bounds[:-1][full])
-            out.append(total)
-    return out[0], out[1]
+def _sequence_digests(piece: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a 128-bit digest of each row's words, joined by one space."""
+    out = np.empty((len(piece.counts), 2), dtype=np.uint64)
+    for r, (a, b) in enumerate(zip(piece.bounds[:-1].tolist(), piece.bounds[1:].tolist())):
+        # bytes.split() splits at the same six bytes as the words
+        raw = b" ".join(piece.data[piece.starts[a]:piece.ends[b - 1]].tobytes().split()) if b > a else b""
+        out[r] = np.frombuffer(hashlib.blake2b(raw, digest_size=16).digest(), dtype="<u8")
+    return out[:, 0].copy(), out[:, 1].copy()
 
 
 def _tags(h1: np.ndarray) -> np.ndarray:
@@ -84,7 +79,7 @@ def sequences(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in words_of(batch.column(1), NOT_SPACE, False):
-                h1, h2 = _sequence_hashes(piece, piece.hashes())
+                h1, h2 = _sequence_digests(piece)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(piece.first, len(h1)), pa.array(_tags(h1)),
                      pa.array(piece.counts, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
@@ -152,7 +147,10 @@ def seeds(docs: DataFrame, wanted: bytes, bits: int, window: int, seed: int) ->
 
 def edges(docs: DataFrame, wanted: bytes, bits: int, repeated: bytes, seed_bits: int, window: int,
           seed: int) -> DataFrame:
-    """``edge, doc_id, at`` of windows whose seed may be repeated; ``at`` holds word position and text tag."""
+    """``edge, second`` (a window's two hashes), ``doc_id, at`` of windows whose seed may be repeated.
+
+    ``at`` holds word position and text tag.
+    """
     context = docs.sparkSession.sparkContext
     shared, known = context.broadcast(wanted), context.broadcast(repeated)
 
@@ -169,14 +167,14 @@ def edges(docs: DataFrame, wanted: bytes, bits: int, repeated: bytes, seed_bits:
                 if not len(at):
                     continue
                 row = np.repeat(np.arange(len(piece.counts)), piece.counts)[at]
-                tag = _tags(_sequence_hashes(piece, hashes)[0])
+                tag = _tags(_sequence_digests(piece)[0])
                 place = (at - piece.bounds[row]) << 32 | tag[row]
-                edge = long_window_hashes(hashes, window)[at]
+                edge, second = (window_hashes(hashes, window, salt)[at].view(np.int64) for salt in (0, _SECOND))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(edge.view(np.int64)), batch.column(0).take(pa.array(piece.first + row)),
-                     pa.array(place)], names=["edge", "doc_id", "at"])
+                    [pa.array(edge), pa.array(second), batch.column(0).take(pa.array(piece.first + row)),
+                     pa.array(place)], names=["edge", "second", "doc_id", "at"])
 
-    return _selected(docs, bits).mapInArrow(run, f"edge bigint, doc_id {_kind(docs)}, at bigint")
+    return _selected(docs, bits).mapInArrow(run, f"edge bigint, second bigint, doc_id {_kind(docs)}, at bigint")
 
 
 def _paths(steps: DataFrame, window: int) -> DataFrame:
@@ -223,7 +221,7 @@ def _joined_with(docs: DataFrame, table: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             batch = _pick(batch, shared.value)
             for piece in words_of(batch.column(1), NOT_SPACE, False):
-                tag = _tags(_sequence_hashes(piece, piece.hashes())[0])
+                tag = _tags(_sequence_digests(piece)[0])
                 rows = batch.slice(piece.first, len(tag))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(tag), rows.column(1)],
                                                  names=["doc_id", "tag", "text"])
@@ -303,10 +301,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, seed
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     repeated = filter_bytes(met, "seed", seed_bits)
     rows = store(edges(known, first_of, doc_bits, repeated, seed_bits, window, seed), "span-edges")
-    sources = store(rows.groupBy("edge").agg(
+    sources = store(rows.groupBy("edge", "second").agg(
         F.min("doc_id").alias("source"), F.min_by("at", "doc_id").alias("source_at"),
         F.max("doc_id").alias("last")).filter("last > source").drop("last"), "span-sources")
-    steps = rows.join(sources, "edge").filter("source < doc_id").select("doc_id", "at", "source", "source_at")
+    steps = rows.join(sources, ["edge", "second"]).filter("source < doc_id").select("doc_id", "at", "source", "source_at")
     spans = store(_paths(steps, window), "span-paths")
     return store(verified(spans, known, doc_bits).unionByName(copies.distinct()), "spans")
 
@@ -347,7 +345,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, doc_bits: int = DOC_BITS) ->
         for batch in batches:
             batch = _pick(batch, shared.value)
             for piece in words_of(batch.column(1), NOT_SPACE, False):
-                tag = _tags(_sequence_hashes(piece, piece.hashes())[0])
+                tag = _tags(_sequence_digests(piece)[0])
                 rows = batch.slice(piece.first, len(tag))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(tag), rows.column(1)],
                                                  names=["doc_id", "tag", "text"])

@@ -2,9 +2,8 @@
 
 Words are runs of bytes of a 256-entry class, so UTF-8 text needs no
 decoding.  Every word gets a 64-bit hash from one prefix sum per piece of a
-text column (a polynomial hash, then a mixing step); a batch is walked in
-pieces of bounded size, so memory follows the largest single text, not the
-batch.
+text column over symbols mixed with their places; a batch is walked in pieces
+of bounded size, so memory follows the largest single text, not the batch.
 """
 
 from __future__ import annotations
@@ -15,12 +14,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from mercato.llm.common import by_value, worker_state
+from mercato.llm.common import by_value
 
 by_value(__name__)
 
 PIECE_BYTES = 1 << 20
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
+_PLACE, _SYMBOL, _LENGTH = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
 def byte_class(excluded: list[tuple[int, int]]) -> np.ndarray:
@@ -47,38 +46,28 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^i and P^-i modulo 2^64 for i < n; kept between tasks, grown when a longer text comes."""
-    state = worker_state("powers")
-    if state.get("n", 0) < n:
-        size = max(n, PIECE_BYTES + 1)
-        inverse = pow(int(_P), -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            up = np.full(size, _P, dtype=np.uint64)
-            down = np.full(size, np.uint64(inverse), dtype=np.uint64)
-            up[0] = down[0] = 1
-            state.update(n=size, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
-    return state["up"], state["down"]
-
-
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of ``symbols[s:e]`` for ascending spans that do not overlap."""
+    """64-bit hash of ``symbols[s:e]`` for ascending spans that do not overlap.
+
+    Every symbol is mixed with its place in the span before the sum, so no
+    algebraic relation between places (as in a polynomial) makes two spans equal.
+    """
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     with np.errstate(over="ignore"):
         while i < len(starts):
             base = int(starts[i])
             j = max(i + 1, int(np.searchsorted(ends, base + PIECE_BYTES, side="right")))
-            piece = symbols[base:int(ends[j - 1])].astype(np.uint64)
-            up, down = _powers(len(piece) + 1)
-            piece += np.uint64(1)
-            piece *= up[:len(piece)]
-            total = np.empty(len(piece) + 1, dtype=np.uint64)
-            total[0] = 0
-            np.cumsum(piece, out=total[1:])
             s, e = starts[i:j] - base, ends[i:j] - base
-            h = (total[e] - total[s]) * down[s]
-            out[i:j] = mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            origin = np.zeros(int(e[-1]), dtype=np.int64)
+            origin[s] = s
+            np.maximum.accumulate(origin, out=origin)
+            place = (np.arange(len(origin)) - origin).astype(np.uint64)
+            piece = symbols[base:base + len(origin)].astype(np.uint64)
+            total = np.empty(len(origin) + 1, dtype=np.uint64)
+            total[0] = 0
+            np.cumsum(mix(place * _PLACE + (piece + np.uint64(1)) * _SYMBOL), out=total[1:])
+            out[i:j] = mix(total[e] - total[s] + (e - s).astype(np.uint64) * _LENGTH)
             i = j
     return out
 
@@ -150,34 +139,30 @@ def words_of(column: pa.Array, member: np.ndarray, lower: bool, limit: int = PIE
         yield Words(i, piece, starts, ends, np.diff(bounds), bounds)
 
 
-def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every ``width`` consecutive words (a polynomial in the word hashes), one per start.
+def window_hashes(hashes: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
+    """Hash of every ``width`` consecutive words, one per start; another ``salt`` gives an independent one.
 
-    Windows may run over row ends; callers mask those.
+    Hashes of 1, 2, 4, ... words are made by doubling, and the width is put
+    together from them, each joint mixed.  Windows may run over row ends;
+    callers mask those.
     """
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        factor = np.uint64(1)
-        for k in range(width):
-            out += hashes[k:k + n] * factor
-            factor = factor * _P
-    return mix(out)
-
-
-def long_window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Like ``window_hashes`` for wide windows: by prefix sums, whatever the width."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    up, down = _powers(len(hashes) + 1)
     with np.errstate(over="ignore"):
-        total = np.empty(len(hashes) + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(hashes * up[:len(hashes)], out=total[1:])
-        return mix((total[width:] - total[:-width]) * down[:n])
+        power, size = (mix(hashes + np.uint64(salt)) if salt else hashes), 1
+        parts = []
+        while size <= width:
+            if width & size:
+                parts.append((size, power))
+            if 2 * size <= width:
+                power = mix(power[:-size] * _PLACE + power[size:])
+            size *= 2
+        done, out = parts[-1][0], parts[-1][1][:n]
+        for size, power in parts[-2::-1]:
+            out = mix(out * _SYMBOL + power[done:done + n])
+            done += size
+        return out if width > 1 else mix(out)
 
 
 def starts_inside(bounds: np.ndarray, width: int) -> np.ndarray:
