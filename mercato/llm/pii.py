@@ -2,9 +2,12 @@
 
 Every validated value is replaced by a keyed permutation of its own format:
 card and account numbers keep their length and whether their check digit is
-right, phone and identity numbers their punctuation, IP addresses four
-octets, dates their notation and calendar validity, and mail addresses the
-lengths and kinds of characters before the ``@``.  The same value gets the
+right (a run of 13 to 19 digits is taken for one with a wrong check digit too:
+rewriting an order number is preferred to leaving a mistyped card), phone
+numbers their country code and punctuation, identity numbers their
+punctuation, IP addresses four octets, dates their notation and calendar
+validity, and mail addresses the lengths and kinds of characters before the
+``@``.  A phone number has one pseudonym in all its notations.  The same value gets the
 same pseudonym in every document, so links between documents stay.
 
 The permutation is an alternating Feistel network over a product of two
@@ -17,8 +20,8 @@ the text between them is kept as it is, and each value is rewritten in an
 array transform.  It is a single map pass without a shuffle.
 
 Defined cases: a null text stays null, with no values.  A candidate that
-fails validation (an octet above 255, a day that does not exist or lies
-outside the supported range, an account number whose digits go on) is left as
+fails validation (an octet above 255, a day that does not exist, an account
+number whose digits go on, a domain name of more than 127 labels) is left as
 it is.  A permutation may map a value to itself with a chance of one in the
 size of its format.  Rows that repeat are rewritten alike; empty tables are
 fine.  Only the id and text columns are read.
@@ -30,13 +33,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-# Supported days: 270 * 270 from this date on (to August 2099).
-FIRST_DAY, DAY_SIDE = "1900-01-01", 270
-
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+FIRST_DAY = "0001-01-01"
+# All days of the years 1 to 9999 as blocks of a x b days, one after the other; a date stays in its
+# block.  The middle one runs from 1900-01-01 to August 2099.
+DAY_BLOCKS = [(17, 35), (825, 840), (270, 270), (1698, 1698), (40, 59)]
+# Telephone country codes of one and two digits; all others have three.
+SHORT_CODES = ["1", "7"]
+PAIR_CODES = ["20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49",
+              "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84",
+              "86", "90", "91", "92", "93", "94", "95", "98"]
+
+# Repeated groups have a bound: a Java regular expression takes stack for every repetition.  A domain
+# name has 127 labels at most.
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}\.[A-Za-z]{2,}"
 # the ten-digit form of country 1 first: a number that follows must not be taken for a part of it
 PHONE = (r"\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
-         r"|\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9]|\.[0-9])")
+         r"|\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9]|\.[0-9])"
+         r"|(?<![0-9+])(?<![0-9][ .-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-]|\.[0-9])")
 IDENTITY = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DATE = r"(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])"
@@ -126,9 +139,19 @@ def _account(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    country = F.regexp_extract(value, r"^\+[0-9]{1,3}", 0)
-    rest = F.substring(value, F.length(country) + 1, F.length(value))
-    return F.concat(country, _refill(rest, permute_digits(_digits(rest), key, "phone")))
+    """The country code stays, the digits after it are permuted, whatever the punctuation.
+
+    A national number of ten digits is one of country 1.
+    """
+    def run(digits: Column) -> Column:
+        code = (F.when(~value.startswith("+"), F.lit(""))
+                .when(F.substring(digits, 1, 1).isin(SHORT_CODES), F.substring(digits, 1, 1))
+                .when(F.substring(digits, 1, 2).isin(PAIR_CODES), F.substring(digits, 1, 2))
+                .otherwise(F.substring(digits, 1, 3)))
+        return _bind(code, lambda c: F.concat(c, permute_digits(
+            F.substring(digits, F.length(c) + 1, F.length(digits)), key, "phone")))
+
+    return _refill(value, _bind(_digits(value), run))
 
 
 def _identity(value: Column, key: str) -> Column:
@@ -151,11 +174,20 @@ def _address(value: Column, key: str) -> Column:
 def _date(value: Column, notation: str, key: str) -> Column:
     def run(day: Column) -> Column:
         n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-        side = F.lit(DAY_SIDE)
-        new = feistel((n / DAY_SIDE).cast("int"), n % DAY_SIDE, side, side, key, "date")
-        text = _bind(new, lambda p: F.date_format(
-            F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAY_SIDE + p["r"]).cast("int")), notation))
-        return F.when((n >= 0) & (n < DAY_SIDE * DAY_SIDE), text).otherwise(value)
+        first, a, b, low = F.lit(None), F.lit(None), F.lit(None), 0
+        for x, y in DAY_BLOCKS:
+            inside = (n >= low) & (n < low + x * y)
+            first, a, b = (F.when(inside, F.lit(v)).otherwise(old) for v, old in ((low, first), (x, a), (y, b)))
+            low += x * y
+
+        def move(block: Column) -> Column:
+            place = n - block["first"]
+            new = feistel(F.floor(place / block["b"]), place % block["b"], block["a"], block["b"], key, "date")
+            return _bind(new, lambda p: F.date_format(F.date_add(
+                F.lit(FIRST_DAY).cast("date"), (block["first"] + p["l"] * block["b"] + p["r"]).cast("int")), notation))
+
+        found = F.struct(first.cast("bigint").alias("first"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
+        return _bind(found, lambda block: F.when(block["a"].isNull(), value).otherwise(move(block)))
 
     iso = value if notation == "yyyy-MM-dd" else F.concat_ws(
         "-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2))

@@ -72,7 +72,7 @@ def test_neighbouring_values_are_told_apart(spark):
 
 
 def test_what_is_not_valid_is_left_alone(spark):
-    texts = [None, "", "plain text", "300.1.2.3 1.2.3.4.5 1985-02-29 31/02/2020 1850-01-01", "12 3456 2024 v1.2.3", "a@b"]
+    texts = [None, "", "plain text", "300.1.2.3 1.2.3.4.5 1985-02-29 31/02/2020 0000-01-01", "12 3456 2024 v1.2.3", "a@b"]
     assert pseudonyms(spark, texts) == {i: (t, 0) for i, t in enumerate(texts)}
 
 
@@ -87,3 +87,52 @@ def test_only_built_in_functions_run(spark):
     plan = pii.pseudonymise(docs, "k")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert pii.pseudonymise(docs.limit(0), "k").count() == 0
+
+
+def test_one_phone_number_has_one_pseudonym_in_all_notations(spark):
+    digits = lambda text: re.sub(r"\D", "", text)
+    us = ["+15551234567", "+1 555 123 4567", "+1 (555) 123-4567", "+1-555-123-4567", "+1.555.123.4567"]
+    national = ["(555) 123-4567", "555-123-4567", "(555)123-4567", "555.123.4567"]
+    uk = ["+442079460958", "+44 20 7946 0958", "+44 (20) 7946-0958"]
+    texts = [f"call {x}, please" for x in us + national + uk + ["+351912345678", "+351 912 345 678"]]
+    found = pseudonyms(spark, texts)
+    new = [digits(found[i][0]) for i in range(len(texts))]
+    assert len(set(new[:5])) == 1 and new[0][0] == "1" and new[0] != digits(us[0])
+    assert set(new[5:9]) == {new[0][1:]}
+    assert len(set(new[9:12])) == 1 and new[9][:2] == "44" and new[9] != digits(uk[0])
+    assert new[12] == new[13] and new[12][:3] == "351"
+    assert all(re.sub(r"\d", "", found[i][0]) == re.sub(r"\d", "", t) for i, t in enumerate(texts))
+
+
+def test_days_of_all_four_digit_years(spark):
+    import datetime
+
+    assert sum(a * b for a, b in pii.DAY_BLOCKS) == (datetime.date(9999, 12, 31) - datetime.date(1, 1, 1)).days + 1
+    days = ["0001-01-01", "0002-08-18", "0002-08-19", "1850-01-01", "1899-12-31", "1900-01-01", "2099-08-04", "2099-08-05",
+            "5000-05-05", "9993-07-15", "9999-12-31"]
+    found = pseudonyms(spark, [f"on {d}." for d in days] + ["31/12/9999"])
+    new = [datetime.date.fromisoformat(found[i][0][3:-1]) for i in range(len(days))]
+    assert len(set(new)) == len(days) and sum(str(n) != d for n, d in zip(new, days)) >= len(days) - 1
+    middle = datetime.date(1900, 1, 1), datetime.date(2099, 8, 4)
+    for d, n in zip(days, new):
+        assert (middle[0] <= n <= middle[1]) == (middle[0] <= datetime.date.fromisoformat(d) <= middle[1])
+    day, month, year = found[11][0].split("/")
+    assert f"{year}-{month}-{day}" == str(new[10])
+
+
+def test_permuted_days_of_a_small_block_are_all_its_days(spark):
+    import datetime
+
+    first = datetime.date(1, 1, 1)
+    days = [(first + datetime.timedelta(k)).isoformat() for k in range(17 * 35)]
+    found = pseudonyms(spark, days)
+    assert sorted(found[i][0] for i in range(len(days))) == days
+
+
+def test_very_long_runs_do_not_exhaust_the_stack(spark):
+    n = 100000
+    texts = ["a@" + "a." * n, "a@" + "a-" * n + ".com", "a." * n + "@b.org", "+" + "1-" * n, "1" * n, "1." * n, "-" * n,
+             "(555) " * n, "1 " * n, "a@" + "b" * n + ".org", "@" * n, "1234 " * n, "a@b." * n, "2020-01-" * n]
+    found = pseudonyms(spark, texts)
+    assert [len(found[i][0]) for i in range(len(texts))] == [len(t) for t in texts]
+    assert found[0] == (texts[0], 0) and found[2][0].endswith("@b.org") and found[9][0].endswith("b.org")
