@@ -12,10 +12,10 @@ and bucket.  Then
 2. the unpacked rows are joined with that table on the word and packed again,
    in the order of their positions, so that every page gets the ids of its
    words back by position;
-3. a page's ids meet its sequences, and documents get their ids.
+3. a page's ids are joined with its sequences, which lie in buckets of the
+   page and are not moved, and documents get their ids.
 
-Only packed words and ids and the compressed sequences are shuffled, never a
-row per word of the corpus.  A word that stands in every text has one row per
+Only packed words and ids are shuffled, never a row per word of the corpus.  A word that stands in every text has one row per
 page, at most one in ``PAGE_WORDS`` of its bucket's rows.
 
 Decoding joins ids with the id-to-piece table of the vocabulary.  The table's
@@ -35,6 +35,7 @@ longest single text.
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -49,6 +50,7 @@ from mercato.llm.packing import SAFE_RANGES
 from mercato.llm.pretokens import Segments, cached, class_table, distinct_spans, split_special
 from mercato.llm.token_counts import byte_letters
 from mercato.llm.words import row_groups
+from mercato.session import ensure_checkpoint_dir
 
 by_value(__name__)
 
@@ -56,7 +58,7 @@ PIECE_CHARS = 1 << 19
 PAGE_WORDS = 1 << 18
 PAGE_TOKENS = 1 << 22
 BUCKETS_PER_PARTITION = 16
-# A split that joins on (bucket, word) may rely on rows that are dealt by bucket alone.
+# Whether a join on (bucket, word) deals rows out anew that are dealt by the bucket already.
 CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
@@ -103,9 +105,9 @@ class Splitter:
         return numbers, words, counts
 
 
-def _squeeze(slots: np.ndarray) -> bytes:
-    """Slots as compressed byte planes, low bytes first."""
-    planes = slots.astype("<u4").view(np.uint8).reshape(-1, 4).T
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 as compressed byte planes, low bytes first."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
     return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
@@ -121,33 +123,43 @@ class Page:
 
     def __init__(self):
         self.index: dict[str, int] = {}
-        self.pieces: list[tuple[list, np.ndarray, np.ndarray]] = []
+        self.ids: list = []
+        self.counts: list[np.ndarray] = []
+        self.numbers: list[np.ndarray] = []
         self.tokens = 0
 
     def add(self, ids: list, numbers: np.ndarray, words: list[str], counts: np.ndarray) -> None:
         index = self.index
         own = np.fromiter((index.setdefault(w, len(index)) for w in words), dtype=np.uint32, count=len(words))
-        self.pieces.append((ids, counts, own[numbers]))
+        self.ids.extend(ids)
+        self.counts.append(counts)
+        self.numbers.append(own[numbers])
         self.tokens += len(numbers)
 
     def full(self) -> bool:
         return len(self.index) >= PAGE_WORDS or self.tokens >= PAGE_TOKENS
 
-    def close(self, buckets: int) -> tuple[list[tuple[int, str]], list[tuple[list, np.ndarray, bytes]]]:
-        """(bucket, words) rows in slot order, and (ids, counts, slots) of each piece."""
-        words = list(self.index)
+    def close(self, buckets: int) -> tuple[list[tuple[int, str]], np.ndarray, np.ndarray]:
+        """(bucket, words) rows, the bucket of every slot, and the slots of all words.
+
+        Frequent words get small slots, which compress well; a bucket's words stand in slot order.
+        """
+        numbers = np.concatenate(self.numbers) if self.numbers else np.empty(0, np.uint32)
+        order = np.argsort(-np.bincount(numbers, minlength=len(self.index)), kind="stable")
+        slot = np.empty(len(order), dtype=np.uint32)
+        slot[order] = np.arange(len(order), dtype=np.uint32)
+        known = list(self.index)
+        words = [known[k] for k in order.tolist()]
         bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), dtype=np.int64, count=len(words))
-        order = np.argsort(bucket, kind="stable")
-        slot = np.empty(len(words), dtype=np.uint32)
-        slot[order] = np.arange(len(words), dtype=np.uint32)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(words)]])
-        packed = [(int(bucket[order[i]]), " ".join(words[k] for k in order[i:j].tolist()))
+        dealt = np.argsort(bucket, kind="stable")
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[dealt])) + 1, [len(words)]])
+        packed = [(int(bucket[dealt[i]]), " ".join(words[k] for k in dealt[i:j].tolist()))
                   for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()) if j > i]
-        return packed, [(ids, counts, _squeeze(slot[own])) for ids, counts, own in self.pieces]
+        return packed, bucket, slot[numbers]
 
 
 def split_pages(docs: DataFrame, tokenizer_path: str, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of packed words (with ``words``) and of sequences (with ``slots``) of every page."""
+    """Rows of packed words (with ``words``) and one row with the sequences (``slots``) of every page."""
     shared = docs.sparkSession.sparkContext.broadcast((_vocabulary(tokenizer_path), class_table()))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -156,22 +168,16 @@ def split_pages(docs: DataFrame, tokenizer_path: str, buckets: int, id_col: str,
         first = TaskContext.get().partitionId() << 33
         page, number, id_type = Page(), 0, None
 
-        def close() -> Iterator[pa.RecordBatch]:
-            packed, pieces = page.close(buckets)
-            names = ["page", "bucket", "words", "piece", "doc_ids", "counts", "slots"]
-            at = first + number
-            if packed:
-                bucket, words = zip(*packed)
-                n = len(packed)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at] * n, pa.int64()), pa.array(bucket, pa.int32()), pa.array(words, pa.string()),
-                     pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(id_type)), pa.nulls(n, pa.list_(pa.int64())),
-                     pa.nulls(n, pa.binary())], names=names)
-            for k, (ids, counts, slots) in enumerate(pieces):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()),
-                     pa.array([k], pa.int32()), pa.array([ids], pa.list_(id_type)),
-                     pa.array([counts], pa.list_(pa.int64())), pa.array([slots], pa.binary())], names=names)
+        def close() -> pa.RecordBatch:
+            packed, bucket, slots = page.close(buckets)
+            own, words = zip(*packed, (None, None))
+            n = len(packed)
+            last = lambda value, kind: pa.array([None] * n + [value], kind)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([first + number] * (n + 1), pa.int64()), pa.array(own, pa.int32()), pa.array(words, pa.string()),
+                 last(page.ids, pa.list_(id_type)), last(np.concatenate(page.counts).tolist(), pa.list_(pa.int64())),
+                 last(len(bucket), pa.int64()), last(_squeeze(bucket), pa.binary()), last(_squeeze(slots), pa.binary())],
+                names=["page", "bucket", "words", "doc_ids", "counts", "n_slots", "buckets", "slots"])
 
         for batch in batches:
             id_type = batch.column(0).type
@@ -181,17 +187,32 @@ def split_pages(docs: DataFrame, tokenizer_path: str, buckets: int, id_col: str,
             for i, j in row_groups(sizes, PIECE_CHARS):
                 page.add(ids[i:j], *splitter.split(texts[i:j]))
                 if page.full():
-                    yield from close()
+                    yield close()
                     page, number = Page(), number + 1
-        if page.pieces:
-            yield from close()
+        if page.ids:
+            yield close()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"page bigint, bucket int, words string, piece int, doc_ids array<{kind}>, counts array<bigint>, slots binary")
+        run, f"page bigint, bucket int, words string, doc_ids array<{kind}>, counts array<bigint>, n_slots bigint, "
+             "buckets binary, slots binary")
+
+
+def _stored_by_page(pages: DataFrame, partitions: int) -> DataFrame:
+    """``pages`` written in buckets of the page, so that a join on the page does not move them again.
+
+    The files lie in the shared checkpoint folder; the catalog entry is dropped once the table is resolved.
+    """
+    spark = pages.sparkSession
+    name = f"bpe_pages_{uuid.uuid4().hex}"
+    pages.write.bucketBy(partitions, "page").option("path", f"{ensure_checkpoint_dir(spark)}/{name}").option(
+        "compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def word_table(words: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Ids (decimal, joined by spaces) of distinct words ``(bucket, word)``."""
+    """Ids (decimal, joined by spaces) of distinct words ``(bucket, word, ...)``."""
     shared = words.sparkSession.sparkContext.broadcast(_vocabulary(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,12 +242,15 @@ def word_table(words: DataFrame, tokenizer_path: str) -> DataFrame:
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id`` and ``ids``, its token ids as little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
-    pages = store(split_pages(docs, tokenizer_path, buckets, id_col, text_col), "bpe-pages")
-    packed = pages.filter("words IS NOT NULL").select("page", "bucket", "words").repartition("bucket")
+    pages = _stored_by_page(split_pages(docs, tokenizer_path, BUCKETS_PER_PARTITION * partitions, id_col, text_col),
+                            partitions)
+    packed = pages.filter("words IS NOT NULL AND bucket IS NOT NULL").select("page", "bucket", "words").repartition("bucket")
     unpacked = packed.select("page", "bucket", F.posexplode(F.split("words", " ")).alias("pos", "word"))
-    table = store(word_table(unpacked.select("bucket", "word").distinct(), tokenizer_path), "bpe-words")
+    # with a column of the other side's that it does not need, the table reads the same exchange
+    distinct = unpacked.groupBy("bucket", "word").agg(F.min("page").alias("page"))
+    table = word_table(distinct, tokenizer_path)
     joined = unpacked.join(table, ["bucket", "word"]).groupBy("page", "bucket").agg(
         F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("found"))
     answers = joined.select("page", "bucket", F.array_join(F.transform("found", lambda x: x["ids"]), ",").alias("ids"))
@@ -237,18 +261,12 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     finally:
         spark.conf.set(CO_PARTITION, before)
 
-    sequences = pages.filter("slots IS NOT NULL").select(
-        "page", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("string").alias("ids"),
-        "piece", "doc_ids", "counts", "slots")
-    answers = answers.select("page", "bucket", "ids", *(
-        F.lit(None).cast(sequences.schema[c].dataType).alias(c) for c in ("piece", "doc_ids", "counts", "slots")))
-    # every page's ids come before its sequences
-    rows = answers.unionByName(sequences).repartition("page").sortWithinPartitions(
-        "page", F.col("bucket").asc_nulls_last(), "piece")
+    own = answers.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("found"))
+    rows = pages.filter("slots IS NOT NULL").join(own, "page", "left").select(
+        "doc_ids", "counts", "n_slots", "buckets", "slots", F.transform("found", lambda x: x["ids"]).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bytes] = {}  # strings of ids that many words share are parsed once
-        page, slots = None, []
 
         def parse(text: str) -> bytes:
             out = known.get(text)
@@ -259,21 +277,21 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             return out
 
         for batch in batches:
-            columns = [batch.column(k) for k in (0, 2, 4, 5, 6)]
-            for k in range(batch.num_rows):
-                at, ids, doc_ids, counts, data = (c[k] for c in columns)
-                if at.as_py() != page:
-                    page, slots = at.as_py(), []
-                if ids.is_valid:
-                    slots.extend(map(parse, ids.as_py().split(",")))
-                    continue
-                ends = np.cumsum(counts.values.to_numpy()).tolist()
-                own = _unsqueeze(data.as_py(), ends[-1]).tolist()
-                out, i = [], 0
-                for j in ends:
-                    out.append(b"".join(map(slots.__getitem__, own[i:j])))
-                    i = j
-                yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(out, pa.binary())], names=["doc_id", "ids"])
+            for doc_ids, counts, n_slots, buckets, slots, ids in zip(*batch.columns):
+                found = [parse(x) for text in ids.as_py() or () for x in text.split(",")]
+                # the ids of a bucket's words come in slot order
+                place = np.empty(n_slots.as_py(), dtype=np.int64)
+                place[np.argsort(_unsqueeze(buckets.as_py(), len(place)), kind="stable")] = np.arange(len(place))
+                ends = np.cumsum(counts.values.to_numpy())
+                own = place[_unsqueeze(slots.as_py(), int(ends[-1]))]
+                i = 0
+                for low, high in row_groups(np.diff(ends, prepend=0), PIECE_CHARS):
+                    out = []
+                    for j in ends[low:high].tolist():
+                        out.append(b"".join(map(found.__getitem__, own[i:j].tolist())))
+                        i = j
+                    yield pa.RecordBatch.from_arrays([doc_ids.values.slice(low, high - low), pa.array(out, pa.binary())],
+                                                     names=["doc_id", "ids"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, ids binary")
 
