@@ -18,15 +18,15 @@ import argparse
 from mercato.plans.registry import GROUPS, JOBS
 from mercato.plans.reports import run_reports
 from mercato.session import build_session, cluster_conf
-from mercato.sources.catalog import read_tables, stored_bytes, write_tables
+from mercato.sources.catalog import planned_bytes, read_tables, stored_bytes, write_tables
 from mercato.sources.csv_ingest import load_tables
 from mercato.sources.schemas import SCHEMAS
 from mercato.sources.testdata import star_tables
 
 
-def size_session(spark, *paths: str) -> None:
-    """Set shuffle partitions, scan splits and skew splitting from the bytes under ``paths``."""
-    conf = cluster_conf(stored_bytes(spark, *paths), spark.sparkContext.defaultParallelism)
+def size_session(spark, n_bytes: int) -> None:
+    """Set shuffle partitions, scan splits and skew splitting from the bytes that will be read."""
+    conf = cluster_conf(n_bytes, spark.sparkContext.defaultParallelism)
     for key, value in conf.items():
         spark.conf.set(key, value)
 
@@ -40,6 +40,7 @@ def main(argv: list[str] | None = None) -> None:
     ld.add_argument("--out", required=True)
     ld.add_argument("--bucketed", action="store_true")
     ld.add_argument("--only", nargs="*", choices=sorted(SCHEMAS))
+    ld.add_argument("--strict", action="store_true", help="enforce the declared text lengths too")
     ld.add_argument("--database", default="mercato", help="catalog database of bucketed tables")
     td = sub.add_parser("testdata", help="driver test tables -> star tables")
     td.add_argument("--sf-dir", required=True)
@@ -56,8 +57,8 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session(args.master)
     if args.cmd == "load":
         sources = {t: f"{args.csv_dir.rstrip('/')}/{t}.csv" for t in args.only or SCHEMAS}
-        size_session(spark, *sources.values())
-        load_tables(spark, sources, args.out, bucketed=args.bucketed, database=args.database)
+        size_session(spark, stored_bytes(spark, *sources.values()))
+        load_tables(spark, sources, args.out, bucketed=args.bucketed, database=args.database, strict=args.strict)
         print(f"loaded {sorted(sources)} into {args.out}")
     elif args.cmd == "testdata":
         write_tables(star_tables(spark, args.sf_dir), args.out)
@@ -65,8 +66,7 @@ def main(argv: list[str] | None = None) -> None:
     else:
         names = list(GROUPS[args.group]) if args.group else args.only
         tables = read_tables(spark, root=args.tables, database=args.database)
-        size_session(spark, *([args.tables] if args.tables else sorted(
-            {p.rsplit("/", 1)[0] for df in tables.values() for p in df.inputFiles()})))
+        size_session(spark, planned_bytes(tables))
         paths = run_reports(tables, args.out, names)
         for name, path in paths.items():
             print(f"{name}\t{path}")

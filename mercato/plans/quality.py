@@ -34,7 +34,12 @@ def _row_checks(table: str) -> list[tuple[str, Column]]:
     return checks
 
 
-def constraint_audit(t: Tables) -> DataFrame:
+def row_rules(table: str) -> list[tuple[str, Column]]:
+    """The NOT NULL and CHECK rules of a table, each true for a row that breaks it."""
+    return [(rule, F.coalesce(broken, F.lit(False))) for rule, broken in _row_checks(table) if not rule.startswith("max_length")]
+
+
+def constraint_audit(t: Tables, keys: bool = True) -> DataFrame:
     """table_name, rule, n_violations for PK uniqueness, NOT NULL, CHECK and length rules.
 
     Per table: one grouped count for the key (partial aggregation map-side)
@@ -44,7 +49,7 @@ def constraint_audit(t: Tables) -> DataFrame:
     for table in sorted(t):
         df = t[table]
         pk = PRIMARY_KEYS.get(table)
-        if pk:
+        if pk and keys:
             parts.append(_one_row(table, f"primary_key({', '.join(pk)})", "n",
                                   duplicate_keys(df, pk).agg(F.sum(F.col("c") - 1).alias("n"))))
         checks = _row_checks(table)
@@ -71,6 +76,20 @@ def require_unique_keys(t: Tables) -> None:
         raise ValueError(f"duplicate primary keys (key, rows): {broken}")
 
 
+def require_constraints(t: Tables, lengths: bool = False) -> None:
+    """Raise if a table breaks a declared key, NOT NULL or CHECK rule, with ``lengths`` a declared length too.
+
+    Loads run it on what they have written, before they publish it.
+    """
+    require_unique_keys(t)
+    broken = constraint_audit(t, keys=False).filter("n_violations > 0")
+    if not lengths:
+        broken = broken.filter(~F.col("rule").startswith("max_length"))
+    broken = [(r["table_name"], r["rule"], r["n_violations"]) for r in broken.collect()]
+    if broken:
+        raise ValueError(f"broken constraints (table, rule, rows): {broken}")
+
+
 def orphan_audit(t: Tables) -> DataFrame:
     """child, parent, n_orphans: child rows whose non-NULL reference has no parent row."""
     parts = []

@@ -8,6 +8,9 @@ Two layouts:
   are bucketed and sorted by ``order_id`` with one bucket count, so the
   order-key joins and per-order aggregates of every report run without a
   shuffle of the large tables.  Dimensions are written plainly.
+
+A root that ``csv_ingest.load_tables`` has published holds versions of the
+tables instead; ``read_tables`` opens those that its newest manifest names.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercato.sources import versions
 from mercato.sources.schemas import SCHEMAS
 
 BUCKET_BYTES = 256 << 20
@@ -38,7 +42,8 @@ def write_tables(tables: dict[str, DataFrame], root: str, bucketed: bool = False
 
     With ``bucketed`` the tables are first written plainly under
     ``<root>-staged``, so the bucket count can follow their stored bytes, and
-    each bucket is then written by one task into one sorted file.
+    each bucket is then written by one task into one sorted file.  Tables are
+    overwritten in place; ``csv_ingest.load_tables`` publishes versions instead.
     """
     if not tables:
         raise ValueError("no tables to write")
@@ -61,15 +66,29 @@ def write_tables(tables: dict[str, DataFrame], root: str, bucketed: bool = False
             writer.saveAsTable(f"{database}.{name}")
         else:
             df.write.mode("overwrite").parquet(f"{root}/{name}")
+    if not bucketed and versions.current(spark, root)[0]:
+        versions.publish(spark, root, {name: "." for name in tables})
 
 
 def read_tables(spark: SparkSession, root: str | None = None, database: str | None = None,
                 names: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
-    """Open the star tables (all nine unless named) from a Parquet root or a catalog database."""
+    """Open the star tables (all nine unless named) from a Parquet root or a catalog database.
+
+    All tables come from one manifest, so a load that is published meanwhile
+    is seen whole or not at all.
+    """
     names = names or tuple(SCHEMAS)
     if database:
-        return {name: spark.table(f"{database}.{name}") for name in names}
-    return {name: spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}") for name in names}
+        home = versions.database_location(spark, database)
+        places = versions.current(spark, home)[1] if home else {}
+        return {name: spark.table(f"{places.get(name, database)}.{name}") for name in names}
+    places = versions.folders(spark, root)
+    return {name: spark.read.schema(SCHEMAS[name]).parquet(f"{places.get(name, root)}/{name}") for name in names}
+
+
+def planned_bytes(tables: dict[str, DataFrame]) -> int:
+    """Bytes of the tables' files, from the statistics of their scans (no file is listed again)."""
+    return sum(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in tables.values())
 
 
 def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
