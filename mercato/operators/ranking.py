@@ -1,8 +1,11 @@
 """Ranking, top-k and exact distributed tiling.
 
 A window without a partition clause makes Spark move every row to one task.
-``ntile_by_cuts`` finds the rows at the tile boundaries by counting (no sort,
-no shuffle of rows) and assigns tiles by comparison.  ``global_row_number``
+``ntile_by_cuts`` finds the rows at the tile boundaries and assigns tiles by
+comparison: a mergeable quantile sketch brackets every boundary, one exact
+counting pass verifies the brackets, and only the rows inside them are ordered
+(``bracketed_cuts``).  A bracket that fails, or holds too many rows, is
+replaced by counting rounds (``tile_cuts``: no sort, no shuffle of rows).  ``global_row_number``
 numbers rows in a total order: the rows are range-partitioned on the full
 (unique) sort key, so even a key value shared by a third of all rows is
 split across partitions by the tie-break column; each partition is
@@ -180,6 +183,80 @@ def tile_cuts(df: DataFrame, measures: Sequence[str], tie: str, k: int) -> dict[
     return {m: [c for c in cuts if c.measure == m] for m in measures}
 
 
+ACCURACY = 10_000         # the sketch's rank error is one part in this of all rows
+BRACKET_ROWS = 2_000_000  # rows of a bracket that are ordered; larger brackets are counted down instead
+_TIE_BYTES = 6
+
+
+def _shared_bytes(low: str | None, high: str | None) -> int:
+    """Length of the common prefix, in bytes, of all strings between two."""
+    a, b = (low or "").encode(), (high or "").encode()
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def _tie_fraction(tie: str, skip: int) -> Column:
+    """A number in [0, 1] that never falls as the string rises (NULL, which comes last, is 1)."""
+    raw = F.substring(F.encode(F.col(tie), "UTF-8"), skip + 1, _TIE_BYTES)
+    number = F.conv(F.rpad(F.hex(raw), 2 * _TIE_BYTES, "0"), 16, 10).cast("double") / float(1 << 8 * _TIE_BYTES)
+    return F.coalesce(number, F.lit(1.0))
+
+
+def bracketed_cuts(df: DataFrame, measures: Sequence[str], tie: str, k: int, accuracy: int = ACCURACY,
+                   bracket_rows: int = BRACKET_ROWS) -> dict[str, list[_Cut]]:
+    """``tile_cuts`` in four passes over ``df``, whatever the measures and ids look like.
+
+    1. Sizes, extremes, and the prefix that all tie-breaks share.
+    2. Per measure a quantile sketch of ``measure + fraction of the tie-break``, a
+       number that never falls along the order; two of its quantiles bracket
+       each boundary (map tasks send sketches of fixed size).
+    3. Exact counts of the rows below and inside every bracket.
+    4. The rows inside the brackets, a few in 10,000, are ordered and the
+       boundary rows read off.
+    """
+    first = df.agg(F.count(F.lit(1)).alias("n"), F.min(tie).alias("tie_lo"), F.max(tie).alias("tie_hi"),
+                   *[F.max(m).alias(f"{m}_hi") for m in measures]).first()
+    total = first["n"]
+    if not total:
+        return {m: [] for m in measures}
+    ranks = [j * (total // k) + min(j, total % k) for j in range(1, k)]
+    skip = _shared_bytes(first["tie_lo"], first["tie_hi"])
+    # NULL measures come last: behind the largest value and the largest fraction
+    place = {m: F.coalesce(F.col(m).cast("double"), F.lit(float(first[f"{m}_hi"] or 0) + 2)) + F.col("_fraction")
+             for m in measures}
+    placed = df.withColumn("_fraction", _tie_fraction(tie, skip))
+    margin = 2 / accuracy
+    asked = [min(max(r / total + side * margin, 0.0), 1.0) for r in ranks for side in (-1, 1)]
+    sketch = placed.agg(*[F.percentile_approx(place[m], asked, accuracy).alias(m) for m in measures]).first()
+    brackets = []
+    for m in measures:
+        for j, rank in enumerate(ranks):
+            low = float("-inf") if asked[2 * j] <= 0 else sketch[m][2 * j]
+            high = float("inf") if asked[2 * j + 1] >= 1 else sketch[m][2 * j + 1]
+            brackets.append((m, rank, place[m] < low, (place[m] >= low) & (place[m] <= high)))
+    counts = placed.agg(*[c.alias(f"{name}{i}") for i, (_, _, below, inside) in enumerate(brackets)
+                          for name, c in (("b", F.count_if(below)), ("i", F.count_if(inside)))]).first()
+    wanted = {}
+    for i, (m, rank, _, _) in enumerate(brackets):
+        at, size = rank - counts[f"b{i}"], counts[f"i{i}"]
+        if 1 <= at <= size <= bracket_rows:
+            wanted[i] = at
+    failed = sorted({b[0] for i, b in enumerate(brackets) if i not in wanted}, key=list(measures).index)
+    found = tile_cuts(df, failed, tie, k) if failed else {}
+    chosen = {i: at for i, at in wanted.items() if brackets[i][0] not in failed}
+    cuts: dict[str, list[_Cut]] = {m: [] for m in measures}
+    if chosen:
+        marks = [F.when(brackets[i][3], F.struct(F.lit(i).alias("cut"), F.lit(at).cast("bigint").alias("at"),
+                                                 F.col(brackets[i][0]).cast("bigint").alias("value")))
+                 for i, at in chosen.items()]
+        inside = placed.select(F.explode(F.array_compact(F.array(*marks))).alias("m"), F.col(tie).alias("tie")).select("m.*", "tie")
+        order = W.partitionBy("cut").orderBy(F.asc_nulls_last("value"), F.asc_nulls_last("tie"))
+        rows = inside.withColumn("number", F.row_number().over(order)).filter("number = at").collect()
+        for r in sorted(rows, key=lambda r: r["cut"]):
+            m, rank = brackets[r["cut"]][:2]
+            cuts[m].append(_Cut(m, rank, r["value"], r["value"], tie=r["tie"], done=True))
+    return {m: found.get(m) or cuts[m] for m in measures}
+
+
 def tile_of(cuts: list[_Cut], tie: str) -> Column:
     """``NTILE`` of a row by comparing it with the cuts: one more tile for each cut it lies beyond."""
     tile = F.lit(1)
@@ -195,9 +272,9 @@ def tile_of(cuts: list[_Cut], tie: str) -> Column:
 def ntile_by_cuts(df: DataFrame, measures: Sequence[str], tie: str, k: int, suffix: str = "_tile") -> DataFrame:
     """Exact ``NTILE(k) OVER (ORDER BY measure, tie)`` per measure, as columns ``<measure><suffix>``.
 
-    ``df`` is read once per round and should be stored.
+    ``df`` is read four times and should be stored.
     """
-    cuts = tile_cuts(df, measures, tie, k)
+    cuts = bracketed_cuts(df, measures, tie, k)
     return df.withColumns({f"{m}{suffix}": tile_of(cuts[m], tie) for m in measures})
 
 

@@ -165,7 +165,8 @@ def late_rate_by(t: Tables, dimension: str) -> DataFrame:
         flagged = items.join(flags, "order_id").groupBy("order_id", "seller_id").agg(
             F.first("has_date").alias("has_date"), F.first("late").alias("late"))
         if dimension != "seller_id":
-            flagged = spread_lookup(flagged, t["sellers"].select("seller_id", dimension), "seller_id", by="order_id") \
+            flagged = spread_lookup(flagged, t["sellers"].select("seller_id", dimension), "seller_id", by="order_id",
+                                    counted=t["order_items"]) \
                 .select(dimension, "order_id", "has_date", "late").distinct()
     else:
         raise ValueError(f"unsupported dimension {dimension!r}")

@@ -88,7 +88,7 @@ def category_revenue_top(t: Tables, k: int = 10) -> DataFrame:
     # (category, order) grain for the distinct orders of a category.
     per_pair = items.groupBy("order_id", "product_id").agg(
         F.sum("price_cents").alias("price_cents"), F.count("price_cents").alias("n_priced"))
-    with_cat = spread_lookup(per_pair, category_dim(t), "product_id", by="order_id")
+    with_cat = spread_lookup(per_pair, category_dim(t), "product_id", by="order_id", counted=t["order_items"])
     per_order = with_cat.groupBy("category", "order_id").agg(
         F.sum("price_cents").alias("cents"), F.sum("n_priced").alias("n_priced"))
     per_cat = per_order.groupBy("category").agg(

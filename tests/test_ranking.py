@@ -83,3 +83,33 @@ def test_group_row_number_matches_window_with_a_hot_group(spark):
     joined = ours.join(ref, "id")
     assert joined.count() == 3000
     assert joined.filter(F.col("rn") != F.col("rn_ref")).count() == 0
+
+
+@pytest.mark.parametrize("accuracy, bracket_rows", [(10000, 10 ** 6), (50, 10 ** 6), (10000, 5)])
+def test_bracketed_cuts_are_those_of_the_counting_rounds(spark, accuracy, bracket_rows):
+    """Also where the sketch is coarse and where a bracket is too large to be ordered."""
+    from mercato.operators.ranking import bracketed_cuts
+    df = spark.range(5000).select(
+        F.when(F.col("id") == 9, F.lit(None)).otherwise(F.concat(F.lit("person-é-"), F.md5(F.col("id").cast("string")))).alias("pid"),
+        F.when(F.col("id") % 9 == 0, F.lit(None)).otherwise(F.col("id") % 4).alias("few"),
+        F.lit(None).cast("bigint").alias("none"), (F.col("id") * 10 ** 14 - 5).alias("large"),
+        F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(-3)).alias("mostly_one"))
+    measures = ("few", "none", "large", "mostly_one")
+    for k in (3, 5):
+        ours = bracketed_cuts(df, measures, "pid", k, accuracy, bracket_rows)
+        rounds = tile_cuts(df, measures, "pid", k)
+        for m in measures:
+            assert [(c.low, c.tie) for c in ours[m]] == [(c.low, c.tie) for c in rounds[m]], (m, k)
+
+
+def test_bracketed_cuts_take_four_passes(spark):
+    from mercato.operators.ranking import bracketed_cuts
+    df = _data(spark, 3000, 50).persist()
+    df.count()
+    spark.sparkContext.setJobGroup("cuts", "cuts")
+    try:
+        bracketed_cuts(df, ("key",), "pid", 3)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("cuts")
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert len(jobs) <= 8  # four queries; a shuffle stage of adaptive execution counts as a job of its own
