@@ -26,13 +26,13 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from mercato.plans.registry import JOBS as REPORT_JOBS  # noqa: E402
+from mercato.plans.registry import JOBS as REPORT_JOBS, MEASURES  # noqa: E402
 from mercato.session import build_session  # noqa: E402
 from mercato.sources.catalog import read_tables, write_tables  # noqa: E402
 from mercato.sources.testdata import star_tables  # noqa: E402
 from mercato.sources.testdata_jobs import TEST_JOBS  # noqa: E402
 
-JOBS = {**REPORT_JOBS, **TEST_JOBS}
+JOBS = {**REPORT_JOBS, **MEASURES, **TEST_JOBS}
 
 
 def main() -> None:

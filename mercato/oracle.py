@@ -749,3 +749,105 @@ SQL["seller_dispatch_top_pruned"] = seller_dispatch_sql(True, MEDIAN_ORDERS)
 SQL["seller_dispatch_bottom_pruned"] = seller_dispatch_sql(False, MEDIAN_ORDERS)
 SQL["seller_satisfaction_pruned"] = seller_satisfaction_sql(MEDIAN_REVIEWS)
 SQL["category_satisfaction_pruned"] = category_satisfaction_sql(MEDIAN_ROWS)
+
+
+# ---------------------------------------------------------------- measures over any dimension
+_MONTH = "strftime(o.order_purchase_timestamp, '%Y-%m')"
+
+
+def _late_rates(by_order: list[str], by_item: list[str], orders: str = "true", items: str | None = None) -> str:
+    """Every dimension on its own, at row grain; under an item filter only orders with such an item."""
+    facts = f"""
+lo AS (
+  SELECT o.order_id, {_MONTH} AS month, cu.customer_state, cu.customer_city, cu.customer_zip_code,
+         o.order_delivered_customer_date IS NOT NULL AS has_date, o.{_LATE.replace(' > ', ' > o.')} AS late
+  FROM mk_orders o JOIN mk_customers cu ON o.customer_id = cu.customer_id
+  WHERE o.{DELIVERED} AND {orders}
+    AND {f"o.order_id IN (SELECT oi.order_id FROM mk_order_items oi WHERE {items})" if items else "true"}),
+li AS (
+  SELECT oi.order_id, s.*, cat.category
+  FROM mk_order_items oi JOIN mk_sellers s ON oi.seller_id = s.seller_id JOIN cat ON oi.product_id = cat.product_id
+  WHERE {items or "true"})"""
+    pairs = [f"SELECT '{d}' AS dimension, {d} AS value, order_id, has_date, late FROM lo" for d in by_order]
+    pairs += [f"SELECT DISTINCT '{d}' AS dimension, {d} AS value, order_id, has_date, late FROM li JOIN lo USING (order_id)"
+              for d in by_item]
+    return with_adapter(f"""
+SELECT dimension, value, CAST(total AS BIGINT) AS n_delivered, CAST(late AS BIGINT) AS n_late,
+       COALESCE({rr('late', 'total', 4)}, 0.0) AS late_rate
+FROM (SELECT dimension, value, {_sum_if('has_date')} AS total, {_sum_if('late')} AS late
+      FROM ({" UNION ALL ".join(pairs)}) p GROUP BY 1, 2) x""", f"{CAT},{facts}")
+
+
+_BY_ORDER = ["month", "customer_state", "customer_city", "customer_zip_code"]
+_BY_ITEM = ["seller_id", "seller_state", "seller_city", "seller_zip_code", "category"]
+SQL["late_rates"] = _late_rates(_BY_ORDER, _BY_ITEM)
+SQL["late_rates_of_states"] = _late_rates(
+    _BY_ORDER, _BY_ITEM, "cu.customer_state IN ('NATION_7', 'NATION_17') AND o.order_purchase_timestamp >= "
+    "TIMESTAMP '1996-02-01' AND o.order_purchase_timestamp < TIMESTAMP '1999-07-01'")
+SQL["late_rates_of_sellers"] = _late_rates(["month", "customer_city"], ["seller_id", "category"],
+                                           items="oi.seller_id IN ('1', '3', '8')")
+
+
+def _distinct_persons() -> str:
+    grains = [(), ("month",), ("customer_state",), ("category",), ("month", "customer_state"),
+              ("customer_state", "category")]
+    parts = []
+    for grain in grains:
+        columns = ", ".join(c if c in grain else f"CAST(NULL AS VARCHAR) AS {c}"
+                            for c in ("month", "customer_state", "category"))
+        parts.append(f"SELECT '{' x '.join(grain) or 'all'}' AS grain, {columns}, "
+                     f"CAST(COUNT(DISTINCT person) AS BIGINT) AS n_persons FROM sold"
+                     + (f" GROUP BY {', '.join(grain)}" if grain else ""))
+    return with_adapter(" UNION ALL ".join(parts), f"""{CAT},
+sold AS (
+  SELECT cu.customer_unique_id AS person, {_MONTH} AS month, cu.customer_state, cat.category
+  FROM mk_orders o JOIN mk_customers cu ON o.customer_id = cu.customer_id
+  JOIN mk_order_items oi ON o.order_id = oi.order_id JOIN cat ON oi.product_id = cat.product_id
+  WHERE o.{DELIVERED})""")
+
+
+SQL["distinct_persons"] = _distinct_persons()
+
+
+# ---------------------------------------------------------------- load round trip
+TEXT = {
+    "customers": ["customer_id", "customer_unique_id", "customer_zip_code", "customer_city", "customer_state"],
+    "geolocation": ["geolocation_zip_code", "geolocation_city", "geolocation_state"],
+    "order_items": ["order_id", "product_id", "seller_id"],
+    "order_payments": ["order_id", "payment_type"],
+    "order_reviews": ["review_id", "order_id", "review_comment_title", "review_comment_message"],
+    "orders": ["order_id", "customer_id", "order_status"],
+    "product_category_translation": ["product_category_name", "product_category_name_english"],
+    "products": ["product_id", "product_category_name"],
+    "sellers": ["seller_id", "seller_zip_code", "seller_city", "seller_state"],
+}
+OTHER = {
+    "customers": [],
+    "geolocation": ["geolocation_lat", "geolocation_lng"],
+    "order_items": ["order_item_id", "shipping_limit_date", "price", "freight_value"],
+    "order_payments": ["payment_sequential", "payment_installments", "payment_value"],
+    "order_reviews": ["review_score", "review_creation_date", "review_answer_timestamp"],
+    "orders": ["order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date",
+               "order_delivered_customer_date", "order_estimated_delivery_date"],
+    "product_category_translation": [],
+    "products": ["product_name_length", "product_description_length", "product_photos_qty", "product_weight_g",
+                 "product_length_cm", "product_height_cm", "product_width_cm"],
+    "sellers": [],
+}
+
+
+def _load_round_trip() -> str:
+    parts = []
+    for table, text in TEXT.items():
+        lengths = " + ".join(f"COALESCE(length({c}), 0)" for c in text)
+        if table == "order_reviews":  # the message, a comma, quotes, a line break, and the message again
+            lengths += " + CASE WHEN review_comment_message IS NULL THEN 0 ELSE length(review_comment_message) + 4 END"
+        nulls = " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in text + OTHER[table])
+        key = PRIMARY_KEYS[table]
+        keys = f"COUNT(DISTINCT ({', '.join(key)}))" if key else "NULL"
+        parts.append(f"SELECT '{table}' AS table_name, CAST(COUNT(*) AS BIGINT) AS n_rows, CAST({keys} AS BIGINT) AS n_keys, "
+                     f"CAST(SUM({nulls}) AS BIGINT) AS n_nulls, CAST(SUM({lengths}) AS BIGINT) AS n_characters FROM mk_{table}")
+    return with_adapter(" UNION ALL ".join(parts))
+
+
+SQL["load_round_trip"] = _load_round_trip()

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame
 
-from mercato.plans import experience, metrics, operations, profiling, quality, sales
+from mercato.plans import experience, measures, metrics, operations, profiling, quality, sales
 from mercato.plans.facts import Tables
 
 Job = Callable[[Tables], DataFrame]
@@ -69,6 +69,12 @@ JOBS: dict[str, Job] = {
     "late_cliff": metrics.late_cliff,
 }
 
+# Dashboard measures over any dimension or grain (written on demand, not by default; some run jobs while they are built).
+MEASURES: dict[str, Job] = {
+    "late_rates": measures.late_rates,
+    "distinct_persons": measures.distinct_persons,
+}
+
 # Every report and metric (what ``run_reports`` writes by default).
 REPORTS: tuple[str, ...] = tuple(JOBS)
 
