@@ -5,6 +5,7 @@
     python -m mercato reports --tables warehouse/tables --out warehouse/reports [--only name ...]
     python -m mercato reports --tables warehouse/tables --out warehouse/reports --group sales
     python -m mercato reports --database mercato --out warehouse/reports
+    python -m mercato reports --tables warehouse/tables --out warehouse/sp --since 2017-01-01 --where customer_state=SP,RJ
 
 ``load`` expects one ``<table>.csv`` file (or folder of parts) per table, on any
 file system that Spark reads, and fails if one is missing; ``--only`` loads some.
@@ -15,7 +16,8 @@ from __future__ import annotations
 
 import argparse
 
-from mercato.plans.registry import GROUPS, JOBS
+from mercato.plans.measures import DIMENSIONS, sliced
+from mercato.plans.registry import GROUPS, JOBS, MEASURES
 from mercato.plans.reports import run_reports
 from mercato.session import build_session, cluster_conf
 from mercato.sources.catalog import planned_bytes, read_tables, stored_bytes, write_tables
@@ -50,8 +52,12 @@ def main(argv: list[str] | None = None) -> None:
     where.add_argument("--tables", help="Parquet root")
     where.add_argument("--database", help="catalog database (bucketed tables)")
     rp.add_argument("--out", required=True)
-    rp.add_argument("--only", nargs="*", choices=sorted(JOBS))
+    rp.add_argument("--only", nargs="*", choices=sorted({**JOBS, **MEASURES}))
     rp.add_argument("--group", choices=sorted(GROUPS), help="one dashboard's report set")
+    rp.add_argument("--since", help="only orders bought from this time on")
+    rp.add_argument("--until", help="only orders bought before this time")
+    rp.add_argument("--where", action="append", default=[], metavar="DIMENSION=VALUE[,VALUE...]",
+                    help=f"slicer, repeatable; dimensions: {', '.join(DIMENSIONS)}")
     args = ap.parse_args(argv)
 
     spark = build_session(args.master)
@@ -67,6 +73,9 @@ def main(argv: list[str] | None = None) -> None:
         names = list(GROUPS[args.group]) if args.group else args.only
         tables = read_tables(spark, root=args.tables, database=args.database)
         size_session(spark, planned_bytes(tables))
+        if args.where or args.since or args.until:
+            where = {name: values.split(",") for name, _, values in (w.partition("=") for w in args.where)}
+            tables = sliced(tables, where, (args.since, args.until))
         paths = run_reports(tables, args.out, names)
         for name, path in paths.items():
             print(f"{name}\t{path}")

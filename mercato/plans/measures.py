@@ -46,11 +46,7 @@ def order_facts(t: Tables, dimensions: Sequence[str], period: tuple | None = Non
 
     ``period`` is (first, end) of the purchase time, end exclusive, either may be None.
     """
-    o = delivered_orders(t)
-    bought = F.col("order_purchase_timestamp")
-    for bound, keep in zip(period or (), (lambda b: bought >= b, lambda b: bought < b)):
-        if bound is not None:
-            o = o.filter(keep(F.lit(bound).cast("timestamp_ntz")))
+    o, bought = _in_period(delivered_orders(t), period), F.col("order_purchase_timestamp")
     columns = ["order_id", F.col("order_delivered_customer_date").isNotNull().alias("has_date"),
                F.coalesce(F.col("order_delivered_customer_date") > F.col("order_estimated_delivery_date"),
                           F.lit(False)).alias("late")]
@@ -78,6 +74,50 @@ def item_links(t: Tables, dimensions: Sequence[str]) -> DataFrame:
     return links.drop("product_id")
 
 
+def _in_period(orders: DataFrame, period: tuple | None) -> DataFrame:
+    """Orders bought from the first bound on and before the second; either may be None."""
+    bought = F.col("order_purchase_timestamp")
+    first, end = period or (None, None)
+    if first is not None:
+        orders = orders.filter(bought >= F.lit(first).cast("timestamp_ntz"))
+    if end is not None:
+        orders = orders.filter(bought < F.lit(end).cast("timestamp_ntz"))
+    return orders
+
+
+def sliced(t: Tables, where: Mapping[str, Iterable] | None = None, period: tuple | None = None) -> Tables:
+    """The star tables under slicers, written once, so that any report can run on them.
+
+    Orders of the period whose customer, month and items fit; items that fit;
+    and the payments, reviews and customers of those orders.  Dimension tables
+    stay whole.
+    """
+    unknown = set(where or ()) - set(DIMENSIONS)
+    if unknown:
+        raise ValueError(f"unknown dimensions: {sorted(unknown)}")
+    orders, items = _in_period(t["orders"], period), t["order_items"]
+    if "month" in (where or ()):
+        orders = orders.withColumn("month", month_of_number(month_number(F.col("order_purchase_timestamp")))).filter(
+            _chosen(where, ("month",))).drop("month")
+    if any(d in CUSTOMER_DIMENSIONS for d in where or ()):
+        chosen = t["customers"].withColumn(KNOWN["customer_state"], F.lit(True)).filter(_chosen(where, CUSTOMER_DIMENSIONS))
+        orders = orders.join(chosen.select("customer_id"), "customer_id", "left_semi")
+    if any(d in SELLER_DIMENSIONS for d in where or ()):
+        chosen = t["sellers"].withColumn(KNOWN["seller_state"], F.lit(True)).filter(_chosen(where, SELLER_DIMENSIONS))
+        items = items.join(chosen.select("seller_id"), "seller_id", "left_semi")
+    if "category" in (where or ()):
+        chosen = category_dim(t).withColumn(KNOWN["category"], F.lit(True)).filter(_chosen(where, ("category",)))
+        items = items.join(chosen.select("product_id"), "product_id", "left_semi")
+    if items is not t["order_items"]:
+        orders = orders.join(items.select("order_id"), "order_id", "left_semi")
+    orders = store(orders.select(*t["orders"].columns), "sliced-orders")
+    of_orders = {name: t[name] for name in ("order_payments", "order_reviews")} | {"order_items": items}
+    out = {name: store(df.join(orders.select("order_id"), "order_id", "left_semi").select(*t[name].columns), f"sliced-{name}")
+           for name, df in of_orders.items()}
+    customers = t["customers"].join(orders.select("customer_id"), "customer_id", "left_semi").select(*t["customers"].columns)
+    return {**t, "orders": orders, "customers": store(customers, "sliced-customers"), **out}
+
+
 def late_rates(t: Tables, dimensions: Sequence[str] = DIMENSIONS, where: Mapping[str, Iterable] | None = None,
                period: tuple | None = None) -> DataFrame:
     """dimension, value, n_delivered, n_late, late_rate for every asked dimension, in one pass.
@@ -141,11 +181,7 @@ def person_bitmaps(t: Tables, period: tuple | None = None) -> DataFrame:
     """
     people = t["customers"].select("customer_unique_id").filter(F.col("customer_unique_id").isNotNull()).distinct()
     numbered = global_row_number(people, [F.col("customer_unique_id")], out="person")
-    orders = delivered_orders(t)
-    bought = F.col("order_purchase_timestamp")
-    for bound, keep in zip(period or (), (lambda b: bought >= b, lambda b: bought < b)):
-        if bound is not None:
-            orders = orders.filter(keep(F.lit(bound).cast("timestamp_ntz")))
+    orders, bought = _in_period(delivered_orders(t), period), F.col("order_purchase_timestamp")
     owners = t["customers"].select("customer_id", "customer_unique_id", "customer_state").join(numbered, "customer_unique_id")
     rows = orders.select("order_id", "customer_id", month_of_number(month_number(bought)).alias("month")).join(
         owners.select("customer_id", "customer_state", "person"), "customer_id")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from mercato.plans import experience
 from mercato.plans.facts import Tables
-from mercato.plans.registry import JOBS, REPORTS
+from mercato.plans.registry import JOBS, MEASURES, REPORTS
 from mercato.sources.catalog import write_report
 
 
@@ -21,7 +21,7 @@ def build_reports(t: Tables, names: list[str] | None = None) -> dict[str, DataFr
         out["rfm_scores"], out["rfm_segment_summary"] = experience.rfm_reports(t)
     for name in wanted:
         if name not in out:
-            out[name] = JOBS[name](t)
+            out[name] = {**JOBS, **MEASURES}[name](t)
     return {n: out[n] for n in wanted}
 
 

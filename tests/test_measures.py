@@ -1,0 +1,101 @@
+"""Dashboard measures: equal to the single-dimension reports, under filters, on rows without a partner."""
+
+from __future__ import annotations
+
+import pytest
+from handmade import tables
+from pyspark.sql import functions as F
+
+from mercato.plans import measures, metrics, sales
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Orders without a customer row, items without a seller or product row, NULL states, and a month without a date."""
+    late, fine = "2017-01-20 00:00:00", "2017-01-05 00:00:00"
+    orders = [("o1", "c1", "delivered", "2017-01-01 00:00:00", late), ("o2", "c2", "delivered", "2017-02-01 00:00:00", fine),
+              ("o3", "c9", "delivered", "2017-02-02 00:00:00", fine), ("o4", "c3", "delivered", None, None),
+              ("o5", "c3", "canceled", "2017-02-03 00:00:00", late), ("o6", "c4", "delivered", "2017-03-01 00:00:00", late)]
+    return tables(
+        spark,
+        orders=[dict(order_id=o, customer_id=c, order_status=s, order_purchase_timestamp=b, order_delivered_customer_date=d,
+                     order_estimated_delivery_date="2017-01-10 00:00:00") for o, c, s, b, d in orders],
+        customers=[dict(customer_id="c1", customer_unique_id="u1", customer_state="SP", customer_city="x", customer_zip_code="1"),
+                   dict(customer_id="c2", customer_unique_id="u1", customer_state="SP", customer_city="y", customer_zip_code="2"),
+                   dict(customer_id="c3", customer_unique_id="u2", customer_state=None, customer_city="y"),
+                   dict(customer_id="c4", customer_unique_id=None, customer_state="RJ", customer_city="z")],
+        order_items=[dict(order_id=o, order_item_id=i, product_id=p, seller_id=s, price="1.00", freight_value="0.10")
+                     for o, i, p, s in [("o1", 1, "p1", "s1"), ("o1", 2, "p1", "s1"), ("o1", 3, "p2", "s2"), ("o2", 1, "p1", "s9"),
+                                        ("o3", 1, "p9", "s1"), ("o4", 1, "p2", "s3"), ("o5", 1, "p1", "s1"), ("o6", 1, "p3", "s2")]],
+        sellers=[dict(seller_id="s1", seller_state="SP", seller_city="a", seller_zip_code="7"),
+                 dict(seller_id="s2", seller_state="SP", seller_city=None, seller_zip_code="8"),
+                 dict(seller_id="s3", seller_state=None, seller_city="b")],
+        products=[dict(product_id="p1", product_category_name="toys"), dict(product_id="p2"),
+                  dict(product_id="p3", product_category_name="toys")],
+        order_payments=[dict(order_id=o, payment_sequential=1, payment_type="boleto", payment_installments=1, payment_value="5.00")
+                        for o in ("o1", "o2", "o3", "o6")])
+
+
+def single(t, dimension):
+    return {(r[0], r.n_delivered, r.n_late, r.late_rate) for r in metrics.late_rate_by(t, dimension).collect()}
+
+
+def of(frame, dimension):
+    return {(r.value, r.n_delivered, r.n_late, r.late_rate) for r in frame.collect() if r.dimension == dimension}
+
+
+def test_equal_to_the_seven_single_reports(odd, small_tables):
+    for t in (odd, small_tables):
+        every = measures.late_rates(t).cache()
+        for d in measures.CUSTOMER_DIMENSIONS + measures.SELLER_DIMENSIONS:
+            assert of(every, d) == single(t, d), d
+
+
+def test_month_and_category(odd):
+    every = measures.late_rates(odd)
+    assert of(every, "month") == {("2017-01", 1, 1, 1.0), ("2017-02", 2, 0, 0.0), ("2017-03", 1, 1, 1.0), (None, 0, 0, 0.0)}
+    assert of(every, "category") == {("toys", 3, 2, 0.6667), ("Non catégorisé", 1, 1, 1.0)}
+    assert {r.dimension for r in measures.late_rates(odd, ["month"]).collect()} == {"month"}
+
+
+def test_slicers_and_period(odd):
+    one = measures.late_rates(odd, ["customer_state", "seller_id"], where={"seller_id": ["s1"]})
+    assert of(one, "seller_id") == {("s1", 2, 1, 0.5)}
+    assert of(one, "customer_state") == {("SP", 1, 1, 1.0)}      # o3 has no customer row
+    nulls = measures.late_rates(odd, ["customer_city"], where={"customer_state": [None, "RJ"]})
+    assert of(nulls, "customer_city") == {("y", 0, 0, 0.0), ("z", 1, 1, 1.0)}
+    part = measures.late_rates(odd, ["customer_state"], period=("2017-02-01", "2017-03-01"))
+    assert of(part, "customer_state") == {("SP", 1, 0, 0.0)}
+    category = measures.late_rates(odd, ["seller_id"], where={"category": ["toys"], "month": ["2017-01"]})
+    assert of(category, "seller_id") == {("s1", 1, 1, 1.0)}
+    with pytest.raises(ValueError):
+        measures.late_rates(odd, ["color"])
+    with pytest.raises(ValueError):
+        measures.late_rates(odd, where={"color": ["red"]})
+
+
+def test_distinct_persons_of_every_grain(odd, small_tables):
+    got = {(r.grain, r.month, r.customer_state, r.category): r.n_persons for r in measures.distinct_persons(odd).collect()}
+    assert got[("all", None, None, None)] == 2                    # u1 and u2; an order without a person counts for none
+    assert got[("customer_state", None, "SP", None)] == 1
+    assert got[("customer_state", None, None, None)] == 1
+    assert ("customer_state", None, "RJ", None) not in got
+    t = small_tables
+    bitmaps = measures.person_bitmaps(t)
+    sold = t["orders"].filter("order_status = 'delivered'").join(t["customers"], "customer_id").join(
+        t["order_items"].select("order_id").distinct(), "order_id")
+    want = {(r[0], r[1]) for r in sold.groupBy("customer_state").agg(F.countDistinct("customer_unique_id")).collect()}
+    assert {(r[0], r[1]) for r in measures.distinct_from(bitmaps, ["customer_state"]).collect()} == want
+    assert bitmaps.limit(0).transform(measures.distinct_from).collect()[0].n_persons == 0
+
+
+def test_any_report_runs_on_sliced_tables(odd):
+    t = measures.sliced(odd, {"customer_state": ["SP"]}, (None, "2017-02-01"))
+    assert [r.order_id for r in t["orders"].collect()] == ["o1"]
+    assert {name: t[name].count() for name in ("order_items", "order_payments", "customers", "sellers")} == {
+        "order_items": 3, "order_payments": 1, "customers": 1, "sellers": 3}
+    assert sales.sales_kpis(t).first().n_orders == 1
+    by_seller = measures.sliced(odd, {"seller_id": ["s2"], "month": ["2017-01", "2017-03"]})
+    assert sorted((r.order_id, r.seller_id) for r in by_seller["order_items"].collect()) == [("o1", "s2"), ("o6", "s2")]
+    assert sorted(r.order_id for r in by_seller["orders"].collect()) == ["o1", "o6"]
+    assert by_seller["orders"].columns == odd["orders"].columns
