@@ -24,7 +24,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = store(edges.groupBy("u").agg(F.min("v").alias("m")), "star-low")
     moved = edges.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
@@ -39,7 +39,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                   .filter("u > v").distinct(), "links")
     state = _state(edges)
     while state[0]:
-        edges = store(_small_star(_large_star(edges)), "stars")
+        edges = store(_small_star(store(_large_star(edges), "stars-large")), "stars")
         before, state = state, _state(edges)
         if state == before:
             break
