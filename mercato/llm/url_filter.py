@@ -7,7 +7,8 @@ on a short prefix of their SHA-256; the full digest confirms a meeting, and
 the longest fitting rule decides.
 
 Verdicts are computed once per distinct (host, path) and joined back, so a
-host or page that holds a third of all rows is expanded once.  The join side
+host or page that holds a third of all rows is expanded once; verdicts are
+written before they are joined back, and rows without a host are not joined.  The join side
 of the rules is left to the optimizer, which broadcasts it when its size is
 below the session's threshold and shuffles it otherwise.
 
@@ -25,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mercato.llm.common import store
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHORT_HEX = 8  # hex digits of the join key: 32 bits
 Rule = tuple[str, str, str]  # verdict, host, path
@@ -74,7 +77,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     host, path = host_and_path(F.col("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
-    places = rows.select("host", "path").distinct()
+    places = rows.filter("host <> ''").select("host", "path").distinct()
     expanded = (places.select("host", "path", F.explode(expressions(rules)).alias("expression"))
                 .withColumn("digest", _digest(F.col("expression")))
                 .withColumn("short", F.substring("digest", 1, SHORT_HEX)))
@@ -82,7 +85,12 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     met = expanded.join(table, "short").filter(F.col("digest") == F.col("rule_digest"))
     rank = F.struct(F.length("rule").alias("l"), F.col("host_len"),
                     (F.col("verdict") == "block").cast("int").alias("b"), "rule", "verdict")
-    best = met.groupBy("host", "path").agg(F.max(rank).alias("best"))
-    out = rows.join(best, ["host", "path"], "left")
-    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"),
-                      F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    # written before it is joined, so that its size is known and adaptive execution can split a hot place
+    best = store(met.groupBy("host", "path").agg(F.max(rank).alias("best")), "url-best")
+    placed = rows.filter("host <> ''").join(best, ["host", "path"], "left")
+    out = placed.select("page_id", "host", "path", F.col("best.rule").alias("rule"),
+                        F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    # rows without a host fit no rule and meet nothing
+    rest = rows.filter("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"),
+                                           F.lit(default).alias("verdict"))
+    return out.unionByName(rest)

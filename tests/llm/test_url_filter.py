@@ -41,3 +41,15 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = url_filter.judge(pages, queries.URL_RULES).collect()
     assert sorted((r.page_id or 0, r.verdict) for r in rows) == [(0, "block"), (1, "allow"), (1, "allow")]
     assert url_filter.judge(pages.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_one_place_and_null_urls_in_two_thirds_of_all_rows_and_a_very_long_url(spark):
+    urls = ["http://example.org/es/x"] * 300 + [None] * 300 + [f"http://h{i}.com/fr/{i}" for i in range(298)]
+    urls += ["http://example.org/es/" + "a/" * 50000, "http://" + "a." * 5000 + "org/es/"]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    rows = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, queries.URL_RULES).collect()}
+    assert len(rows) == len(urls)
+    assert {rows[i] for i in range(300)} == {("example.org/es/", "block")}
+    assert {rows[i] for i in range(300, 600)} == {(None, "allow")}
+    assert {rows[i] for i in range(600, 898)} == {("com/fr/", "allow")}
+    assert rows[898] == ("example.org/es/", "block") and rows[899] == ("org/", "allow")
