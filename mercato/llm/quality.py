@@ -40,6 +40,7 @@ SAMPLE = 6000
 CELLS = 1 << 12
 EPOCHS = 120
 ROWS = 500  # of the sample that are widened to 32 bits at a time
+ROW_COST = 1024  # bytes that a row counts besides its text: a row of features takes 16 KB, however short the text
 NOT_NEWLINE = byte_class([(0x0A, 0x0A)])
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -161,9 +162,9 @@ def features(counts: np.ndarray) -> np.ndarray:
 
 
 def _pieces(column: pa.Array, limit: int) -> Iterator[tuple[Words, Words, np.ndarray]]:
-    """Words, lines and byte bounds of the same rows."""
+    """Words, lines and byte bounds of the same rows; very short texts are at most ``limit / ROW_COST`` of a piece."""
     offsets, _ = text_buffers(column)
-    for piece, lines in zip(words_of(column, NOT_SPACE, False, limit), words_of(column, NOT_NEWLINE, False, limit)):
+    for piece, lines in zip(words_of(column, NOT_SPACE, False, limit, ROW_COST), words_of(column, NOT_NEWLINE, False, limit, ROW_COST)):
         i, n = piece.first, len(piece.counts)
         rows = offsets[i:i + n + 1] - offsets[i]
         lines.row_bytes = rows

@@ -112,15 +112,19 @@ def row_groups(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def words_of(column: pa.Array, member: np.ndarray, lower: bool, limit: int = PIECE_BYTES) -> Iterator[Words]:
-    """Walk a string column in pieces; words are maximal runs of ``member`` bytes."""
+def words_of(column: pa.Array, member: np.ndarray, lower: bool, limit: int = PIECE_BYTES,
+             row_cost: int = 0) -> Iterator[Words]:
+    """Walk a string column in pieces; words are maximal runs of ``member`` bytes.
+
+    With ``row_cost`` every row counts as so many bytes more, which bounds the rows of a piece.
+    """
     if not len(column):
         return
     offsets, data = text_buffers(column)
     table = np.arange(256, dtype=np.uint8)
     if lower:
         table[65:91] += 32
-    for i, j in row_groups(np.diff(offsets), limit):
+    for i, j in row_groups(np.diff(offsets) + row_cost, limit):
         piece = data[offsets[i]:offsets[j]]
         if lower:
             piece = table[piece]
