@@ -12,7 +12,7 @@ summed in the tasks before the shuffle); the weights of a bit are the
 smoothed log odds of each n-gram between the languages with the bit and
 those without.  How far each bit can be trusted (its weight in decoding) and
 how sharp its margins are comes from the same table.  What reaches the driver
-is one row per language.
+is the name and the total of every language and the weights (cells x bits).
 
 Defined cases: documents without text, or whose text has no letter, get
 ``und`` with score 0.  Null languages are not learned from.  With one learned
@@ -25,13 +25,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import by_value
+from mercato.llm.common import by_value, store
 from mercato.llm.words import mix, row_groups
 
 by_value(__name__)
@@ -39,7 +40,9 @@ by_value(__name__)
 UNKNOWN = "und"
 CELLS = 1 << 15         # hashed n-gram cells
 PIECE_CHARS = 1 << 19
-MAX_LANGUAGES = 500     # one row of CELLS counts each reaches the driver; more raise an error
+BLOCK = 1 << 10         # cells of a block; counts are added and weighed block by block
+OPEN_TABLES = 64        # languages whose counts a task holds at a time
+LOSSES = 1 << 20        # losses (rows x languages) that are held at a time
 FAN_IN = 32
 AMBIGUOUS_GAP = 0.1     # relative loss gap to the runner-up under which a prediction is flagged
 _GAP_MARK = 32
@@ -111,6 +114,17 @@ class Model:
     weights: np.ndarray    # cells x bits, float32
     trust: np.ndarray      # decoding weight of each bit
 
+    def _decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nearest codeword under the trust-weighted logistic loss, its score, and the loss gap to the runner-up."""
+        loss = (np.logaddexp(0, -margins) * self.trust) @ (self.code > 0).T.astype(float)
+        loss += (np.logaddexp(0, margins) * self.trust) @ (self.code < 0).T.astype(float)
+        pick = np.arange(len(loss))
+        best = loss.argmin(axis=1)
+        low = loss[pick, best]
+        score = 1.0 / np.exp(-(loss - low[:, None])).sum(axis=1)
+        loss[pick, best] = np.inf
+        return best, score, loss.min(axis=1) - low
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, ambiguity and number of letters of each text."""
         grams = Grams(texts)
@@ -127,80 +141,149 @@ class Model:
         margins = np.stack([np.bincount(rows, weights=self.weights[cells, b], minlength=n)
                             for b in range(self.code.shape[1])], axis=1)
         margins /= np.sqrt(size)[:, None]  # evidence grows with length, but n-grams overlap and repeat
-        # loss-weighted decoding with the logistic loss
-        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None, :, :]) @ self.trust
-        order = np.argsort(loss, axis=1, kind="stable")
-        best, second = order[:, 0], order[:, 1]
-        pick = np.arange(n)
-        low, high = loss[pick, best], loss[pick, second]
-        odds = np.exp(-(loss - low[:, None]))
-        score = np.where(known, 1.0 / odds.sum(axis=1), 0.0)
-        doubt = known & (high - low < AMBIGUOUS_GAP * self.trust.sum())
+        best = np.empty(n, dtype=np.int64)
+        step = max(1, LOSSES // classes)
+        for k in range(0, n, step):  # losses of so many rows at a time, however many languages there are
+            block = slice(k, k + step)
+            best[block], score[block], gap = self._decode(margins[block])
+            doubt[block] = gap < AMBIGUOUS_GAP * self.trust.sum()
+        score[~known] = 0.0
+        doubt &= known
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)], score, doubt, grams.letters
 
 
-def build_model(counts: dict[str, np.ndarray]) -> Model:
-    """Bit classifiers from the n-gram counts of each language."""
-    languages = sorted(counts)
-    code = codewords(len(languages)) if len(languages) > 1 else np.zeros((len(languages), 0))
-    table = np.array([counts[x] for x in languages]).reshape(len(languages), CELLS)
-    # each language's share of its own n-grams, so that a rare language weighs as much as a common one
-    share = (table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * CELLS)
-    weights = np.zeros((CELLS, code.shape[1]), dtype=np.float32)
-    trust = np.zeros(code.shape[1])
-    for b in range(code.shape[1]):
-        on, off = share[code[:, b] > 0].mean(axis=0), share[code[:, b] < 0].mean(axis=0)
-        weights[:, b] = np.log(on) - np.log(off)
-        # divergence between the two sides: how much one n-gram tells about this bit
-        trust[b] = 0.5 * float(((on - off) * weights[:, b]).sum())
-    if trust.sum() > 0:
-        trust = trust / trust.sum()
-    return Model(languages, code, weights, trust)
-
+def block_weights(code: np.ndarray, counts: Iterator[tuple[np.ndarray, int]], cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (cells x bits) of one block of cells, and what the block adds to every bit's trust.
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from every row with a language and a text."""
+    ``counts`` gives each language's counts in the block and its count over
+    all cells, in the order of the code's rows.
+    """
+    n, bits = code.shape
+    sides = np.zeros((2, bits, cells))
+    for row, (own, total) in zip(code, counts):
+        # each language's share of its own n-grams, so that a rare language weighs as much as a common one
+        share = (own + 0.5) / (total + 0.5 * CELLS)
+        sides[0, row > 0] += share
+        sides[1, row < 0] += share
+    on = sides[0] / np.maximum((code > 0).sum(axis=0), 1)[:, None]
+    off = sides[1] / np.maximum((code < 0).sum(axis=0), 1)[:, None]
+    weights = (np.log(on) - np.log(off)).astype(np.float32)
+    # divergence between the two sides: how much one n-gram tells about this bit
+    return weights.T, 0.5 * ((on - off) * weights).sum(axis=1)
+
+
+def _partial_sums(rows: DataFrame) -> DataFrame:
+    """``lang, block, counts`` of each task's rows, a language's table in blocks of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for name, table in sums.items():
+                blocks = [b.astype("<i8").tobytes() for b in table.reshape(-1, BLOCK)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(blocks), pa.string()), pa.array(range(len(blocks)), pa.int32()),
+                     pa.array(blocks, pa.binary())], names=["lang", "block", "counts"])
+            sums.clear()
+
         for batch in batches:
             langs = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
             sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-            for i, j in row_groups(sizes, PIECE_CHARS):
+            # a row counts as many characters more, so that few languages meet in one piece
+            for i, j in row_groups(sizes + PIECE_CHARS // OPEN_TABLES, PIECE_CHARS):
                 names = sorted(set(langs[i:j]))
-                place = np.array([names.index(x) for x in langs[i:j]])
+                place = {x: k for k, x in enumerate(names)}
+                own = np.array([place[x] for x in langs[i:j]])
                 rows, cells = Grams(texts[i:j]).cells()
-                found = np.bincount(place[rows] * CELLS + cells, minlength=len(names) * CELLS).reshape(-1, CELLS)
+                found = np.bincount(own[rows] * CELLS + cells, minlength=len(names) * CELLS).reshape(-1, CELLS)
                 for name, row in zip(names, found):
-                    sums[name] = sums.get(name, 0) + row
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.string()),
-             pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary())], names=["lang", "sums"])
+                    if name in sums:
+                        sums[name] += row
+                    else:
+                        sums[name] = row.copy()
+                if len(sums) >= OPEN_TABLES:
+                    yield from flush()
+        yield from flush()
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Add up the tables of each language, one at a time."""
-        sums: dict[str, np.ndarray] = {}
+    return rows.mapInArrow(run, "lang string, block int, counts binary")
+
+
+def _added(partial: DataFrame, parts: int) -> DataFrame:
+    """Tables added up by (language, block), in ``parts`` parts of each; one table is open at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, table = None, None
+        names = ["lang", "block", "counts"]
+        row = lambda: pa.RecordBatch.from_arrays(
+            [pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()),
+             pa.array([table.astype("<i8").tobytes()], pa.binary())], names=names)
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[name] = sums.get(name, 0) + np.frombuffer(raw.as_buffer(), dtype="<i8")
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.string()),
-             pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary())], names=["lang", "sums"])
+            for lang, block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                found = np.frombuffer(raw.as_buffer(), dtype="<i8")
+                if (lang, block) != key:
+                    if key is not None:
+                        yield row()
+                    key, table = (lang, block), found.copy()
+                else:
+                    table += found
+        if key is not None:
+            yield row()
+
+    dealt = partial.withColumn("part", F.spark_partition_id() % parts)
+    dealt = dealt.repartition("lang", "block", "part").sortWithinPartitions("lang", "block")
+    return dealt.select("lang", "block", "counts").mapInArrow(run, "lang string, block int, counts binary")
 
-    schema = "lang string, sums binary"
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learn from every row with a language and a text.
+
+    Counts are added by (language, block of cells), in a tree, so that no task
+    adds more than ``FAN_IN`` tables of a hot language per step.  The weights of
+    a block are made by one task, language by language.  The driver gets the
+    languages with their totals, and the finished weights.
+    """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    partial = rows.filter("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(run, schema)
-    # a tree of sums: every task adds up the tables of at most FAN_IN tasks
-    tasks = partial.rdd.getNumPartitions()
-    while tasks > 1:
-        tasks = -(-tasks // FAN_IN)
-        partial = partial.repartition(tasks).mapInArrow(add, schema)
-    found = partial.limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; their table on the driver is bounded")
-    counts = {name: np.frombuffer(raw, dtype="<i8") for name, raw in found}
-    return build_model(counts)
+    rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
+    parts = rows.rdd.getNumPartitions()
+    summed = _partial_sums(rows)
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        summed = _added(summed, parts)
+    if parts == 1:
+        summed = store(_added(summed, 1), "language-counts")  # also what one task has passed on in several goes
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
+                [int(np.frombuffer(raw.as_buffer(), dtype="<i8").sum()) for raw in batch.column(1)], pa.int64())],
+                names=["lang", "n"])
+
+    found = summed.select("lang", "counts").mapInArrow(totals, "lang string, n bigint").groupBy("lang").agg(F.sum("n").alias("n"))
+    total = {r.lang: r.n for r in found.collect()}
+    languages = sorted(total)
+    if len(languages) < 2:
+        return Model(languages, np.zeros((len(languages), 0)), np.zeros((CELLS, 0), np.float32), np.zeros(0))
+    code = codewords(len(languages))
+    shared = labelled.sparkSession.sparkContext.broadcast((code, [total[x] for x in languages]))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, total = shared.value
+        rows = ((b, np.frombuffer(raw.as_buffer(), dtype="<i8"))
+                for batch in batches for b, raw in zip(batch.column(0).to_pylist(), batch.column(1)))
+        # every language has every block, in the order of the code's rows
+        for block, own in groupby(rows, key=lambda r: r[0]):
+            weights, trust = block_weights(code, ((c, n) for (_, c), n in zip(own, total)), BLOCK)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), pa.array([np.ascontiguousarray(weights).tobytes()], pa.binary()),
+                 pa.array([trust.tobytes()], pa.binary())], names=["block", "weights", "trust"])
+
+    in_order = summed.repartition("block").sortWithinPartitions("block", "lang").select("block", "counts")
+    weights, trust = np.empty((CELLS, code.shape[1]), dtype=np.float32), np.zeros(code.shape[1])
+    for r in sorted(in_order.mapInArrow(weigh, "block int, weights binary, trust binary").collect(), key=lambda r: r.block):
+        weights[r.block * BLOCK:(r.block + 1) * BLOCK] = np.frombuffer(r.weights, np.float32).reshape(BLOCK, -1)
+        trust += np.frombuffer(r.trust, np.float64)
+    return Model(languages, code, weights, trust / trust.sum() if trust.sum() > 0 else trust)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

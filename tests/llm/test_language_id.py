@@ -54,6 +54,72 @@ def test_fit_equals_counts_of_one_pass(spark):
     assert np.array_equal(a.weights, b.weights)
 
 
+def brute_model(docs):
+    """Counts, shares, weights and trust of all languages in one table."""
+    counts = {}
+    for _, text, lang, _ in docs:
+        if lang is not None and text is not None:
+            _, cells = language_id.Grams([text]).cells()
+            counts[lang] = counts.get(lang, 0) + np.bincount(cells, minlength=language_id.CELLS)
+    languages = sorted(counts)
+    code = language_id.codewords(len(languages))
+    table = np.array([counts[x] for x in languages])
+    share = (table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * language_id.CELLS)
+    on = np.stack([share[code[:, b] > 0].mean(axis=0) for b in range(code.shape[1])], axis=1)
+    off = np.stack([share[code[:, b] < 0].mean(axis=0) for b in range(code.shape[1])], axis=1)
+    weights = np.log(on) - np.log(off)
+    trust = 0.5 * ((on - off) * weights).sum(axis=0)
+    return languages, code, weights, trust / trust.sum()
+
+
+def test_model_and_predictions_equal_brute_force(spark):
+    extra = [(200 + i, f"{a}{b} {b}{a}{a}", f"l{i % 9}", "") for i, (a, b) in enumerate((a, b) for a in "abcdef" for b in "uvwxyz")]
+    all_rows = rows() + extra + extra[:5]
+    docs = spark.createDataFrame(all_rows, SCHEMA).repartition(5)
+    model = language_id.fit(docs)
+    languages, code, weights, trust = brute_model(all_rows)
+    assert model.languages == languages and np.array_equal(model.code, code)
+    assert np.allclose(model.weights, weights, atol=1e-5) and np.allclose(model.trust, trust)
+    for r in language_id.identify(docs, model).collect():
+        text = next(t for i, t, _, _ in all_rows if i == r.doc_id) or ""
+        found, cells = language_id.Grams([text]).cells()
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score, r.ambiguous) == ("und", 0.0, False)
+            continue
+        margin = weights[cells].sum(axis=0) / np.sqrt(len(cells))
+        loss = [sum(t * np.logaddexp(0, -m * c) for t, m, c in zip(trust, margin, word)) for word in code]
+        best = int(np.argmin(loss))
+        runner_up = min(x for k, x in enumerate(loss) if k != best)
+        assert abs(r.score - 1 / sum(np.exp(loss[best] - x) for x in loss)) < 1e-4
+        if runner_up - loss[best] > 1e-4:
+            assert r.lang_pred == languages[best]
+
+
+def test_two_thousand_languages(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.md5(F.col("id").cast("string")), F.lit(" abc")).alias("text"),
+                                    F.concat(F.lit("l"), F.col("id") % 2000).alias("lang"), F.lit("").alias("score"))
+    model = language_id.fit(docs)
+    assert len(model.languages) == 2000 and model.code.shape == model.code[:, :110].shape
+    found = language_id.identify(docs.limit(50), model).collect()
+    assert len(found) == 50 and all(r.lang_pred in model.languages for r in found)
+
+
+def test_many_tiny_texts_and_many_languages_take_little_memory():
+    import tracemalloc
+
+    n = 2000
+    code = language_id.codewords(n)
+    rng = np.random.default_rng(1)
+    model = language_id.Model([f"l{i}" for i in range(n)], code, rng.normal(size=(language_id.CELLS, code.shape[1])).astype(np.float32),
+                              np.full(code.shape[1], 1 / code.shape[1]))
+    texts = [chr(97 + i % 26) + chr(97 + i // 26 % 26) for i in range(10000)]
+    tracemalloc.start()
+    langs, score, _, _ = model.predict(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(langs) == 10000 and (score > 0).all() and peak < 200 << 20
+
+
 @pytest.mark.parametrize("n", [2, 4, 7, 8, 40])
 def test_codewords_are_distinct_and_split_every_bit(n):
     code = language_id.codewords(n)
