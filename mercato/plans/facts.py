@@ -9,6 +9,9 @@ duplicates of tables that came another way.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,20 @@ Tables = dict[str, DataFrame]
 
 DELIVERED = "delivered"
 
+# Facts of order grain that reports have in common, by name (``plans.shared`` writes them once for a run).
+SHARED: dict[str, Callable[[Tables], DataFrame]] = {}
+
+
+def shared_fact(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """Let tables that know a written copy of the fact hand it out; others derive it."""
+    SHARED[build.__name__] = build
+
+    @wraps(build)
+    def fact(t: Tables) -> DataFrame:
+        return t.fact(build.__name__, build) if hasattr(t, "fact") else build(t)
+
+    return fact
+
 
 def delivered_orders(t: Tables) -> DataFrame:
     """Orders with status delivered (the filter reaches the Parquet scan)."""
@@ -32,6 +49,7 @@ def payment_rows(t: Tables) -> DataFrame:
                     cents(F.col("payment_value")).alias("pay_cents"))
 
 
+@shared_fact
 def payments_per_order(t: Tables) -> DataFrame:
     """order_id -> total cents and number of payment rows.
 

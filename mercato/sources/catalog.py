@@ -15,9 +15,13 @@ tables instead; ``read_tables`` opens those that its newest manifest names.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercato.session import ensure_checkpoint_dir
 from mercato.sources import versions
 from mercato.sources.schemas import SCHEMAS
 
@@ -86,6 +90,21 @@ def read_tables(spark: SparkSession, root: str | None = None, database: str | No
     return {name: spark.read.schema(SCHEMAS[name]).parquet(f"{places.get(name, root)}/{name}") for name in names}
 
 
+def store_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` to the checkpoint folder in sorted buckets of ``key`` and read it back.
+
+    Joins and aggregates on the key need no exchange then, between any tables
+    with one number of buckets.  The catalog entry goes once the table is resolved.
+    """
+    spark = df.sparkSession
+    table = re.sub(r"\W", "_", name) + "_" + uuid.uuid4().hex
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option(
+        "path", f"{ensure_checkpoint_dir(spark)}/{table}").format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def planned_bytes(tables: dict[str, DataFrame]) -> int:
     """Bytes of the tables' files, from the statistics of their scans (no file is listed again)."""
     return sum(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in tables.values())
