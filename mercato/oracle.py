@@ -549,24 +549,33 @@ ORDER BY a DESC NULLS FIRST, seller_id LIMIT 15""")
 
 SQL["seller_satisfaction"] = seller_satisfaction_sql()
 
+
+def _third(at: str) -> str:
+    """0, 1 or 2: the third of ``n`` rows in which position ``at`` (from 0) lies."""
+    ends = [f"(n // 3) * {j} + LEAST(n % 3, {j})" for j in (1, 2)]
+    return "(" + " + ".join(f"CAST({at} >= {end} AS INTEGER)" for end in ends) + ")"
+
+
+# One row per paid delivered order, then per person; thirds by position (the first thirds take what is left over).
 _RFM = f"""
-dref AS (SELECT MAX(order_purchase_timestamp) AS dmax FROM mk_orders WHERE {DELIVERED}),
-rfm_base AS (
-  SELECT c.customer_unique_id,
-         {whole_days(micros('MAX(o.order_purchase_timestamp)', '(SELECT dmax FROM dref)'))} AS recency_days,
-         COUNT(DISTINCT o.order_id) AS frequency,
-         SUM({cents('op.payment_value')}) AS cents
-  FROM mk_customers c JOIN mk_orders o ON c.customer_id = o.customer_id
-  JOIN mk_order_payments op ON o.order_id = op.order_id
-  WHERE o.{DELIVERED}
-  GROUP BY c.customer_unique_id),
-rfm_sc AS (
-  SELECT *,
-    4 - NTILE(3) OVER (ORDER BY recency_days ASC NULLS LAST, customer_unique_id ASC NULLS LAST) AS r_score,
-    NTILE(3) OVER (ORDER BY frequency ASC NULLS LAST, customer_unique_id ASC NULLS LAST) AS f_score,
-    NTILE(3) OVER (ORDER BY cents ASC NULLS LAST, customer_unique_id ASC NULLS LAST) AS m_score
-  FROM rfm_base),
-rfm_seg AS (SELECT *, {_segment()} AS segment FROM rfm_sc)"""
+spent AS (SELECT order_id, SUM({cents('payment_value')}) AS total FROM mk_order_payments GROUP BY order_id),
+bought AS (
+  SELECT customer_unique_id, order_purchase_timestamp AS bought_at, total
+  FROM spent JOIN mk_orders USING (order_id) JOIN mk_customers USING (customer_id)
+  WHERE {DELIVERED}),
+newest AS (SELECT MAX(order_purchase_timestamp) AS newest_at FROM mk_orders WHERE {DELIVERED}),
+people AS (
+  SELECT customer_unique_id, MAX(bought_at) AS last_at, COUNT(*) AS frequency, SUM(total) AS cents
+  FROM bought GROUP BY customer_unique_id),
+aged AS (SELECT people.*, {whole_days(micros('last_at', 'newest_at'))} AS recency_days FROM people, newest),
+placed AS (
+  SELECT *, COUNT(*) OVER () AS n,
+         ROW_NUMBER() OVER (ORDER BY recency_days NULLS LAST, customer_unique_id NULLS LAST) - 1 AS r_at,
+         ROW_NUMBER() OVER (ORDER BY frequency NULLS LAST, customer_unique_id NULLS LAST) - 1 AS f_at,
+         ROW_NUMBER() OVER (ORDER BY cents NULLS LAST, customer_unique_id NULLS LAST) - 1 AS m_at
+  FROM aged),
+thirds AS (SELECT *, 3 - {_third('r_at')} AS r_score, 1 + {_third('f_at')} AS f_score, 1 + {_third('m_at')} AS m_score FROM placed),
+rfm_seg AS (SELECT *, {_segment()} AS segment FROM thirds)"""
 
 SQL["rfm_scores"] = with_adapter("""
 SELECT customer_unique_id, CAST(recency_days AS BIGINT) AS recency_days,
