@@ -3,11 +3,22 @@
 A window of ``WINDOW`` (50) words is an edge of a De Bruijn graph from its
 first 49 words to its last 49.  An edge that occurs in several documents is
 repeated; its source coordinate is a place in the smallest document that has
-it.  Along a document, repeated edges whose source coordinates advance
-together follow one nonbranching path and are compacted into one span
-(document range, source range).  Spans are verified by digests of the words
-at both coordinates.  A word goes if a verified span with a smaller source
-document covers it.
+it.  A node of the repeated edges with one edge in and one edge out is unary;
+edges that meet in unary nodes form nonbranching paths:
+
+* the degrees of all nodes and the edges at a unary node come from one
+  aggregate over the ends of the edges, and a join gives every edge its next;
+* edges that follow one another both on their path and in their source are
+  *parts*, numbered in a scan of the edges in source order;
+* parts are joined to whole paths by pointer jumping: every part points to the
+  one before it, and a join of the pointers with themselves doubles their reach
+  until they stand on the first part of their path.  A path that is a circle
+  has no first part; its parts stay as they are.
+
+A document that walks along a path, its source advancing with it, has one
+span (document range, source range).  Spans are verified by digests of the
+words at both coordinates.  A word goes if a verified span with a smaller
+source document covers it.
 
 Work is kept to the repeated part of the corpus, step by step:
 
@@ -16,14 +27,14 @@ Work is kept to the repeated part of the corpus, step by step:
 2. each window is represented by its smallest hashed ``SEED``-word k-mer;
    two equal windows have the same one, so only windows whose seed occurs in
    two documents can repeat (about one seed per 16 words is shuffled);
-3. only those windows become edges and are joined with their sources;
+3. only those windows become edges and are joined with their paths;
 4. only documents with spans, and their sources, are read again by join.
 
 Sets of seeds and of documents reach the scans as filters of fixed size
 (``SEED_BITS / 8`` and ``DOC_BITS / 8`` bytes); a false positive costs work,
-never a result.  Joins on edges may be skewed by a passage in very many
-documents: they are plain equi-joins after partial aggregates, which adaptive
-execution splits.
+never a result.  An edge is told by two hashes, its own and that of its first
+node.  Joins on edges may be skewed by a passage in very many documents: they
+are plain equi-joins after stored aggregates, which adaptive execution splits.
 
 Defined cases: a null text has no words.  Fewer than 50 words: nothing goes.
 Rows that repeat an id with the same text are one document and lose the same
@@ -39,7 +50,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercato.llm.common import by_value, filter_bytes, filter_position, store
@@ -51,7 +62,7 @@ WINDOW = 50
 SEED = 20
 SEED_BITS = 1 << 26
 DOC_BITS = 1 << 24
-_SECOND = 0x9FB21C651E98DF25  # salt of an edge's second hash
+CHUNK_WORDS = 1 << 16  # of a source that one task numbers
 
 
 def _kind(df: DataFrame) -> str:
@@ -147,7 +158,7 @@ def seeds(docs: DataFrame, wanted: bytes, bits: int, window: int, seed: int) ->
 
 def edges(docs: DataFrame, wanted: bytes, bits: int, repeated: bytes, seed_bits: int, window: int,
           seed: int) -> DataFrame:
-    """``edge, second`` (a window's two hashes), ``doc_id, at`` of windows whose seed may be repeated.
+    """``edge`` (a window's hash), ``head, tail`` (its nodes'), ``doc_id, at`` of windows whose seed may be repeated.
 
     ``at`` holds word position and text tag.
     """
@@ -169,44 +180,150 @@ def edges(docs: DataFrame, wanted: bytes, bits: int, repeated: bytes, seed_bits:
                 row = np.repeat(np.arange(len(piece.counts)), piece.counts)[at]
                 tag = _tags(_sequence_digests(piece)[0])
                 place = (at - piece.bounds[row]) << 32 | tag[row]
-                edge, second = (window_hashes(hashes, window, salt)[at].view(np.int64) for salt in (0, _SECOND))
+                edge = window_hashes(hashes, window)[at].view(np.int64)
+                nodes = window_hashes(hashes, window - 1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(edge), pa.array(second), batch.column(0).take(pa.array(piece.first + row)),
-                     pa.array(place)], names=["edge", "second", "doc_id", "at"])
+                    [pa.array(edge), pa.array(nodes[at]), pa.array(nodes[at + 1]),
+                     batch.column(0).take(pa.array(piece.first + row)), pa.array(place)],
+                    names=["edge", "head", "tail", "doc_id", "at"])
 
-    return _selected(docs, bits).mapInArrow(run, f"edge bigint, second bigint, doc_id {_kind(docs)}, at bigint")
+    return _selected(docs, bits).mapInArrow(run, f"edge bigint, head bigint, tail bigint, doc_id {_kind(docs)}, at bigint")
 
 
-def _paths(steps: DataFrame, window: int) -> DataFrame:
-    """Compact steps (document place, source place) into spans along nonbranching paths."""
+def _split(column: str) -> tuple[Column, Column]:
+    """Text tag and word position of a place."""
+    return F.expr(f"{column} & 4294967295"), F.expr(f"shiftright({column}, 32)")
+
+
+def linked(edges: DataFrame) -> DataFrame:
+    """``edges`` (distinct) with ``next_edge, next_head``: the edge behind a unary node (null at any other node)."""
+    starts = edges.select(F.col("head").alias("node"), F.lit(1).alias("out"), "edge", "head")
+    stops = edges.select(F.col("tail").alias("node"), F.lit(0).alias("out"), "edge", "head")
+    pick = lambda out, column: F.max(F.when(F.col("out") == out, F.col(column)))  # noqa: E731  the only one, at a unary node
+    nodes = starts.unionByName(stops).groupBy("node").agg(
+        F.sum("out").alias("n_out"), F.count(F.lit(1)).alias("n"), pick(1, "edge").alias("next_edge"),
+        pick(1, "head").alias("next_head"), pick(0, "edge").alias("edge"), pick(0, "head").alias("head"))
+    links = nodes.filter("n_out = 1 AND n = 2 AND NOT (edge = next_edge AND head = next_head)")
+    return edges.join(links.select("edge", "head", "next_edge", "next_head"), ["edge", "head"], "left")
+
+
+def _parts(edges: DataFrame) -> DataFrame:
+    """Edges with the first edge of their part (``part, part_head``) and their ``place`` in it."""
+    kind = edges.schema["source"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        follower, first, place = None, (0, 0), 0  # what may continue the last row's part
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            edge, head = (batch.column(k).to_numpy() for k in (0, 1))
+            known = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+            next_edge, next_head = (batch.column(k).fill_null(0).to_numpy() for k in (4, 5))
+            goes_on = np.zeros(n, dtype=bool)
+            goes_on[1:] = known[:-1] & (next_edge[:-1] == edge[1:]) & (next_head[:-1] == head[1:])
+            goes_on[0] = follower == (int(edge[0]), int(head[0]))
+            begin = np.where(goes_on, -1, np.arange(n))
+            np.maximum.accumulate(begin, out=begin)
+            at = np.arange(n) - begin
+            carried = begin < 0
+            at[carried] = place + 1 + np.flatnonzero(carried)
+            part = np.where(carried, first[0], edge[begin])
+            part_head = np.where(carried, first[1], head[begin])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), batch.column(3), batch.column(4), batch.column(5),
+                 pa.array(part, pa.int64()), pa.array(part_head, pa.int64()), pa.array(at, pa.int64())],
+                names=["edge", "head", "source", "source_at", "next_edge", "next_head", "part", "part_head", "place"])
+            follower = (int(next_edge[-1]), int(next_head[-1])) if known[-1] else None
+            first, place = (int(part[-1]), int(part_head[-1])), int(at[-1])
+
+    tag, pos = _split("source_at")
+    rows = edges.select("edge", "head", "source", "source_at", "next_edge", "next_head", tag.alias("tag"), pos.alias("pos"))
+    # chunks of a long source are numbered apart and joined by the pointers, like any two parts
+    rows = rows.withColumn("chunk", F.expr(f"pos div {CHUNK_WORDS}")).repartition("source", "chunk")
+    rows = rows.sortWithinPartitions("source", "tag", "pos").drop("tag", "pos", "chunk")
+    return rows.mapInArrow(run, f"edge bigint, head bigint, source {kind}, source_at bigint, next_edge bigint, "
+                                "next_head bigint, part bigint, part_head bigint, place bigint")
+
+
+def whole_paths(parts: DataFrame) -> DataFrame:
+    """``part, part_head, path, path_head, ahead``: each part's path and its distance from the path's beginning."""
+    ends = parts.groupBy("part", "part_head").agg(
+        (F.max("place") + 1).alias("size"), F.max_by("next_edge", "place").alias("next_edge"),
+        F.max_by("next_head", "place").alias("next_head"))
+    ends = store(ends, "path-parts")
+    before = ends.filter("next_edge IS NOT NULL").select(
+        F.col("next_edge").alias("part"), F.col("next_head").alias("part_head"),
+        F.col("part").alias("path"), F.col("part_head").alias("path_head"), F.col("size").alias("ahead"))
+    pointers = store(ends.select("part", "part_head").join(before, ["part", "part_head"], "left").select(
+        "part", "part_head", F.coalesce("path", "part").alias("path"), F.coalesce("path_head", "part_head").alias("path_head"),
+        F.coalesce("ahead", F.lit(0)).cast("bigint").alias("ahead")), "path-pointers")
+    # reach doubles with every round; what is not at its beginning after that runs in a circle
+    for _ in range(pointers.count().bit_length() + 1):
+        further = pointers.select(F.col("part").alias("path"), F.col("part_head").alias("path_head"),
+                                  F.col("path").alias("f_path"), F.col("path_head").alias("f_head"),
+                                  F.col("ahead").alias("f_ahead"))
+        step = store(pointers.join(further, ["path", "path_head"]).select(
+            "part", "part_head", F.col("f_path").alias("path"), F.col("f_head").alias("path_head"),
+            (F.col("ahead") + F.col("f_ahead")).alias("ahead"), (F.col("f_ahead") > 0).alias("moved")), "path-pointers")
+        pointers = step.drop("moved")
+        if step.filter("moved").isEmpty():
+            break
+    return pointers
+
+
+def _runs(steps: DataFrame) -> DataFrame:
+    """Pieces of documents that go along one path, with the source at their side, as spans.
+
+    ``steps`` have a place in the document, on the path and in the source, and a
+    length; a step continues the one before if all three go on where it ends.
+    """
     kind = _kind(steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(0).dictionary_encode().indices.to_numpy()
-            sources = batch.column(3).dictionary_encode().indices.to_numpy()
-            tag, pos, source_tag, source_pos = (batch.column(k).to_numpy() for k in (1, 2, 4, 5))
+            ids, sources = (batch.column(k).dictionary_encode().indices.to_numpy() for k in (0, 6))
+            tag, pos, path, path_head, place, source_tag, source_pos, size = (
+                batch.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 7, 8, 9))
             follows = np.zeros(len(pos), dtype=bool)
-            follows[1:] = ((ids[1:] == ids[:-1]) & (tag[1:] == tag[:-1]) & (pos[1:] == pos[:-1] + 1)
-                           & (sources[1:] == sources[:-1]) & (source_tag[1:] == source_tag[:-1])
-                           & (source_pos[1:] == source_pos[:-1] + 1))
-            head = np.flatnonzero(~follows)
-            size = np.diff(np.append(head, len(pos))) + window - 1
-            at = pa.array(head)
+            same = np.ones(len(pos) - 1, dtype=bool)
+            for x in (ids, tag, path, path_head, sources, source_tag):
+                same &= x[1:] == x[:-1]
+            for x in (pos, place, source_pos):
+                same &= x[1:] == x[:-1] + size[:-1]
+            follows[1:] = same
+            first = np.flatnonzero(~follows)
+            at = pa.array(first)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at),
-                 pa.array(size, pa.int64()), batch.column(3).take(at), batch.column(4).take(at),
-                 batch.column(5).take(at)],
-                names=["doc_id", "tag", "first", "length", "source", "source_tag", "source_first"])
-
-    split = lambda c: [F.expr(f"{c} & 4294967295"), F.expr(f"shiftright({c}, 32)")]
-    rows = steps.select("doc_id", split("at")[0].alias("tag"), split("at")[1].alias("pos"), "source",
-                        split("source_at")[0].alias("source_tag"), split("source_at")[1].alias("source_pos"))
-    rows = rows.repartition("doc_id", "tag").sortWithinPartitions("doc_id", "tag", "pos")
-    return rows.mapInArrow(run, f"doc_id {kind}, tag bigint, first bigint, length bigint, source {kind}, "
-                                "source_tag bigint, source_first bigint")
+                [*(batch.column(k).take(at) for k in range(9)), pa.array(np.add.reduceat(size, first))], names=batch.schema.names)
+
+    columns = ["doc_id", "tag", "pos", "path", "path_head", "place", "source", "source_tag", "source_pos", "size"]
+    rows = steps.select(*columns).repartition("doc_id", "tag").sortWithinPartitions("doc_id", "tag", "pos")
+    return rows.mapInArrow(run, f"doc_id {kind}, tag bigint, pos bigint, path bigint, path_head bigint, place bigint, "
+                                f"source {kind}, source_tag bigint, source_pos bigint, size bigint")
+
+
+def path_spans(rows: DataFrame, sources: DataFrame, window: int) -> DataFrame:
+    """Spans of the documents along the compacted paths of the repeated edges."""
+    parts = store(_parts(linked(sources)), "span-parts")
+    found = rows.select("edge", "head", "doc_id", "at").join(
+        parts.select("edge", "head", "part", "part_head", "place", "source", "source_at"), ["edge", "head"])
+    here, there = _split("at"), _split("source_at")
+    steps = found.filter("source < doc_id").select(
+        "doc_id", here[0].alias("tag"), here[1].alias("pos"), F.col("part").alias("path"), F.col("part_head").alias("path_head"),
+        "place", "source", there[0].alias("source_tag"), there[1].alias("source_pos"), F.lit(1).cast("bigint").alias("size"))
+    short = store(_runs(steps), "span-parts-walked")
+    # from parts to whole paths: few rows are left
+    paths = whole_paths(parts).select(F.col("part").alias("p"), F.col("part_head").alias("p_head"),
+                                      F.col("path").alias("whole"), F.col("path_head").alias("whole_head"), "ahead")
+    on_paths = short.join(paths, (F.col("path") == F.col("p")) & (F.col("path_head") == F.col("p_head"))).select(
+        "doc_id", "tag", "pos", F.col("whole").alias("path"), F.col("whole_head").alias("path_head"),
+        (F.col("place") + F.col("ahead")).alias("place"), "source", "source_tag", "source_pos", "size")
+    return _runs(on_paths).select(
+        "doc_id", "tag", F.col("pos").alias("first"), (F.col("size") + (window - 1)).alias("length"), "source", "source_tag",
+        F.col("source_pos").alias("source_first"))
 
 
 def _joined_with(docs: DataFrame, table: DataFrame, bits: int) -> DataFrame:
@@ -301,11 +418,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, seed
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     repeated = filter_bytes(met, "seed", seed_bits)
     rows = store(edges(known, first_of, doc_bits, repeated, seed_bits, window, seed), "span-edges")
-    sources = store(rows.groupBy("edge", "second").agg(
-        F.min("doc_id").alias("source"), F.min_by("at", "doc_id").alias("source_at"),
+    sources = store(rows.groupBy("edge", "head").agg(
+        F.first("tail").alias("tail"), F.min("doc_id").alias("source"), F.min_by("at", "doc_id").alias("source_at"),
         F.max("doc_id").alias("last")).filter("last > source").drop("last"), "span-sources")
-    steps = rows.join(sources, ["edge", "second"]).filter("source < doc_id").select("doc_id", "at", "source", "source_at")
-    spans = store(_paths(steps, window), "span-paths")
+    spans = store(path_spans(rows, sources, window), "span-paths")
     return store(verified(spans, known, doc_bits).unionByName(copies.distinct()), "spans")
 
 
