@@ -32,7 +32,8 @@ from mercato.sources.catalog import read_tables, write_tables  # noqa: E402
 from mercato.sources.testdata import star_tables  # noqa: E402
 from mercato.sources.testdata_jobs import TEST_JOBS  # noqa: E402
 
-JOBS = {**REPORT_JOBS, **MEASURES, **TEST_JOBS}
+# a load is timed on its own (load_sec), not among the reports
+JOBS = {n: job for n, job in {**REPORT_JOBS, **MEASURES, **TEST_JOBS}.items() if n != "load_round_trip"}
 
 
 def main() -> None:

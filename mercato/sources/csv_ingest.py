@@ -63,6 +63,8 @@ def load_tables(spark: SparkSession, sources: dict[str, str], target_root: str,
     written to a folder of this load, checked there (``require_constraints``;
     with ``strict`` the declared text lengths are enforced too), and become the current ones together; tables that are not loaded stay.  If
     anything fails, the folder is removed and the stored tables are untouched.
+    A table's first load lies in ``<target_root>/<table>``, later ones in version
+    folders: open them with ``catalog.read_tables``.
     Returns the stored tables that were loaded.
     """
     unknown = set(sources) - set(SCHEMAS)
@@ -85,7 +87,11 @@ def load_tables(spark: SparkSession, sources: dict[str, str], target_root: str,
     if bucketed:
         versions.delete(spark, f"{folder}-staged")
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{target_root}'")
-    versions.publish(spark, target_root, {t: staged or versions.place_of(version) for t in frames})
+    places = {t: staged or versions.place_of(version) for t in frames}
+    if not bucketed:
+        # a table that has never been stored has no readers: it takes its plain place
+        places |= {t: versions.HOME for t in frames if versions.settle(spark, target_root, version, t)}
+    versions.publish(spark, target_root, places)
     if bucketed:
         versions.replace_views(spark, database, staged, tuple(frames))
     return read_tables(spark, root=target_root, database=database if bucketed else None, names=tuple(frames))

@@ -23,6 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 KEPT = 2
+HOME = "."  # the place of a table that lies in its plain folder under the root
 
 
 def new_version() -> str:
@@ -118,6 +119,18 @@ def folders(spark: SparkSession, root: str) -> dict[str, str]:
     return {name: f"{root.rstrip('/')}/{place}" for name, place in current(spark, root)[1].items()}
 
 
+def settle(spark: SparkSession, root: str, version: str, table: str) -> bool:
+    """Move a staged table to its plain folder if nothing was ever stored there; whether it was moved."""
+    source, files, _ = opened(spark, f"{folder_of(root, version)}/{table}")
+    target, _, _ = opened(spark, f"{root.rstrip('/')}/{table}")
+    if files.exists(target) or table in current(spark, root)[1]:
+        return False
+    moved = files.rename(source, target)
+    if moved and not children(spark, folder_of(root, version)):
+        delete(spark, folder_of(root, version))
+    return moved
+
+
 def publish(spark: SparkSession, root: str, places: dict[str, str]) -> int:
     """Make ``places`` current for their tables, the other tables staying as they are; the manifest's number."""
     while True:
@@ -129,6 +142,7 @@ def publish(spark: SparkSession, root: str, places: dict[str, str]) -> int:
 def prune(spark: SparkSession, root: str, keep: int = KEPT, older_than_sec: float = 86400.0) -> list[str]:
     """Remove versions that none of the ``keep`` newest manifests names; the names removed.
 
+    So are plain folders of tables whose named versions all lie elsewhere.
     Versions younger than ``older_than_sec`` stay: a load may be writing them,
     or a running report reading them.
     """
@@ -143,6 +157,13 @@ def prune(spark: SparkSession, root: str, keep: int = KEPT, older_than_sec: floa
                 spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
             delete(spark, folder)
             gone.append(name)
+    recent = [_named(spark, root, n) for n in numbers[-keep:]]
+    changes = dict(children(spark, root))
+    for table in sorted({t for m in recent for t in m} & set(changes)):
+        superseded = all(m.get(table, HOME) != HOME for m in recent)
+        if superseded and changes[table] <= (time.time() - older_than_sec) * 1000:
+            delete(spark, f"{root.rstrip('/')}/{table}")
+            gone.append(table)
     for n in numbers[:-keep]:
         delete(spark, _manifest(root, n))
     return sorted(gone)
