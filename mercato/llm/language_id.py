@@ -39,10 +39,10 @@ by_value(__name__)
 
 UNKNOWN = "und"
 CELLS = 1 << 15         # hashed n-gram cells
-PIECE_CHARS = 1 << 19
+PIECE_CHARS = 1 << 18
 BLOCK = 1 << 10         # cells of a block; counts are added and weighed block by block
 OPEN_TABLES = 64        # languages whose counts a task holds at a time
-LOSSES = 1 << 20        # losses (rows x languages) that are held at a time
+LOSSES = 1 << 18        # losses (rows x languages) that are held at a time
 FAN_IN = 32
 AMBIGUOUS_GAP = 0.1     # relative loss gap to the runner-up under which a prediction is flagged
 _GAP_MARK = 32

@@ -18,7 +18,7 @@ from mercato.llm.common import by_value
 
 by_value(__name__)
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 _PLACE, _SYMBOL, _LENGTH = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
