@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its
 predecessor kept; all but the last return the columns of ``documents``.
+Whole texts pass Python in Arrow batches of bounded bytes, so that the stages
+of one session, which share its executors, do not add up large buffers.
 """
 
 from __future__ import annotations
@@ -10,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
-from mercato.llm.common import store
+from mercato.llm.common import bounded_batches, store
 from mercato.llm.queries import table, tokenizer
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language stay; those without a letter go."""
+    bounded_batches(spark)
     model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
     return language_id.accepted(docs, model)
 
@@ -26,15 +29,18 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    bounded_batches(spark)
     return near_dedup.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of at most 2048 tokens."""
+    bounded_batches(spark)
     return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=1)
 
 

@@ -11,13 +11,15 @@ import sys
 import types
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.session import store  # noqa: F401  (used by the operators)
 
 # One bitmap of Spark's bitmap functions covers this many positions.
 BITS_PER_BITMAP = 32768
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def by_value(module_name: str) -> None:
@@ -37,6 +39,18 @@ def worker_state(name: str) -> dict:
 by_value(__name__)
 
 
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Let Arrow batches hold ``most`` bytes (a longer row alone), where the session names no bound of its own.
+
+    A task holds a batch several times: as it is filled and sent, in its Python
+    worker, and as the result comes back.  Spark's default is 64 MB or 10,000
+    rows.  Results do not depend on how rows are dealt to batches.  The
+    setting stays with the session, since lazy results are computed later.
+    """
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, str(most))
+
+
 def filter_position(key_hash: Column, bits: int) -> Column:
     """Position of a 64-bit hash in a filter of ``bits`` positions (a power of two)."""
     return key_hash.bitwiseAND(F.lit(bits - 1))
