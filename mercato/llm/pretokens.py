@@ -17,12 +17,17 @@ import numpy as np
 import pyarrow as pa
 
 from mercato.llm.common import by_value, worker_state
+from mercato.llm.words import mix
 
 by_value(__name__)
 
 OTHER, LETTER, NUMBER, SPACE, END = 0, 1, 2, 3, 4
-# at most so many pre-tokens of at most so many characters are kept
-CACHE_ENTRIES, CACHE_CHARS = 1 << 19, 64
+KEY_WORDS = 3
+SHORT_BYTES = 8 * KEY_WORDS - 1  # the last byte of a key is the length
+CACHE_SLOTS = 1 << 20            # short pre-tokens, 32 bytes each
+# at most so many longer pre-tokens of at most so many bytes are kept
+CACHE_ENTRIES, CACHE_BYTES = 1 << 17, 128
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 @lru_cache(maxsize=1)
@@ -118,32 +123,107 @@ def distinct_spans(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return coded.indices.to_numpy().astype(np.int64), words
 
 
+def _byte_spans(segments: Segments, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in UTF-8, padded, and the spans' byte positions and byte lengths."""
+    raw = segments.joined.encode()
+    if len(raw) > len(segments.points):  # not ASCII
+        at = np.ones(len(segments.points) + 1, dtype=np.int64)
+        at[0] = 0
+        for least in (0x80, 0x800, 0x10000):
+            at[1:] += segments.points >= least
+        np.cumsum(at, out=at)
+        starts, ends = at[starts], at[ends]
+    return np.frombuffer(raw + bytes(8 * KEY_WORDS), dtype=np.uint8), starts, ends - starts
+
+
+def _short_keys(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Spans of up to ``SHORT_BYTES`` bytes as ``KEY_WORDS`` numbers: the bytes themselves and their count."""
+    # eight bytes from every position on, read where they lie
+    words = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))
+    keys = [words[at + 8 * k] & _MASKS[np.clip(size - 8 * k, 0, 8)] for k in range(KEY_WORDS)]
+    keys[-1] |= size.astype(np.uint64) << np.uint64(56)
+    return keys
+
+
 class Cache:
-    """Value of a pre-token by its text; emptied when it is full."""
+    """Value of a pre-token by its text, in bounded memory.
 
-    def __init__(self, entries: int = CACHE_ENTRIES):
-        self.entries = entries
-        self.values: dict[str, int] = {}
+    Short pre-tokens are looked up for many spans at once in a direct-mapped
+    table whose keys are the bytes themselves, so equal keys mean equal texts;
+    longer ones are kept in a dict that is emptied when it is full.
+    """
 
-    def of(self, piece: str, compute) -> int:
-        found = self.values.get(piece)
+    def __init__(self, slots: int = CACHE_SLOTS, entries: int = CACHE_ENTRIES):
+        self.mask = np.uint64(slots - 1)
+        self.keys = [np.zeros(slots, dtype=np.uint64) for _ in range(KEY_WORDS)]
+        self.values = np.zeros(slots, dtype=np.int64)
+        self.entries = entries
+        self.long: dict[bytes, int] = {}
+
+    def _slots(self, keys: list[np.ndarray]) -> np.ndarray:
+        mixed = keys[0]
+        for key in keys[1:]:
+            mixed = mix(mixed) ^ key
+        return (mix(mixed) & self.mask).astype(np.int64)
+
+    def find(self, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and whether the table holds them."""
+        slot = self._slots(keys)
+        held = np.ones(len(slot), dtype=bool)
+        for own, key in zip(self.keys, keys):
+            held &= own[slot] == key
+        return self.values[slot], held
+
+    def put(self, keys: list[np.ndarray], values: np.ndarray) -> None:
+        slot, one = np.unique(self._slots(keys), return_index=True)
+        for own, key in zip(self.keys, keys):
+            own[slot] = key[one]
+        self.values[slot] = values[one]
+
+    def of_long(self, piece: bytes, compute) -> int:
+        found = self.long.get(piece)
         if found is None:
-            found = compute(piece)
-            if len(piece) <= CACHE_CHARS:
-                if len(self.values) >= self.entries:
-                    self.values.clear()
-                self.values[piece] = found
+            found = compute(piece.decode())
+            if len(piece) <= CACHE_BYTES:
+                if len(self.long) >= self.entries:
+                    self.long.clear()
+                self.long[piece] = found
         return found
 
     def clear(self) -> None:
-        self.values.clear()
+        self.keys[-1][:] = 0  # no key has length 0
+        self.long.clear()
 
 
 def resolve(cache: Cache, segments: Segments, starts: np.ndarray, ends: np.ndarray, compute) -> np.ndarray:
     """A value per span; ``compute(str) -> int`` runs once per distinct missing pre-token."""
-    numbers, pieces = distinct_spans(segments.points, starts, ends)
-    values = np.fromiter((cache.of(p, compute) for p in pieces), dtype=np.int64, count=len(pieces))
-    return values[numbers]
+    if not len(starts):
+        return np.empty(0, dtype=np.int64)
+    data, at, size = _byte_spans(segments, starts, ends)
+    values = np.empty(len(at), dtype=np.int64)
+    missing = np.ones(len(at), dtype=bool)
+    short = np.flatnonzero(size <= SHORT_BYTES)
+    found, held = cache.find(_short_keys(data, at[short], size[short]))
+    values[short] = found
+    missing[short] = ~held
+    rest = np.flatnonzero(missing)
+    if not len(rest):
+        return values
+    at, size = at[rest], size[rest]
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    chars = data[np.repeat(at - bounds[:-1], size) + np.arange(bounds[-1])]
+    # Arrow's dictionary encoding compares the bytes themselves
+    coded = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(rest), [None, pa.py_buffer(bounds), pa.py_buffer(chars)]).dictionary_encode()
+    numbers, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    made = np.fromiter((compute(p.decode()) if len(p) <= SHORT_BYTES else cache.of_long(p, compute) for p in pieces),
+                       dtype=np.int64, count=len(pieces))
+    values[rest] = made[numbers]
+    first = np.empty(len(pieces), dtype=np.int64)
+    first[numbers[::-1]] = np.arange(len(rest))[::-1]  # a span of each piece
+    new = first[size[first] <= SHORT_BYTES]
+    cache.put(_short_keys(data, at[new], size[new]), values[rest][new])
+    return values
 
 
 def split_special(texts: list[str], special: list[str]) -> tuple[list[str], list[int], list[tuple[int, str]]]:

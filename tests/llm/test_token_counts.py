@@ -45,3 +45,32 @@ def test_merges_pop_the_lowest_rank_first():
     assert merger.count("abab") == 2
     assert merger.count("bcbca") == 3
     assert merger.count("") == 0
+
+
+def test_lookup_compares_whole_texts_whatever_the_table_holds():
+    import random
+
+    import numpy as np
+
+    from mercato.llm.pretokens import Cache, Segments, class_table, resolve
+
+    rng = random.Random(5)
+    table = np.frombuffer(class_table(), dtype=np.uint8)
+    # of 1 to 4 bytes a letter, around the length of a short key, with zero bytes and letters that differ late
+    words = [rng.choice("aéж語😀\0") * n + rng.choice("bь語") for n in (*range(1, 26), 200) for _ in range(6)]
+    words += ["abcdefg", "abcdefgh", "abcdefg\0", "\0", "\0\0"]
+    numbers = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    for slots, entries in ((2, 2), (8, 1 << 10), (1 << 12, 1 << 10)):
+        cache = Cache(slots, entries)
+        for _ in range(4):
+            picked = [rng.choice(words) for _ in range(300)]
+            segments = Segments(picked + ["", "plain"], table)
+            ends = segments.marks[:300]
+            starts = ends - np.array([len(w) for w in picked])
+            found = resolve(cache, segments, starts, ends, numbers.__getitem__)
+            assert found.tolist() == [numbers[w] for w in picked]
+        ascii_only = Segments(["abcdefg", "abcdefg\0"], table)
+        found = resolve(cache, ascii_only, np.array([0, 8]), np.array([7, 16]), numbers.__getitem__)
+        assert found.tolist() == [numbers["abcdefg"], numbers["abcdefg\0"]]
+        cache.clear()
+        assert resolve(cache, ascii_only, np.array([0]), np.array([7]), lambda w: 77).tolist() == [77]
