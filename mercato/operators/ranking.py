@@ -92,6 +92,21 @@ def group_row_number(df: DataFrame, group_cols: Sequence[str], order: Sequence[C
         .drop("_grn", "_gfirst", *[f"_g_{c}" for c in group_cols])
 
 
+def mark_first(df: DataFrame, key: str, columns: Sequence[str], out: str) -> DataFrame:
+    """Add ``out``: whether a row is the first of the rows with its values of ``key`` and ``columns``.
+
+    Rows are sorted within partitions of ``key`` and compared with the row
+    before, so nothing but the sort is held, unlike the two hash maps of a
+    distinct aggregate; a sort-merge join on ``key`` that follows neither
+    moves nor sorts them again.  NULLs are equal to each other.
+    """
+    w = W.partitionBy(key).orderBy(*columns)
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.lag(c).over(w).eqNullSafe(F.col(c))
+    return df.withColumn(out, (F.row_number().over(w) == 1) | ~same)
+
+
 BUCKETS = 2048       # histogram buckets per cut and round
 PREFIX_STEP = 3      # characters by which the tie-break's prefix grows per round
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mercato.functions.exact import (avg_days, count_where, elapsed_micros, money, month_number,
                                      month_of_number, percent, round_ratio, wide)
 from mercato.operators.joins import spread_lookup
+from mercato.operators.ranking import mark_first
 from mercato.plans.facts import (Tables, category_dim, delivered_orders, item_rows,
                                  order_timings)
 
@@ -149,7 +150,7 @@ def late_rate_by(t: Tables, dimension: str) -> DataFrame:
     count the distinct orders carrying items of the group, so an order is
     counted once per seller (or seller state/city) it involves; the
     (value, order) pairs are made distinct on the order-key partitioning
-    before the per-group partial aggregate.
+    before the per-group partial aggregate, by sorting instead of hash maps.
     """
     has_date = F.col("order_delivered_customer_date").isNotNull()
     late = F.col("order_delivered_customer_date") > F.col("order_estimated_delivery_date")
@@ -159,15 +160,16 @@ def late_rate_by(t: Tables, dimension: str) -> DataFrame:
         flagged = o.join(cust, "customer_id").select(dimension, has_date.alias("has_date"),
                                                       late.alias("late"))
     elif dimension in SELLER_DIMENSIONS:
-        flags = o.select("order_id", has_date.alias("has_date"), late.alias("late"))
-        items = t["order_items"].select("order_id", "seller_id")
-        # one row per (order, seller), on the order-key partitioning of the join
-        flagged = items.join(flags, "order_id").groupBy("order_id", "seller_id").agg(
-            F.first("has_date").alias("has_date"), F.first("late").alias("late"))
+        flags = o.filter(F.col("order_id").isNotNull()).select(
+            "order_id", has_date.alias("has_date"), late.alias("late"))
+        links = t["order_items"].filter(F.col("order_id").isNotNull()).select("order_id", "seller_id")
         if dimension != "seller_id":
-            flagged = spread_lookup(flagged, t["sellers"].select("seller_id", dimension), "seller_id", by="order_id",
-                                    counted=t["order_items"]) \
-                .select(dimension, "order_id", "has_date", "late").distinct()
+            links = spread_lookup(links, t["sellers"].select("seller_id", dimension), "seller_id", by="order_id",
+                                  counted=t["order_items"]).select("order_id", dimension)
+        # one row per (order, value) and per order, told apart by the sorts that their join needs anyway
+        links = mark_first(links, "order_id", [dimension], "_first").filter("_first").drop("_first")
+        flags = mark_first(flags, "order_id", ["has_date", "late"], "_first").filter("_first").drop("_first")
+        flagged = links.join(flags, "order_id")
     else:
         raise ValueError(f"unsupported dimension {dimension!r}")
     per = flagged.groupBy(dimension).agg(count_where(F.col("has_date")).alias("total"),

@@ -8,7 +8,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from mercato.plans import experience, operations, sales
+from mercato.plans import experience, metrics, operations, sales
 from mercato.plans.registry import JOBS
 from mercato.sources.catalog import read_tables, write_tables
 
@@ -116,3 +116,10 @@ def test_bucketed_tables_remove_order_key_shuffles(spark, small_tables, no_auto_
     assert hashed == ["seller_id", "seller_id"]  # the per-seller aggregate and the seller table
     hashed = re.findall(r"Exchange hashpartitioning\(([a-z_]+)", plan(experience.rfm_base(t)))
     assert "order_id" not in hashed
+
+
+def test_seller_late_rates_hold_no_pairs_in_hash_maps(stored, no_auto_broadcast):
+    """Distinct (order, value) pairs come from sorts: no aggregate has the order in its key."""
+    for job in (metrics.late_rate_by_seller, metrics.late_rate_by_seller_state, metrics.late_rate_by_seller_city,
+                metrics.late_rate_by_seller_zip):
+        assert not re.search(r"Aggregate\(keys=\[[^\]]*order_id", plan(job(stored)))
