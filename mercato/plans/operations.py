@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from mercato.functions.exact import avg_days, count_where, money, percent, wide
 from mercato.functions.labels import (SELLER_BOTTOM_LABEL, SELLER_TOP_LABEL,
                                       punctuality_bucket, status_description)
-from mercato.operators.ranking import top_k
+from mercato.operators.ranking import mark_first, top_k
 from mercato.operators.shares import with_share
 from mercato.plans.facts import (Tables, delivered_orders, item_rows, order_timings,
                                  seller_dim)
@@ -90,37 +90,33 @@ def seller_dispatch(t: Tables, min_orders: int = 30) -> DataFrame:
     """Per seller (>= ``min_orders`` distinct delivered orders): dispatch and delivery days,
     late share and revenue, all weighted by item rows.
 
-    Items are first reduced to (seller, order) grain right after the
-    order join (no extra shuffle: the join already clusters by order),
-    then to sellers with map-side partial aggregation, so one seller
-    holding a large share of items is combined before the shuffle.
+    Every measure but the number of orders is a sum over item rows.  An
+    order counts for a seller by the first of its item rows with the seller,
+    which is told by the sort that the order join needs anyway, so no table
+    of (seller, order) pairs is held.  Rows go to sellers with map-side
+    partial aggregation, so one seller holding a large share of items is
+    combined before the shuffle.
     """
     o = delivered_orders(t).filter(
         F.col("order_delivered_carrier_date").isNotNull()
         & F.col("order_approved_at").isNotNull())
     timed = order_timings(o).select("order_id", "handling_us", "actual_us", "is_late")
-    items = item_rows(t).select("order_id", "seller_id", "price_cents")
-    # The order-level columns are functionally dependent on order_id.
-    per_order = items.join(timed, "order_id").groupBy(
-        "seller_id", "order_id", "handling_us", "actual_us", "is_late").agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.sum("price_cents").alias("cents"))
-    n = F.col("n_items")
-    per_seller = per_order.groupBy("seller_id").agg(
-        F.count(F.lit(1)).alias("n_orders"),
-        F.sum(n).alias("n_rows"),
-        F.sum(wide(F.col("handling_us")) * n).alias("handling_sum"),
-        F.sum(F.when(F.col("handling_us").isNotNull(), n)).alias("handling_n"),
-        F.sum(wide(F.col("actual_us")) * n).alias("actual_sum"),
-        F.sum(F.when(F.col("actual_us").isNotNull(), n)).alias("actual_n"),
-        F.sum(F.when(F.col("is_late"), n).otherwise(0)).alias("n_late"),
-        F.sum("cents").alias("cents"),
+    timed = mark_first(timed.filter(F.col("order_id").isNotNull()), "order_id",
+                       ["handling_us", "actual_us", "is_late"], "order_first")
+    items = item_rows(t).filter(F.col("order_id").isNotNull()).select("order_id", "seller_id", "price_cents")
+    items = mark_first(items, "order_id", ["seller_id"], "item_first")
+    per_seller = items.join(timed, "order_id").groupBy("seller_id").agg(
+        count_where(F.col("item_first") & F.col("order_first")).alias("n_orders"),
+        F.count(F.lit(1)).alias("n_rows"),
+        *_sum_count("handling_us"), *_sum_count("actual_us"),
+        count_where(F.col("is_late")).alias("n_late"),
+        F.sum("price_cents").alias("cents"),
     ).filter(F.col("n_orders") >= min_orders)
     return per_seller.join(seller_dim(t), "seller_id").select(
         "seller_id", "seller_state", "seller_city",
         F.col("n_orders").cast("bigint"),
-        avg_days(F.col("handling_sum"), F.col("handling_n"), 1).alias("dispatch_days"),
-        avg_days(F.col("actual_sum"), F.col("actual_n"), 1).alias("delivery_days"),
+        _avg("handling_us").alias("dispatch_days"),
+        _avg("actual_us").alias("delivery_days"),
         percent(F.col("n_late"), F.col("n_rows"), 2).alias("late_pct"),
         money(F.col("cents")).alias("revenue"))
 

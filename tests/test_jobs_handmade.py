@@ -322,3 +322,12 @@ def test_null_groups_state_and_month(spark):
     assert months[-1] == dict(month=None, revenue=5.0, n_orders=1, prev_revenue=10.0, growth_pct=-50.0)
     states = {r["state"]: (r["revenue"], r["revenue_rank"]) for r in rows(sales.state_revenue(t))}
     assert states[None] == (5.0, 4) and states["SP"] == (170.01, 1)
+
+
+def test_an_order_that_stands_twice_counts_once_per_seller(spark):
+    t = _sellers(spark)
+    twice = {**t, "orders": t["orders"].unionByName(t["orders"])}
+    assert rows(metrics.late_rate_by_seller(twice)) == rows(metrics.late_rate_by_seller(t))
+    once, both = (sorted(rows(operations.seller_dispatch(x, 1)), key=lambda r: r["seller_id"]) for x in (t, twice))
+    assert [r["n_orders"] for r in both] == [r["n_orders"] for r in once]
+    assert [r["revenue"] for r in both] == [2 * r["revenue"] for r in once]

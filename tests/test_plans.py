@@ -123,3 +123,7 @@ def test_seller_late_rates_hold_no_pairs_in_hash_maps(stored, no_auto_broadcast)
     for job in (metrics.late_rate_by_seller, metrics.late_rate_by_seller_state, metrics.late_rate_by_seller_city,
                 metrics.late_rate_by_seller_zip):
         assert not re.search(r"Aggregate\(keys=\[[^\]]*order_id", plan(job(stored)))
+
+
+def test_seller_dispatch_holds_no_pairs_in_hash_maps(stored, no_auto_broadcast):
+    assert not re.search(r"Aggregate\(keys=\[[^\]]*order_id", plan(operations.seller_dispatch(stored)))
