@@ -59,13 +59,14 @@ def order_facts(t: Tables, dimensions: Sequence[str], period: tuple | None = Non
     return o.select("customer_id", *columns).join(customers, "customer_id", "left").drop("customer_id")
 
 
-def item_links(t: Tables, dimensions: Sequence[str]) -> DataFrame:
-    """Distinct ``order_id`` with the item dimensions that are asked for."""
+def item_links(t: Tables, dimensions: Sequence[str], of_orders: DataFrame | None = None) -> DataFrame:
+    """``order_id`` with the item dimensions that are asked for, one row an item (rows may repeat)."""
     of_seller = [d for d in SELLER_DIMENSIONS if d in dimensions and d != "seller_id"]
     keys = [k for k, asked in (("seller_id", of_seller or "seller_id" in dimensions), ("product_id", "category" in dimensions))
             if asked]
-    # one row per (order, seller, product) before the lookups: a product sold often in an order is one row
-    links = t["order_items"].select("order_id", *keys).distinct()
+    links = t["order_items"].select("order_id", *keys)
+    if of_orders is not None:
+        links = links.join(of_orders.select("order_id"), "order_id", "left_semi")
     if of_seller:
         links = links.join(t["sellers"].select("seller_id", F.lit(True).alias(KNOWN["seller_state"]), *of_seller),
                            "seller_id", "left")
@@ -124,10 +125,12 @@ def late_rates(t: Tables, dimensions: Sequence[str] = DIMENSIONS, where: Mapping
 
     ``where`` maps any dimension to the values that are kept.  A slicer on an
     item dimension keeps the orders with such an item, and for item dimensions
-    only those items.  Each order counts once per value: the (order, dimension,
-    value) rows are made distinct before they are counted, so a value that a
-    third of all orders has arrives as one row per task.  ``late_rate`` is 0
-    when no order of a value has a delivery date; ``value`` is NULL for NULL.
+    only those items.  Each order counts once per value: item rows are gathered
+    by order into the set of values of every dimension, so rows per dimension
+    and value arise only where they are counted, and a value that a third of all
+    orders has arrives as one row per task.  Under a slicer on orders or a period
+    only items of those orders meet the lookups.  ``late_rate`` is 0 when no
+    order of a value has a delivery date; ``value`` is NULL for NULL.
     """
     unknown = (set(dimensions) | set(where or ())) - set(DIMENSIONS)
     if unknown:
@@ -138,25 +141,26 @@ def late_rates(t: Tables, dimensions: Sequence[str] = DIMENSIONS, where: Mapping
     of_item = [d for d in ITEM_DIMENSIONS if d in dimensions]
     links = None
     if of_item or any(d in ITEM_DIMENSIONS for d in where or ()):
-        links = item_links(t, [d for d in ITEM_DIMENSIONS if d in asked]).filter(_chosen(where, ITEM_DIMENSIONS))
-    if links is not None and any(d in ITEM_DIMENSIONS for d in where or ()):
-        orders = orders.join(links.select("order_id"), "order_id", "left_semi")
+        few = period is not None or any(d in ORDER_DIMENSIONS for d in where or ())
+        links = item_links(t, [d for d in ITEM_DIMENSIONS if d in asked], orders if few else None).filter(
+            _chosen(where, ITEM_DIMENSIONS))
 
-    def long(names: Sequence[str]) -> Column:
-        found = []
-        for d in names:
-            pair = F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
-            found.append(F.when(F.col(KNOWN[d]), pair) if d in KNOWN else pair)
-        return F.explode(F.array_compact(F.array(*found))).alias("d")
+    def pair(d: str) -> Column:
+        found = F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
+        return F.when(F.col(KNOWN[d]), found) if d in KNOWN else found
 
     parts = []
     if of_order:
-        parts.append(orders.select("order_id", "has_date", "late", long(of_order)).select(
-            "d.dimension", "d.value", "has_date", "late"))
+        met = orders
+        if any(d in ITEM_DIMENSIONS for d in where or ()):
+            met = orders.join(links.select("order_id"), "order_id", "left_semi")
+        parts.append(met.select("has_date", "late", F.explode(F.array_compact(F.array(*map(pair, of_order)))).alias("d")))
     if of_item:
-        pairs = links.select("order_id", long(of_item)).select("order_id", "d.dimension", "d.value").distinct()
-        parts.append(pairs.join(orders.select("order_id", "has_date", "late"), "order_id").select(
-            "dimension", "value", "has_date", "late"))
+        # NULL for a dimension whose table an item has not met is no value, and sets leave it out
+        sets = links.groupBy("order_id").agg(*[F.collect_set(pair(d)).alias(d) for d in of_item])
+        parts.append(sets.join(orders.select("order_id", "has_date", "late"), "order_id").select(
+            "has_date", "late", F.explode(F.concat(*of_item)).alias("d")))
+    parts = [p.select("d.dimension", "d.value", "has_date", "late") for p in parts]
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     per = rows.groupBy("dimension", "value").agg(count_where(F.col("has_date")).alias("n_delivered"),
                                                  count_where(F.col("late")).alias("n_late"))

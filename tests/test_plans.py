@@ -8,7 +8,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from mercato.plans import experience, metrics, operations, sales
+from mercato.plans import experience, measures, metrics, operations, sales
 from mercato.plans.registry import JOBS
 from mercato.sources.catalog import read_tables, write_tables
 
@@ -127,3 +127,11 @@ def test_seller_late_rates_hold_no_pairs_in_hash_maps(stored, no_auto_broadcast)
 
 def test_seller_dispatch_holds_no_pairs_in_hash_maps(stored, no_auto_broadcast):
     assert not re.search(r"Aggregate\(keys=\[[^\]]*order_id", plan(operations.seller_dispatch(stored)))
+
+
+def test_late_rates_shuffle_no_row_per_dimension_of_an_item(stored, no_auto_broadcast):
+    p = plan(measures.late_rates(stored))
+    assert not re.search(r"hashpartitioning\([^)]*order_id#[^)]*(dimension|value)#", p)
+    # items of a slice of the orders are reduced before they meet products
+    p = plan(measures.late_rates(stored, ["category"], where={"customer_state": ["SP"]}))
+    assert p.count("LeftSemi") >= 1
