@@ -178,20 +178,24 @@ PERSON_DIMENSIONS = ("month", "customer_state", "category")
 def person_bitmaps(t: Tables, period: tuple | None = None) -> DataFrame:
     """``month, customer_state, category, bucket, bitmap``: the persons with delivered items, as bitmaps.
 
-    Persons are numbered densely from 1, so the persons of a group are bits of
-    consecutive bitmaps of 32,768 positions; a group's bitmaps are made within
-    tasks first, and a person's many orders in a group cost one bit.  Stored
+    Persons are numbered densely from 1, those of a state one after the other,
+    so the persons of a group are bits of the few bitmaps of 32,768 positions
+    that hold its state.  The narrow rows are shuffled, not bitmaps made of a
+    few of them, and a person's many orders in a group cost one bit.  Stored
     once, the aggregate rolls up to any coarser grain by OR.
     """
-    people = t["customers"].select("customer_unique_id").filter(F.col("customer_unique_id").isNotNull()).distinct()
-    numbered = global_row_number(people, [F.col("customer_unique_id")], out="person")
+    people = t["customers"].filter(F.col("customer_unique_id").isNotNull()).groupBy("customer_unique_id").agg(
+        F.min("customer_state").alias("home"))
+    numbered = global_row_number(people, [F.col("home"), F.col("customer_unique_id")], out="person").drop("home")
     orders, bought = _in_period(delivered_orders(t), period), F.col("order_purchase_timestamp")
     owners = t["customers"].select("customer_id", "customer_unique_id", "customer_state").join(numbered, "customer_unique_id")
     rows = orders.select("order_id", "customer_id", month_of_number(month_number(bought)).alias("month")).join(
         owners.select("customer_id", "customer_state", "person"), "customer_id")
-    rows = rows.join(item_links(t, ["category"]).filter(KNOWN["category"]).distinct(), "order_id")
-    bits = rows.groupBy(*PERSON_DIMENSIONS, F.expr("bitmap_bucket_number(person)").alias("bucket")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(person))").alias("bitmap"))
+    rows = rows.join(item_links(t, ["category"]).filter(KNOWN["category"]), "order_id").select(
+        *PERSON_DIMENSIONS, F.expr("bitmap_bucket_number(person)").alias("bucket"),
+        F.expr("cast(bitmap_bit_position(person) AS int)").alias("at"))
+    bits = rows.repartition(*PERSON_DIMENSIONS, "bucket").groupBy(*PERSON_DIMENSIONS, "bucket").agg(
+        F.expr("bitmap_construct_agg(at)").alias("bitmap"))
     return store(bits, "person-bitmaps")
 
 

@@ -99,3 +99,22 @@ def test_any_report_runs_on_sliced_tables(odd):
     assert sorted((r.order_id, r.seller_id) for r in by_seller["order_items"].collect()) == [("o1", "s2"), ("o6", "s2")]
     assert sorted(r.order_id for r in by_seller["orders"].collect()) == ["o1", "o6"]
     assert by_seller["orders"].columns == odd["orders"].columns
+
+
+def test_persons_of_a_state_share_bitmaps(spark):
+    """Neighbours in id order live in 10 states: each state still has its own run of person numbers."""
+    n = 40_000
+    ids = spark.range(n).select(F.format_string("%06d", "id").alias("k"), (F.col("id") % 10).cast("string").alias("state"))
+    t = {"customers": ids.select(F.col("k").alias("customer_id"), F.col("k").alias("customer_unique_id"),
+                                 F.col("state").alias("customer_state")),
+         "orders": ids.select(F.col("k").alias("order_id"), F.col("k").alias("customer_id"),
+                              F.lit("delivered").alias("order_status"),
+                              F.lit("2017-01-05").cast("timestamp_ntz").alias("order_purchase_timestamp")),
+         "order_items": ids.select(F.col("k").alias("order_id"), F.lit("p").alias("product_id")),
+         "products": spark.createDataFrame([("p", "toys")], "product_id string, product_category_name string"),
+         "product_category_translation": spark.createDataFrame(
+             [], "product_category_name string, product_category_name_english string")}
+    bitmaps = measures.person_bitmaps(t)
+    assert bitmaps.count() <= 12            # 10 states and 2 bitmaps' worth of persons
+    assert {r.n_persons for r in measures.distinct_from(bitmaps, ["customer_state"]).collect()} == {n // 10}
+    assert measures.distinct_from(bitmaps).collect()[0].n_persons == n

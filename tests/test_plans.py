@@ -135,3 +135,10 @@ def test_late_rates_shuffle_no_row_per_dimension_of_an_item(stored, no_auto_broa
     # items of a slice of the orders are reduced before they meet products
     p = plan(measures.late_rates(stored, ["category"], where={"customer_state": ["SP"]}))
     assert p.count("LeftSemi") >= 1
+
+
+def test_person_bitmaps_are_not_shuffled(stored, no_auto_broadcast, monkeypatch):
+    monkeypatch.setattr(measures, "store", lambda df, name: df)
+    p = plan(measures.person_bitmaps(stored))
+    partial = p.index("partial_bitmap_construct_agg")
+    assert "Exchange" not in p[p.index("bitmap_construct_agg"):partial] and "Exchange" in p[partial:]
