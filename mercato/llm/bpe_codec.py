@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import by_value, store
+from mercato.llm.common import bounded_batches, by_value, release_memory, store
 from mercato.llm.packing import SAFE_RANGES
 from mercato.llm.pretokens import Segments, cached, class_table, distinct_spans, split_special
 from mercato.llm.token_counts import byte_letters
@@ -57,6 +57,7 @@ by_value(__name__)
 PIECE_CHARS = 1 << 19
 PAGE_WORDS = 1 << 18
 PAGE_TOKENS = 1 << 22
+KNOWN_IDS = 1 << 16
 BUCKETS_PER_PARTITION = 16
 # Whether a join on (bucket, word) deals rows out anew that are dealt by the bucket already.
 CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
@@ -189,8 +190,11 @@ def split_pages(docs: DataFrame, tokenizer_path: str, buckets: int, id_col: str,
                 if page.full():
                     yield close()
                     page, number = Page(), number + 1
+                    release_memory()
         if page.ids:
             yield close()
+        page = None
+        release_memory()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"page bigint, bucket int, words string, doc_ids array<{kind}>, counts array<bigint>, n_slots bigint, "
@@ -222,7 +226,8 @@ def word_table(words: DataFrame, tokenizer_path: str) -> DataFrame:
             spec = json.loads(shared.value)
             return Tokenizer.from_str(shared.value).model, {t["content"]: str(t["id"]) for t in spec["added_tokens"]}
 
-        model, special = cached(f"model-{tokenizer_path}", load)
+        # not kept in the worker: later stages would pay for it
+        model, special = load()
         letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
 
         def encode(word: str) -> str:
@@ -235,6 +240,8 @@ def word_table(words: DataFrame, tokenizer_path: str) -> DataFrame:
             ids = [encode(w) for w in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.string())],
                                              names=["bucket", "word", "ids"])
+        model = special = None
+        release_memory()
 
     return words.mapInArrow(run, "bucket int, word string, ids string")
 
@@ -242,6 +249,7 @@ def word_table(words: DataFrame, tokenizer_path: str) -> DataFrame:
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id`` and ``ids``, its token ids as little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
     pages = _stored_by_page(split_pages(docs, tokenizer_path, BUCKETS_PER_PARTITION * partitions, id_col, text_col),
@@ -271,7 +279,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         def parse(text: str) -> bytes:
             out = known.get(text)
             if out is None:
-                if len(known) >= PAGE_WORDS:
+                if len(known) >= KNOWN_IDS:
                     known.clear()
                 out = known[text] = np.array(text.split(), dtype="<u4").tobytes()
             return out
@@ -280,8 +288,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             for doc_ids, counts, n_slots, buckets, slots, ids in zip(*batch.columns):
                 found = [parse(x) for text in ids.as_py() or () for x in text.split(",")]
                 # the ids of a bucket's words come in slot order
-                place = np.empty(n_slots.as_py(), dtype=np.int64)
-                place[np.argsort(_unsqueeze(buckets.as_py(), len(place)), kind="stable")] = np.arange(len(place))
+                place = np.empty(n_slots.as_py(), dtype=np.uint32)
+                place[np.argsort(_unsqueeze(buckets.as_py(), len(place)), kind="stable")] = np.arange(len(place), dtype=np.uint32)
                 ends = np.cumsum(counts.values.to_numpy())
                 own = place[_unsqueeze(slots.as_py(), int(ends[-1]))]
                 i = 0
@@ -292,12 +300,15 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                         i = j
                     yield pa.RecordBatch.from_arrays([doc_ids.values.slice(low, high - low), pa.array(out, pa.binary())],
                                                      names=["doc_id", "ids"])
+                found = own = place = out = None
+                release_memory()
 
     return rows.mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """``encoded`` with ``decoded``: the pieces of each row's ids, joined by one space."""
+    bounded_batches(encoded.sparkSession)
     spec = json.loads(_vocabulary(tokenizer_path))
     pieces = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
     shared = encoded.sparkSession.sparkContext.broadcast([pieces.get(i) for i in range(max(pieces) + 1)])

@@ -51,6 +51,22 @@ def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
         spark.conf.set(_BATCH_CONF, str(most))
 
 
+def release_memory() -> None:
+    """Give freed memory of this Python worker back to the system.
+
+    Workers are reused, so what the allocators keep of one stage's arrays would
+    stand beside the memory of the next.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def filter_position(key_hash: Column, bits: int) -> Column:
     """Position of a 64-bit hash in a filter of ``bits`` positions (a power of two)."""
     return key_hash.bitwiseAND(F.lit(bits - 1))

@@ -79,3 +79,14 @@ def test_query_equals_the_library_on_the_whole_table(spark):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (
             len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
             hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_batches_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        bpe_codec.encode(docs_frame(spark, ["a b"]), PATH)
+        assert int(spark.conf.get(name)) <= 4 << 20
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
