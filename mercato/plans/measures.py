@@ -145,21 +145,26 @@ def late_rates(t: Tables, dimensions: Sequence[str] = DIMENSIONS, where: Mapping
         links = item_links(t, [d for d in ITEM_DIMENSIONS if d in asked], orders if few else None).filter(
             _chosen(where, ITEM_DIMENSIONS))
 
-    def pair(d: str) -> Column:
-        found = F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
+    def value(d: str) -> Column:
+        found = F.struct(F.col(d).cast("string").alias("value"))
         return F.when(F.col(KNOWN[d]), found) if d in KNOWN else found
 
+    def pairs(d: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(d).alias("dimension"), v["value"].alias("value")))
+
     parts = []
     if of_order:
         met = orders
         if any(d in ITEM_DIMENSIONS for d in where or ()):
             met = orders.join(links.select("order_id"), "order_id", "left_semi")
-        parts.append(met.select("has_date", "late", F.explode(F.array_compact(F.array(*map(pair, of_order)))).alias("d")))
+        parts.append(met.select("has_date", "late", F.explode(F.concat(*[
+            pairs(d, F.array_compact(F.array(value(d)))) for d in of_order])).alias("d")))
     if of_item:
         # NULL for a dimension whose table an item has not met is no value, and sets leave it out
-        sets = links.groupBy("order_id").agg(*[F.collect_set(pair(d)).alias(d) for d in of_item])
+        # (item rows are dealt by order before, since a set of one item is larger than its row)
+        sets = links.repartition("order_id").groupBy("order_id").agg(*[F.collect_set(value(d)).alias(d) for d in of_item])
         parts.append(sets.join(orders.select("order_id", "has_date", "late"), "order_id").select(
-            "has_date", "late", F.explode(F.concat(*of_item)).alias("d")))
+            "has_date", "late", F.explode(F.concat(*[pairs(d, F.col(d)) for d in of_item])).alias("d")))
     parts = [p.select("d.dimension", "d.value", "has_date", "late") for p in parts]
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     per = rows.groupBy("dimension", "value").agg(count_where(F.col("has_date")).alias("n_delivered"),
