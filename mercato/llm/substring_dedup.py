@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import by_value, filter_bytes, filter_position, store
+from mercato.llm.common import bounded_batches, by_value, filter_bytes, filter_position, release_memory, store
 from mercato.llm.words import NOT_SPACE, Words, starts_inside, window_hashes, words_of
 
 by_value(__name__)
@@ -95,6 +95,7 @@ def sequences(docs: DataFrame) -> DataFrame:
                     [batch.column(0).slice(piece.first, len(h1)), pa.array(_tags(h1)),
                      pa.array(piece.counts, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
                     names=["doc_id", "tag", "n", "h1", "h2"])
+        release_memory()
 
     return docs.mapInArrow(run, f"doc_id {_kind(docs)}, tag bigint, n bigint, h1 bigint, h2 bigint")
 
@@ -152,6 +153,7 @@ def seeds(docs: DataFrame, wanted: bytes, bits: int, window: int, seed: int) ->
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found[new].view(np.int64)), batch.column(0).take(pa.array(piece.first + row[new]))],
                     names=["seed", "doc_id"])
+        release_memory()
 
     return _selected(docs, bits).mapInArrow(run, f"seed bigint, doc_id {_kind(docs)}")
 
@@ -186,6 +188,7 @@ def edges(docs: DataFrame, wanted: bytes, bits: int, repeated: bytes, seed_bits:
                     [pa.array(edge), pa.array(nodes[at]), pa.array(nodes[at + 1]),
                      batch.column(0).take(pa.array(piece.first + row)), pa.array(place)],
                     names=["edge", "head", "tail", "doc_id", "at"])
+        release_memory()
 
     return _selected(docs, bits).mapInArrow(run, f"edge bigint, head bigint, tail bigint, doc_id {_kind(docs)}, at bigint")
 
@@ -342,6 +345,7 @@ def _joined_with(docs: DataFrame, table: DataFrame, bits: int) -> DataFrame:
                 rows = batch.slice(piece.first, len(tag))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(tag), rows.column(1)],
                                                  names=["doc_id", "tag", "text"])
+        release_memory()
 
     tagged = _selected(docs, bits).mapInArrow(run, f"doc_id {_kind(docs)}, tag bigint, text string")
     return tagged.join(table, ["doc_id", "tag"])
@@ -373,6 +377,7 @@ def verified(spans: DataFrame, docs: DataFrame, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], batch.column(0).type), *(pa.array(c, pa.int64()) for c in columns[1:4]),
                  pa.array(columns[4], pa.binary())], names=["doc_id", "tag", "first", "length", "digest"])
+        release_memory()
 
     digests = store(_joined_with(docs, ranges, bits).select("doc_id", "tag", "text", "ranges").mapInArrow(
         run, f"doc_id {kind}, tag bigint, first bigint, length bigint, digest binary").distinct(), "span-digests")
@@ -403,6 +408,7 @@ def kept_bytes(piece: Words, low: int, high: int, keep: np.ndarray | None = None
 def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, seed_bits: int = SEED_BITS,
                    doc_bits: int = DOC_BITS) -> DataFrame:
     """``doc_id, tag, first, length, source, source_tag, source_first``: spans that an earlier document has."""
+    bounded_batches(docs.sparkSession)
     known = docs.filter("doc_id IS NOT NULL")
     found = store(sequences(docs).filter(f"n >= {window} AND doc_id IS NOT NULL"), "span-sequences")
     # aggregates are written before they are joined back: the join then reads two plain exchanges,
@@ -431,6 +437,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, doc_bits: int = DOC_BITS) ->
     Documents without spans are rewritten where they are read; only texts
     that the filter of documents with spans lets through are shuffled.
     """
+    bounded_batches(docs.sparkSession)
     kind = _kind(docs)
     schema = f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string"
     names = ["doc_id", "n_words", "n_removed", "kept_text"]
@@ -456,6 +463,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, doc_bits: int = DOC_BITS) ->
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(piece.first, n), pa.array(piece.counts, pa.int64()),
                      pa.array(np.zeros(n, np.int64)), pa.array(texts(piece, None), pa.string())], names=names)
+        release_memory()
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,6 +473,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, doc_bits: int = DOC_BITS) ->
                 rows = batch.slice(piece.first, len(tag))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(tag), rows.column(1)],
                                                  names=["doc_id", "tag", "text"])
+        release_memory()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -480,6 +489,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, doc_bits: int = DOC_BITS) ->
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(piece.first, len(piece.counts)), pa.array(piece.counts, pa.int64()),
                      pa.array(gone, pa.int64()), pa.array(texts(piece, keep), pa.string())], names=names)
+        release_memory()
 
     rows = _selected(docs, doc_bits)
     done = rows.mapInArrow(whole, schema)

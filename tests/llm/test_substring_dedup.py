@@ -91,3 +91,14 @@ def test_branching_passages_and_periodic_texts_equal_brute_force(spark):
     want = substrings(texts, 20)
     rows = substring_dedup.dedup_substrings(docs_frame(spark, texts), window=20, seed=8).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in rows} == want
+
+
+def test_batches_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        substring_dedup.dedup_substrings(docs_frame(spark, ["a b"]))
+        assert int(spark.conf.get(name)) <= 4 << 20
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
