@@ -265,7 +265,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     before = spark.conf.get(CO_PARTITION, "true")
     spark.conf.set(CO_PARTITION, "false")
     try:
-        answers = store(answers, "bpe-ids")
+        answers = store(answers, "bpe-ids", compression="zstd")
     finally:
         spark.conf.set(CO_PARTITION, before)
 

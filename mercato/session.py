@@ -86,13 +86,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` under the session's checkpoint folder and read it back (lineage is cut).
 
     A ``DataFrame.checkpoint`` would compute its last stage twice, once to
     count and once to write; a written table is computed once, survives lost
-    executors and is read back with column pruning.
+    executors and is read back with column pruning.  The files have the
+    session's ``compression`` unless one is named.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from llm_data import docs_frame, hard_texts
 from test_token_counts import strange_texts
 
 from mercato.llm import bpe_codec
+from mercato.session import store
 from mercato.llm.queries import QUERIES, tokenizer
 from conftest import SF_SMALL
 
@@ -90,3 +91,10 @@ def test_batches_are_bounded(spark):
         assert int(spark.conf.get(name)) <= 4 << 20
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_stored_ids_are_compressed_well(spark, monkeypatch):
+    named = {}
+    monkeypatch.setattr(bpe_codec, "store", lambda df, name, **options: named.update({name: options}) or store(df, name, **options))
+    bpe_codec.encode(docs_frame(spark, ["a b", "b c"]), PATH)
+    assert named == {"bpe-ids": {"compression": "zstd"}}
