@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions.exact import count_where
 from mercato.plans.facts import Tables
+from mercato.session import at_once
 from mercato.sources.schemas import (MAX_LENGTHS, PRIMARY_KEYS, RANGE_CHECKS, REFERENCES,
                                      SCHEMAS)
 
@@ -69,9 +70,11 @@ def duplicate_keys(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
 
 def require_unique_keys(t: Tables) -> None:
     """Raise if a table breaks its declared primary key (run by the loads, after writing)."""
-    broken = {name: [tuple(r) for r in duplicate_keys(df, PRIMARY_KEYS[name]).limit(3).collect()]
-              for name, df in t.items() if PRIMARY_KEYS.get(name)}
-    broken = {name: rows for name, rows in broken.items() if rows}
+    found = {name: duplicate_keys(df, PRIMARY_KEYS[name]).limit(3) for name, df in t.items() if PRIMARY_KEYS.get(name)}
+    if not found:
+        return
+    rows = at_once(next(iter(found.values())).sparkSession, [df.collect for df in found.values()])
+    broken = {name: [tuple(r) for r in some] for name, some in zip(found, rows) if some}
     if broken:
         raise ValueError(f"duplicate primary keys (key, rows): {broken}")
 

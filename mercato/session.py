@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  The session time zone matters for
@@ -24,6 +27,7 @@ DEFAULT_CONF = {
 
 
 MB = 1 << 20
+JOBS_AT_ONCE = 4
 
 
 def cluster_conf(total_input_bytes: int, executor_cores_total: int,
@@ -97,3 +101,18 @@ def store(df: DataFrame, name: str, compression: str | None = None) -> DataFrame
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def at_once(spark: SparkSession, actions: Iterable[Callable[[], object]]) -> list:
+    """Results of independent Spark actions, ``JOBS_AT_ONCE`` of them side by side.
+
+    One job's last tasks then leave no core idle.  All actions that began have
+    ended when this returns or raises; the first failed one, in order, is raised.
+    """
+    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(action)) for action in actions]
+        try:
+            return [r.result() for r in running]
+        except BaseException:
+            pool.shutdown(cancel_futures=True)
+            raise

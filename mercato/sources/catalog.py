@@ -17,11 +17,12 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.session import ensure_checkpoint_dir
+from mercato.session import at_once, ensure_checkpoint_dir
 from mercato.sources import versions
 from mercato.sources.schemas import SCHEMAS
 
@@ -60,16 +61,16 @@ def write_tables(tables: dict[str, DataFrame], root: str, bucketed: bool = False
         buckets = bucket_count(max([stored_bytes(spark, p) for p in grain], default=0))
     if bucketed:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}'")
-    for name, df in tables.items():
-        if bucketed:
+    if not bucketed:
+        at_once(spark, [partial(df.write.mode("overwrite").parquet, f"{root}/{name}") for name, df in tables.items()])
+    else:
+        for name, df in tables.items():
             if name in ORDER_GRAIN:
                 df = df.repartition(buckets, "order_id")
             writer = df.write.mode("overwrite").format("parquet")
             if name in ORDER_GRAIN:
                 writer = writer.bucketBy(buckets, "order_id").sortBy("order_id")
             writer.saveAsTable(f"{database}.{name}")
-        else:
-            df.write.mode("overwrite").parquet(f"{root}/{name}")
     if not bucketed and versions.current(spark, root)[0]:
         versions.publish(spark, root, {name: "." for name in tables})
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from mercato.plans import experience, measures, operations
 from mercato.plans.facts import Tables
-from mercato.session import ensure_checkpoint_dir
+from mercato.session import at_once, ensure_checkpoint_dir
 from mercato.sources.csv_ingest import load_tables
 from mercato.sources.schemas import PRIMARY_KEYS, SCHEMAS
 
@@ -35,9 +35,8 @@ def load_round_trip(t: Tables) -> DataFrame:
     message = F.col("review_comment_message")
     tables = {**t, "order_reviews": t["order_reviews"].withColumn(
         "review_comment_message", F.concat(message, F.lit(',"\n"'), message))}
-    for name, df in tables.items():
-        df.write.option("header", "true").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option(
-            "nullValue", "\\N").option("escape", '"').csv(f"{home}/csv/{name}")
+    at_once(spark, [partial(df.write.option("header", "true").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option(
+        "nullValue", "\\N").option("escape", '"').csv, f"{home}/csv/{name}") for name, df in tables.items()])
     loaded = load_tables(spark, {name: f"{home}/csv/{name}" for name in tables}, f"{home}/tables",
                          encodings={"order_reviews": "UTF-8"})
     parts = []
