@@ -27,14 +27,16 @@ Work is kept to the repeated part of the corpus, step by step:
 2. each window is represented by its smallest hashed ``SEED``-word k-mer;
    two equal windows have the same one, so only windows whose seed occurs in
    two documents can repeat (about one seed per 16 words is shuffled);
-3. only those windows become edges and are joined with their paths;
+3. only those windows become edges and are joined with their paths; they are
+   stored as runs of nodes, one hash a window, and unrolled where they are read;
 4. only documents with spans, and their sources, are read again by join.
 
 Sets of seeds and of documents reach the scans as filters of fixed size
 (``SEED_BITS / 8`` and ``DOC_BITS / 8`` bytes); a false positive costs work,
-never a result.  An edge is told by two hashes, its own and that of its first
-node.  Joins on edges may be skewed by a passage in very many documents: they
-are plain equi-joins after stored aggregates, which adaptive execution splits.
+never a result.  An edge is told by the two hashes of its nodes; ``edge`` is that
+of the last, ``head`` that of the first.  Joins on edges may be skewed by a
+passage in very many documents: they are plain equi-joins after stored
+aggregates, which adaptive execution splits.
 
 Defined cases: a null text has no words.  Fewer than 50 words: nothing goes.
 Rows that repeat an id with the same text are one document and lose the same
@@ -63,6 +65,8 @@ SEED = 20
 SEED_BITS = 1 << 26
 DOC_BITS = 1 << 24
 CHUNK_WORDS = 1 << 16  # of a source that one task numbers
+RUN_WINDOWS = 1 << 10  # of a stored run, which bounds what a reader's batch holds
+PLACE_STEP = 1 << 32  # from one word's place to the next's
 
 
 def _kind(df: DataFrame) -> str:
@@ -158,14 +162,14 @@ def seeds(docs: DataFrame, wanted: bytes, bits: int, window: int, seed: int) ->
     return _selected(docs, bits).mapInArrow(run, f"seed bigint, doc_id {_kind(docs)}")
 
 
-def edges(docs: DataFrame, wanted: bytes, bits: int, repeated: bytes, seed_bits: int, window: int,
-          seed: int) -> DataFrame:
-    """``edge`` (a window's hash), ``head, tail`` (its nodes'), ``doc_id, at`` of windows whose seed may be repeated.
+def edge_runs(docs: DataFrame, wanted: bytes, bits: int, repeated: bytes, seed_bits: int, window: int,
+              seed: int) -> DataFrame:
+    """``doc_id, at, nodes``: consecutive windows whose seed may be repeated, by the hashes of the nodes they run through.
 
-    ``at`` holds word position and text tag.
+    ``at`` holds word position and text tag of the first window.
     """
     context = docs.sparkSession.sparkContext
-    shared, known = context.broadcast(wanted), context.broadcast(repeated)
+    shared, known, most = context.broadcast(wanted), context.broadcast(repeated), RUN_WINDOWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,16 +185,30 @@ def edges(docs: DataFrame, wanted: bytes, bits: int, repeated: bytes, seed_bits:
                     continue
                 row = np.repeat(np.arange(len(piece.counts)), piece.counts)[at]
                 tag = _tags(_sequence_digests(piece)[0])
-                place = (at - piece.bounds[row]) << 32 | tag[row]
-                edge = window_hashes(hashes, window)[at].view(np.int64)
-                nodes = window_hashes(hashes, window - 1).view(np.int64)
+                begin = np.ones(len(at), dtype=bool)
+                begin[1:] = (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
+                place = np.arange(len(at))
+                begin |= (place - np.maximum.accumulate(np.where(begin, place, 0))) % most == 0
+                first = np.flatnonzero(begin)
+                size = np.diff(np.append(first, len(at))) + 1  # nodes
+                offsets = np.concatenate([[0], np.cumsum(size)])
+                within = np.repeat(at[first] - offsets[:-1], size) + np.arange(offsets[-1])
+                nodes = window_hashes(hashes, window - 1).view(np.int64)[within]
+                at, row = at[first], row[first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(edge), pa.array(nodes[at]), pa.array(nodes[at + 1]),
-                     batch.column(0).take(pa.array(piece.first + row)), pa.array(place)],
-                    names=["edge", "head", "tail", "doc_id", "at"])
+                    [batch.column(0).take(pa.array(piece.first + row)), pa.array((at - piece.bounds[row]) << 32 | tag[row]),
+                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(nodes))],
+                    names=["doc_id", "at", "nodes"])
         release_memory()
 
-    return _selected(docs, bits).mapInArrow(run, f"edge bigint, head bigint, tail bigint, doc_id {_kind(docs)}, at bigint")
+    return _selected(docs, bits).mapInArrow(run, f"doc_id {_kind(docs)}, at bigint, nodes array<bigint>")
+
+
+def edges(runs: DataFrame) -> DataFrame:
+    """``doc_id, edge, head, at`` of every window of ``runs``; ``edge``, its last node, tells it together with ``head``."""
+    last = f"at + (size(nodes) - 2) * {PLACE_STEP}L"
+    return runs.selectExpr("doc_id", f"""inline(arrays_zip(
+        slice(nodes, 2, size(nodes) - 1), slice(nodes, 1, size(nodes) - 1), sequence(at, {last}, {PLACE_STEP}L))) AS (edge, head, at)""")
 
 
 def _split(column: str) -> tuple[Column, Column]:
@@ -200,18 +218,22 @@ def _split(column: str) -> tuple[Column, Column]:
 
 def linked(edges: DataFrame) -> DataFrame:
     """``edges`` (distinct) with ``next_edge, next_head``: the edge behind a unary node (null at any other node)."""
-    starts = edges.select(F.col("head").alias("node"), F.lit(1).alias("out"), "edge", "head")
+    # the edge that leaves a node has it as its head
+    starts = edges.select(F.col("head").alias("node"), F.lit(1).alias("out"), "edge", F.lit(None).cast("bigint").alias("head"))
     stops = edges.select(F.col("tail").alias("node"), F.lit(0).alias("out"), "edge", "head")
     pick = lambda out, column: F.max(F.when(F.col("out") == out, F.col(column)))  # noqa: E731  the only one, at a unary node
-    nodes = starts.unionByName(stops).groupBy("node").agg(
+    nodes = starts.unionByName(stops).groupBy(F.col("node").alias("next_head")).agg(
         F.sum("out").alias("n_out"), F.count(F.lit(1)).alias("n"), pick(1, "edge").alias("next_edge"),
-        pick(1, "head").alias("next_head"), pick(0, "edge").alias("edge"), pick(0, "head").alias("head"))
+        pick(0, "edge").alias("edge"), F.max("head").alias("head"))
     links = nodes.filter("n_out = 1 AND n = 2 AND NOT (edge = next_edge AND head = next_head)")
     return edges.join(links.select("edge", "head", "next_edge", "next_head"), ["edge", "head"], "left")
 
 
 def _parts(edges: DataFrame) -> DataFrame:
-    """Edges with the first edge of their part (``part, part_head``) and their ``place`` in it."""
+    """Edges with the first edge of their part (``part, part_head``) and their ``place`` in it.
+
+    What follows is kept for the last edge of a part (and of a batch): behind the others it is the next place.
+    """
     kind = edges.schema["source"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,18 +255,19 @@ def _parts(edges: DataFrame) -> DataFrame:
             at[carried] = place + 1 + np.flatnonzero(carried)
             part = np.where(carried, first[0], edge[begin])
             part_head = np.where(carried, first[1], head[begin])
+            inner = np.append(goes_on[1:], False)
+            behind = (pa.array(x, pa.int64(), mask=inner | ~known) for x in (next_edge, next_head))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), batch.column(3), batch.column(4), batch.column(5),
+                [batch.column(0), batch.column(1), batch.column(2), batch.column(3), *behind,
                  pa.array(part, pa.int64()), pa.array(part_head, pa.int64()), pa.array(at, pa.int64())],
                 names=["edge", "head", "source", "source_at", "next_edge", "next_head", "part", "part_head", "place"])
             follower = (int(next_edge[-1]), int(next_head[-1])) if known[-1] else None
             first, place = (int(part[-1]), int(part_head[-1])), int(at[-1])
 
     tag, pos = _split("source_at")
-    rows = edges.select("edge", "head", "source", "source_at", "next_edge", "next_head", tag.alias("tag"), pos.alias("pos"))
+    rows = edges.select("edge", "head", "source", "source_at", "next_edge", "next_head")
     # chunks of a long source are numbered apart and joined by the pointers, like any two parts
-    rows = rows.withColumn("chunk", F.expr(f"pos div {CHUNK_WORDS}")).repartition("source", "chunk")
-    rows = rows.sortWithinPartitions("source", "tag", "pos").drop("tag", "pos", "chunk")
+    rows = rows.repartition("source", F.floor(pos / CHUNK_WORDS)).sortWithinPartitions("source", tag, pos)
     return rows.mapInArrow(run, f"edge bigint, head bigint, source {kind}, source_at bigint, next_edge bigint, "
                                 "next_head bigint, part bigint, part_head bigint, place bigint")
 
@@ -423,11 +446,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, seed
     met = seeds(known, first_of, doc_bits, window, seed).groupBy("seed").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     repeated = filter_bytes(met, "seed", seed_bits)
-    rows = store(edges(known, first_of, doc_bits, repeated, seed_bits, window, seed), "span-edges")
+    rows = edges(store(edge_runs(known, first_of, doc_bits, repeated, seed_bits, window, seed), "span-edges"))
     sources = store(rows.groupBy("edge", "head").agg(
-        F.first("tail").alias("tail"), F.min("doc_id").alias("source"), F.min_by("at", "doc_id").alias("source_at"),
+        F.min("doc_id").alias("source"), F.min_by("at", "doc_id").alias("source_at"),
         F.max("doc_id").alias("last")).filter("last > source").drop("last"), "span-sources")
-    spans = store(path_spans(rows, sources, window), "span-paths")
+    spans = store(path_spans(rows, sources.withColumn("tail", F.col("edge")), window), "span-paths")
     return store(verified(spans, known, doc_bits).unionByName(copies.distinct()), "spans")
 
 

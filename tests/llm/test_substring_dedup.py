@@ -1,4 +1,6 @@
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from llm_data import docs_frame, hard_texts, sentence, substrings
@@ -102,3 +104,26 @@ def test_batches_are_bounded(spark):
         assert int(spark.conf.get(name)) <= 4 << 20
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_edges_are_unrolled_from_runs_of_nodes(spark):
+    runs = spark.createDataFrame([(4, (9 << 32) + 77, [1, 2, 2, 5]), (6, 3, [8, 9])], "doc_id long, at long, nodes array<long>")
+    got = {(r.doc_id, r.head, r.edge, r.at) for r in substring_dedup.edges(runs).collect()}
+    assert got == {(4, 1, 2, (9 << 32) + 77), (4, 2, 2, (10 << 32) + 77), (4, 2, 5, (11 << 32) + 77), (6, 8, 9, 3)}
+
+
+def test_runs_cut_anywhere_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "RUN_WINDOWS", 3)
+    rng = random.Random(11)
+    texts = [sentence(rng, rng.randrange(0, 60), 3) for _ in range(20)] + [None, "w0 " * 50]
+    assert result(docs_frame(spark, texts), window=6, seed=3) == substrings(texts, 6)
+
+
+def test_a_stored_window_takes_one_hash(spark):
+    rng = random.Random(12)
+    passage = " ".join(f"{rng.random():.6f}" for _ in range(20000))
+    folder = Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
+    before = set(folder.glob("span-edges-*"))
+    substring_dedup.repeated_spans(docs_frame(spark, [passage, "x " + passage]))
+    (stored,) = set(folder.glob("span-edges-*")) - before
+    assert sum(p.stat().st_size for p in stored.glob("*.parquet")) < 10 * 2 * 20000
