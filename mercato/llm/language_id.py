@@ -23,6 +23,7 @@ read, and predictions use the text alone.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -172,6 +173,15 @@ def block_weights(code: np.ndarray, counts: Iterator[tuple[np.ndarray, int]], ce
     return weights.T, 0.5 * ((on - off) * weights).sum(axis=1)
 
 
+def _packed(table: np.ndarray) -> bytes:
+    """Counts as they leave a task: most cells of most languages are 0, and a reader holds thousands of rows at a time."""
+    return zlib.compress(table.astype("<i8").tobytes(), 1)
+
+
+def _unpacked(raw: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw.as_buffer()), dtype="<i8")
+
+
 def _partial_sums(rows: DataFrame) -> DataFrame:
     """``lang, block, counts`` of each task's rows, a language's table in blocks of cells."""
 
@@ -180,7 +190,7 @@ def _partial_sums(rows: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for name, table in sums.items():
-                blocks = [b.astype("<i8").tobytes() for b in table.reshape(-1, BLOCK)]
+                blocks = [_packed(b) for b in table.reshape(-1, BLOCK)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(blocks), pa.string()), pa.array(range(len(blocks)), pa.int32()),
                      pa.array(blocks, pa.binary())], names=["lang", "block", "counts"])
@@ -217,10 +227,10 @@ def _added(partial: DataFrame, parts: int) -> DataFrame:
         names = ["lang", "block", "counts"]
         row = lambda: pa.RecordBatch.from_arrays(
             [pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()),
-             pa.array([table.astype("<i8").tobytes()], pa.binary())], names=names)
+             pa.array([_packed(table)], pa.binary())], names=names)
         for batch in batches:
             for lang, block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                found = np.frombuffer(raw.as_buffer(), dtype="<i8")
+                found = _unpacked(raw)
                 if (lang, block) != key:
                     if key is not None:
                         yield row()
@@ -256,7 +266,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
-                [int(np.frombuffer(raw.as_buffer(), dtype="<i8").sum()) for raw in batch.column(1)], pa.int64())],
+                [int(_unpacked(raw).sum()) for raw in batch.column(1)], pa.int64())],
                 names=["lang", "n"])
 
     found = summed.select("lang", "counts").mapInArrow(totals, "lang string, n bigint").groupBy("lang").agg(F.sum("n").alias("n"))
@@ -269,7 +279,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, total = shared.value
-        rows = ((b, np.frombuffer(raw.as_buffer(), dtype="<i8"))
+        rows = ((b, _unpacked(raw))
                 for batch in batches for b, raw in zip(batch.column(0).to_pylist(), batch.column(1)))
         # every language has every block, in the order of the code's rows
         for block, own in groupby(rows, key=lambda r: r[0]):

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +106,15 @@ def test_two_thousand_languages(spark):
     assert len(found) == 50 and all(r.lang_pred in model.languages for r in found)
 
 
+def test_counts_of_many_languages_leave_the_tasks_small(spark):
+    rows = spark.range(300).select(F.concat(F.lit("l"), F.col("id") % 150).alias("lang"), F.lit("abc").alias("text"))
+    found = language_id._added(language_id._partial_sums(rows), 1).collect()
+    cells = language_id.CELLS // language_id.BLOCK
+    assert len(found) == 150 * cells and sum(len(r.counts) for r in found) < len(found) * language_id.BLOCK // 4
+    total = sum(np.frombuffer(zlib.decompress(r.counts), "<i8").sum() for r in found)
+    assert total == 300 * len(language_id.Grams(["abc"]).cells()[1])
+
+
 def test_many_tiny_texts_and_many_languages_take_little_memory():
     import tracemalloc
 
